@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, app: str = "tallymark", **conf: str) -> SparkSession:
-    """A session with the settings the jobs expect; `conf` keys use `_` for `.`.
+def build_session(master: str | None = None, app: str = "tallymark",
+                  conf: dict[str, str] | None = None) -> SparkSession:
+    """A session with the settings the jobs expect.
 
     Shuffle partitions are left to AQE: it starts from a high number, joins
     small partitions and splits skewed ones at run time.
@@ -26,8 +27,8 @@ def build_session(master: str | None = None, app: str = "tallymark", **conf: str
     )
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("_", "."), value)
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.operators.clean import normalise_nulls
-from tallymark.schema import CLEAN_COLUMNS, NULL_TOKENS, clean_schema, raw_schema
+from tallymark.schema import NULL_TOKENS, clean_schema, raw_schema
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
@@ -48,7 +48,7 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     into files of the advisory size and splits a year that holds far more than
     the others, so neither tiny files nor one huge task results.
     """
-    out = df.select(*CLEAN_COLUMNS)
+    out = df.select(*[F.col(f.name).cast(f.dataType) for f in clean_schema().fields])
     if fmt == "parquet":
         out.hint("rebalance", "Year").write.mode("overwrite").partitionBy("Year").parquet(path)
     elif fmt == "csv":

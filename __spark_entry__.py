@@ -32,7 +32,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def fixed(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Round doubles, so the last bits of a sum do not depend on its order."""
+    """Round doubles, so the last bits of a sum do not depend on its order.
+
+    Prices have four decimals, so sums per group are rounded to four (never
+    half-way between two results) and sums over all sales to one.
+    """
     return df.select(*[
         F.round(F.col(f"`{n}`"), special.get(n, digits)).alias(n) if t == "double"
         else F.col(f"`{n}`") for n, t in df.dtypes])
@@ -59,8 +63,8 @@ def roundtrip(fmt: str) -> Query:
         path = new_path(spark, f"cleaned-{fmt}")
         files.write_clean(source, path, fmt)
         read = files.read_clean_csv if fmt == "csv" else files.read_clean_parquet
-        return checks.compare_copies(source, read(spark, path),
-                                     ["Region", "Product", "CustomerType", "Promotion"])
+        return fixed(checks.compare_copies(
+            source, read(spark, path), ["Region", "Product", "CustomerType", "Promotion"]), 1)
     return run
 
 
@@ -132,12 +136,13 @@ def report_by(name: str) -> Query:
     key, measures, order, twice = REPORTS[name]
     inputs = sorted({NEEDS[m] for m in measures if m in NEEDS})
     return lambda spark, d: bd.breakdown(
-        sales(spark, d, key, *inputs), [key], measures, order, round_twice=twice)
+        sales(spark, d, key, *inputs), [key], measures, order, digits=4, round_twice=twice)
 
 
 def by_promotion_without_null(spark, d):
     df = raw_sales(spark, d, "Promotion", "OrderID", "TotalPrice")
-    return bd.breakdown(df, ["Promotion"], ["orders", "gross_revenue"], drop_null_keys=True)
+    return bd.breakdown(df, ["Promotion"], ["orders", "gross_revenue"],
+                        drop_null_keys=True, digits=4)
 
 
 def delivery_stats(spark, d):
@@ -154,7 +159,7 @@ def delivery_stats(spark, d):
 
 def rank_salespeople(spark, d):
     revenue = bd.breakdown(sales(spark, d, "Salesperson", "TotalPrice"), ["Salesperson"],
-                           ["gross_revenue"])
+                           ["gross_revenue"], digits=4)
     return ordered.rank_rows(revenue, "gross_revenue")
 
 
@@ -230,10 +235,12 @@ def queries() -> dict[str, Query]:
         "category_counts": lambda s, d: profile.category_counts(
             raw_sales(s, d, *CATEGORIES), CATEGORIES),
         "kpi_global": lambda s, d: fixed(kpi.kpi_global(sales(
-            s, d, "TotalPrice", "NetRevenue", "Returned", "DeliveryDays", "ShippingCost")), 2),
+            s, d, "TotalPrice", "NetRevenue", "Returned", "DeliveryDays", "ShippingCost")), 1,
+            avg_order_value=4, return_rate=4, avg_delivery_days=4),
         "kpi_cards": lambda s, d: fixed(kpi.kpi_cards(sales(
             s, d, "Date", "TotalPrice", "NetRevenue", "Returned", "Quantity", "UnitPrice",
-            "Discount")), 2, median_order_value=6),
+            "Discount")), 1, median_order_value=6, avg_order_value=4, return_rate=4,
+            avg_discount_pct=6, orders_per_month=4),
         "hero_counts": lambda s, d: kpi.hero_counts(
             sales(s, d, "Region", "Product", "Salesperson", "Date")),
         **{name: report_by(name) for name in REPORTS},
@@ -242,38 +249,38 @@ def queries() -> dict[str, Query]:
         "discount_bucket_aov": lambda s, d: fixed(bd.discount_tiers(
             sales(s, d, "DiscountBucket", "TotalPrice"))),
         "share_of_total": lambda s, d: fixed(bd.share_of_total(
-            sales(s, d, "PaymentMethod", "TotalPrice"), ["PaymentMethod"]), revenue=2),
+            sales(s, d, "PaymentMethod", "TotalPrice"), ["PaymentMethod"]), revenue=4),
         "vs_overall": lambda s, d: fixed(bd.rate_vs_overall(
             sales(s, d, "Product", "Returned"), "Product")),
         "group_spread": lambda s, d: fixed(bd.group_spread(
             sales(s, d, *RECONCILED, "TotalPrice", "Returned"), RECONCILED),
-            min_revenue=2, max_revenue=2, revenue_gap=2),
+            min_revenue=4, max_revenue=4, revenue_gap=4),
         "rank_salespeople": rank_salespeople,
         "promo_undiscounted": lambda s, d: fixed(bd.undiscounted_promotions(
             sales(s, d, "Promotion", "Discount"))),
-        "monthly": lambda s, d: month_column(fixed(periods.monthly(dated(s, d)), 2)),
+        "monthly": lambda s, d: month_column(fixed(periods.monthly(dated(s, d)), 4)),
         "monthly_filled": lambda s, d: month_column(fixed(periods.monthly_filled(
-            dated(s, d, "Salesperson"), ["Salesperson"]), 2), "ds"),
-        "monthly_trend": lambda s, d: month_column(fixed(periods.monthly_trend(dated(s, d)), 2)),
+            dated(s, d, "Salesperson"), ["Salesperson"]), 4), "ds"),
+        "monthly_trend": lambda s, d: month_column(fixed(periods.monthly_trend(dated(s, d)), 4)),
         "monthly_stats": lambda s, d: fixed(periods.monthly_stats(dated(s, d)), 2),
         "quarterly": lambda s, d: fixed(periods.quarterly(
-            sales(s, d, "Year", "Quarter", "TotalPrice")), 2),
-        "annual_flagged": lambda s, d: fixed(periods.annual(dated(s, d)), 2),
+            sales(s, d, "Year", "Quarter", "TotalPrice")), 4),
+        "annual_flagged": lambda s, d: fixed(periods.annual(dated(s, d)), 4),
         "month_gaps": lambda s, d: month_column(periods.month_gaps(
             dated(s, d, "Salesperson", "CustomerType"), ["Salesperson", "CustomerType"])),
         "like_for_like_year": lambda s, d: month_column(fixed(periods.like_for_like(
-            dated(s, d), months=6), 2), "last_date"),
+            dated(s, d), months=6), 4), "last_date"),
         "like_for_like_observed": lambda s, d: month_column(fixed(periods.like_for_like(
-            dated(s, d), drop_last_month=True), 2), "last_date"),
+            dated(s, d), drop_last_month=True), 4), "last_date"),
         "same_month_last_year": lambda s, d: month_column(fixed(periods.same_month_last_year(
-            dated(s, d, "Region"), ["Region"]), 2), "ds"),
-        "rolling3": lambda s, d: month_column(fixed(periods.rolling_mean(dated(s, d)), 2), "ds"),
+            dated(s, d, "Region"), ["Region"]), 4), "ds"),
+        "rolling3": lambda s, d: month_column(fixed(periods.rolling_mean(dated(s, d)), 4), "ds"),
         "cells": lambda s, d: fixed(crosstab.cells(
             sales(s, d, "Region", "Product", "TotalPrice", "Returned"), "Region", "Product"),
-            revenue=2),
+            revenue=4),
         "pivot_revenue": lambda s, d: fixed(crosstab.wide(
             sales(s, d, "Region", "Product", "TotalPrice"), "Region", "Product",
-            F.sum("TotalPrice"), fill=0.0).orderBy("Region"), 2),
+            F.sum("TotalPrice"), fill=0.0).orderBy("Region"), 4),
         "pivot_return": lambda s, d: fixed(crosstab.wide(
             sales(s, d, "Region", "Product", "Returned"), "Region", "Product",
             F.avg("Returned") * 100).orderBy("Region")),
@@ -281,13 +288,13 @@ def queries() -> dict[str, Query]:
             sales(s, d, "Product", "CustomerType", "TotalPrice"), "Product", "CustomerType",
             F.sum("TotalPrice") / 1000), "Product")),
         "grid_reconcile": lambda s, d: fixed(crosstab.grid_difference(
-            sales(s, d, "Region", "Product", "TotalPrice", "Returned"), "Region", "Product"), 2),
+            sales(s, d, "Region", "Product", "TotalPrice", "Returned"), "Region", "Product"), 1, min_cell=4, max_cell=4),
         "chart_levels": lambda s, d: fixed(report.chart_levels(sales(
             s, d, *report.CHART_DIMS, "TotalPrice", "Returned", "Discount", "DeliveryDays")),
-            4, revenue=2, revenue_k=2),
+            4, revenue_k=2),
         "chart_grids": lambda s, d: fixed(report.grids(sales(
             s, d, "Region", "Product", "CustomerType", "TotalPrice", "Returned")), 4,
-            revenue=2, revenue_k=2),
+            revenue_k=2),
         "corr_matrix": lambda s, d: fixed(stats.correlations(sales(s, d, *CORRELATED), CORRELATED)),
         "chi2_returns": lambda s, d: fixed(stats.return_rate_tests(
             sales(s, d, "Product", "Region", "CustomerType", "Salesperson", "Returned",
@@ -300,11 +307,11 @@ def queries() -> dict[str, Query]:
         "trend_forecast_by_store": lambda s, d: month_column(fixed(stats.trend_forecast(
             dated(s, d, "StoreLocation"), ["StoreLocation"]), 2, r2=6), "ds"),
         "forecast_width": lambda s, d: fixed(stats.forecast_width(dated(s, d)), 2),
-        "checks": lambda s, d: checks.all_checks(clean.add_derived(raw_sales(s, d))),
+        "checks": lambda s, d: fixed(checks.all_checks(clean.add_derived(raw_sales(s, d))), 1, threshold=2),
         "checks_tally": lambda s, d: checks.tally(checks.all_checks(
             clean.add_derived(raw_sales(s, d)))),
         "reconcile_dims": lambda s, d: fixed(checks.reconcile(
-            clean.add_derived(raw_sales(s, d)), RECONCILED), 2),
+            clean.add_derived(raw_sales(s, d)), RECONCILED), 1),
         "target_identity": lambda s, d: fixed(checks.is_identity(
             sales(s, d, "Quantity", "UnitPrice", "Discount", "TotalPrice")), 4),
         "majority_share": lambda s, d: fixed(scores.majority_share(
@@ -323,7 +330,7 @@ def queries() -> dict[str, Query]:
         "note_returns": lambda s, d: fixed(notes.return_rate_note(sales(
             s, d, "Product", "Region", "Salesperson", "TotalPrice", "Returned"))),
         "note_year": lambda s, d: month_column(fixed(notes.partial_year_note(
-            dated(s, d)), 2), "last_date"),
+            dated(s, d)), 4), "last_date"),
         "note_promotions": lambda s, d: fixed(notes.promotion_note(
             sales(s, d, "Promotion", "Discount"))),
         "notes": lambda s, d: notes.all_notes(sales(

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from tallymark.schema import DISCOUNT_BUCKETS, NO_PROMOTION
 
-MICROS_PER_DAY = 86_400_000_000
-
 
 def fill_promotion(promotion: Column) -> Column:
     return F.coalesce(promotion, F.lit(NO_PROMOTION))
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Whole 24-hour periods from start to end, rounded down (-12 h is -1)."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    return F.floor(micros / F.lit(MICROS_PER_DAY)).cast("int")
+    """Whole 24-hour periods from start to end, rounded down (-12 h is -1).
+
+    Calendar days apart, less one if the end's time of day is the earlier one;
+    no session time zone is involved.
+    """
+    apart = F.datediff(end, start)
+    return F.when(start + F.make_dt_interval(apart) > end, apart - 1).otherwise(apart)
 
 
 def list_price(sign_discount: Column) -> Column:

@@ -22,7 +22,7 @@ def _check(name: str, label: str, observed: Column, threshold: float, ok: Column
     return F.struct(
         F.lit(name).alias("check"), F.lit(label).alias("label"),
         F.when(ok, "pass").otherwise(otherwise).alias("status"),
-        F.round(observed.cast("double"), 6).alias("observed"),
+        observed.cast("double").alias("observed"),
         F.lit(float(threshold)).alias("threshold"), detail.alias("detail"))
 
 
@@ -168,8 +168,8 @@ def compare_copies(source: DataFrame, copy: DataFrame, dims: list[str]) -> DataF
     def row(item: str, expected: Column, found: Column, tolerance: float) -> Column:
         delta = F.abs(F.coalesce(found, F.lit(0.0)) - F.coalesce(expected, F.lit(0.0)))
         return F.struct(
-            F.lit(item).alias("item"), F.round(expected.cast("double"), 2).alias("expected"),
-            F.round(found.cast("double"), 2).alias("found"),
+            F.lit(item).alias("item"), expected.cast("double").alias("expected"),
+            found.cast("double").alias("found"),
             F.when(delta <= tolerance, "OK").otherwise("MISMATCH").alias("status"))
 
     return (both.select(F.explode(F.array(

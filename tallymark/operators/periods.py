@@ -27,8 +27,9 @@ def every_month(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     series = monthly(df, by).where(F.col("month").isNotNull())
     following = F.lead("month").over(Window.partitionBy(*by).orderBy("month"))
     until = F.coalesce(F.add_months(following, -1), F.col("month"))
-    months = F.sequence(F.col("month"), until, F.expr("interval 1 month"))
-    return (series.select(*by, "revenue", "lines", F.posexplode(months).alias("_p", "month"))
+    months = F.sequence(F.col("month"), F.col("_until"), F.expr("interval 1 month"))
+    return (series.withColumn("_until", until)
+            .select(*by, "revenue", "lines", F.posexplode(months).alias("_p", "month"))
             .select(*by, "month", (F.col("_p") > 0).alias("is_gap"),
                     F.when(F.col("_p") == 0, F.col("revenue")).otherwise(0.0).alias("revenue"),
                     F.when(F.col("_p") == 0, F.col("lines")).otherwise(0).alias("lines")))

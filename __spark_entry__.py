@@ -20,7 +20,7 @@ from tallymark.operators import scores, stats  # noqa: E402
 from tallymark.plans import kpi, models, notes, report  # noqa: E402
 from tallymark.schema import (CATEGORIES, CLEAN_COLUMNS, CORRELATED, NULL_TOKENS,  # noqa: E402
                               PROFILED, RECONCILED)
-from tallymark.session import new_path  # noqa: E402
+from tallymark.session import new_path, tune  # noqa: E402
 from tallymark.sources import files  # noqa: E402
 from tallymark.sources.star import UNSPECIFIED_PRIORITY, raw_sales, sales  # noqa: E402
 
@@ -216,7 +216,14 @@ def return_models(spark, d, names=None):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Orders, revenue, net revenue, average order value and return rate by region."""
-    return report_by("by_region")(spark, SMOKE_DIR)
+    return queries()["by_region"](spark, SMOKE_DIR)
+
+
+def tuned(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark)
+        return query(spark, sf_dir)
+    return run
 
 
 def queries() -> dict[str, Query]:
@@ -341,7 +348,7 @@ def queries() -> dict[str, Query]:
         "topk_importance": lambda s, d: revenue_models(
             s, d, ["Random Forest"]).importances("Random Forest"),
     }
-    return q
+    return {name: tuned(query) for name, query in q.items()}
 
 
 def trend_columns(fit: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.derive import recomputed_revenue, whole_days
-from tallymark.operators.breakdown import level_totals
+from tallymark.functions.derive import DERIVED, month_start, recomputed_revenue, whole_days
 from tallymark.operators.clean import duplicate_rows, key_uniqueness
 from tallymark.operators.periods import every_month
 from tallymark.schema import RECONCILED
+from tallymark.session import materialise
 
 TOLERANCE = 0.01
 MAX_SIZE_RATIO = 2.0
@@ -48,25 +48,35 @@ def reconcile(df: DataFrame, dims: list[str]) -> DataFrame:
             .withColumn("status", F.when(F.col("delta") < TOLERANCE, "pass").otherwise("fail")))
 
 
-def row_checks(df: DataFrame) -> DataFrame:
-    """Checks that need sums, extremes and counts only: one pass, one row.
+def check_cells(df: DataFrame, sized: list[str]) -> DataFrame:
+    """Everything the checks need, per month and level of the `sized` dimensions.
 
+    One pass over the sales; the checks add these few rows up in several ways.
     `Promotion` must be the column before null promotions are filled.
     """
     v = F.col("TotalPrice")
     lead = whole_days(F.col("OrderDate"), F.col("DeliveryDate"))
-    one = df.agg(
+    return df.groupBy(*sized, month_start(F.col("Date")).alias("Date")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("total"),
+        F.sum(v).alias("TotalPrice"),
         F.max(F.abs(recomputed_revenue() - v)).alias("max_diff"),
         F.count_if(F.col("Promotion").isNull()).alias("no_promo"),
-        F.coalesce(F.sum(F.when(F.col("Promotion").isNotNull(), v)), F.lit(0.0)).alias("promo"),
         F.count_if(F.col("DeliveryDate") < F.col("OrderDate")).alias("early"),
-        F.min(lead).alias("lead_min"), F.max(lead).alias("lead_max"), F.avg(lead).alias("lead_avg"),
+        F.min(lead).alias("lead_min"), F.max(lead).alias("lead_max"),
         F.count_if(v <= 0).alias("bad_price"),
         F.count_if(F.col("Discount").isNull()).alias("no_discount"),
-        *[F.coalesce(F.sum(F.when(F.col(d).isNotNull(), v)), F.lit(0.0)).alias(f"d_{d}")
-          for d in RECONCILED])
+        *[F.sum(F.when(F.col(d).isNotNull(), v)).alias(f"d_{d}") for d in RECONCILED])
+
+
+def row_checks(cells: DataFrame) -> DataFrame:
+    """Checks that need sums, extremes and counts only."""
+    added = ["n", "no_promo", "early", "bad_price", "no_discount"]
+    one = cells.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added],
+        F.coalesce(F.sum("TotalPrice"), F.lit(0.0)).alias("total"),
+        F.max("max_diff").alias("max_diff"), F.min("lead_min").alias("lead_min"),
+        F.max("lead_max").alias("lead_max"),
+        *[F.coalesce(F.sum(f"d_{d}"), F.lit(0.0)).alias(f"d_{d}") for d in RECONCILED])
     worst = F.greatest(F.lit(0.0), *[F.abs(F.col(f"d_{d}") - F.col("total")) for d in RECONCILED])
     c = F.col
     return _rows(one, [
@@ -75,7 +85,7 @@ def row_checks(df: DataFrame) -> DataFrame:
                F.format_string("largest difference %.4f over %d rows",
                                F.coalesce(c("max_diff"), F.lit(0.0)), c("n"))),
         _check("promotion_complete", "Promotion field complete", c("no_promo"), 0,
-               (c("no_promo") == 0) & (F.abs(c("promo") - c("total")) < TOLERANCE),
+               (c("no_promo") == 0) & (F.abs(c("d_Promotion") - c("total")) < TOLERANCE),
                F.format_string("%d of %d rows without a promotion", c("no_promo"), c("n"))),
         _check("delivery_after_order", "Delivery dates are consistent", c("early"), 0,
                c("early") == 0,
@@ -95,8 +105,13 @@ def row_checks(df: DataFrame) -> DataFrame:
 
 
 def uniqueness_check(df: DataFrame, key: str = "OrderID") -> DataFrame:
-    """No duplicate rows and a unique key."""
-    both = duplicate_rows(df).select(
+    """No duplicate rows and a unique key.
+
+    Derived columns follow from the others, so they are left out of the
+    comparison of whole rows.
+    """
+    given = df.select(*[c for c in df.columns if c not in DERIVED])
+    both = duplicate_rows(given).select(
         "duplicate_rows", key_uniqueness(df, key).select(F.struct("*")).scalar().alias("k"))
     surplus = F.col("k.rows") - F.col("k.distinct_keys")
     return _rows(both, [_check(
@@ -118,13 +133,17 @@ def series_check(df: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("missing: "), F.col("missing"))), otherwise="warn")])
 
 
-def volume_check(df: DataFrame, dims: list[str], max_ratio: float = MAX_SIZE_RATIO) -> DataFrame:
+def volume_check(cells: DataFrame, sized: list[str],
+                 max_ratio: float = MAX_SIZE_RATIO) -> DataFrame:
     """Groups of a dimension have comparable numbers of rows."""
-    sizes = level_totals(df, dims).where(F.col("level").isNotNull()).groupBy("dim").agg(
-        F.min("lines").alias("lo"), F.max("lines").alias("hi"))
-    widest = F.max(F.col("hi") / F.col("lo"))
-    one = sizes.agg(widest.alias("ratio"), F.array_join(F.sort_array(F.collect_list(
-        F.format_string("%s %d-%d", "dim", "lo", "hi"))), ", ").alias("detail"))
+    level = F.explode(F.array(*[
+        F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("level")) for d in sized]))
+    sizes = (cells.select("n", level.alias("l")).where(F.col("l.level").isNotNull())
+             .groupBy("l.dim", "l.level").agg(F.sum("n").alias("n"))
+             .groupBy("dim").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+    one = sizes.agg(F.max(F.col("hi") / F.col("lo")).alias("ratio"),
+                    F.array_join(F.sort_array(F.collect_list(
+                        F.format_string("%s %d-%d", "dim", "lo", "hi"))), ", ").alias("detail"))
     return _rows(one, [_check(
         "comparable_volume", "Group sizes are comparable", F.col("ratio"), max_ratio,
         F.coalesce(F.col("ratio") <= max_ratio, F.lit(True)), F.col("detail"),
@@ -134,8 +153,10 @@ def volume_check(df: DataFrame, dims: list[str], max_ratio: float = MAX_SIZE_RAT
 def all_checks(df: DataFrame, key: str = "OrderID", sized: list[str] | None = None,
                max_ratio: float = MAX_SIZE_RATIO) -> DataFrame:
     """Every check on sales whose promotion is not yet filled."""
-    parts = [uniqueness_check(df, key), row_checks(df), series_check(df),
-             volume_check(df, sized or ["Product", "Region"], max_ratio)]
+    sized = sized or ["Product", "Region"]
+    cells = materialise(check_cells(df, sized), "check-cells")
+    parts = [uniqueness_check(df, key), row_checks(cells), series_check(cells),
+             volume_check(cells, sized, max_ratio)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,11 +1,11 @@
 """Exact quantiles, running totals and ranks without a global sort in one task.
 
 A value v is given a bucket number floor(L(v) * 2**44), where
-L(v) = sign(v) * ln(1 + |v|) never decreases as v grows. Dropping 12 bits at a
-time gives a tree of buckets: a bucket has at most 4,096 children at every
-level, the top level has a few hundred thousand buckets at the very most, and a
-lowest bucket spans less than 2**-43 of L, so it holds a few hundred distinct
-doubles for |v| >= 1. Every window below runs over the children of one
+L(v) = sign(v) * ln(1 + |v|) never decreases as v grows. Dropping 16 bits at a
+time gives a tree of buckets: a bucket has at most 65,536 children at every
+level, the top level has 4,096 buckets per unit of L (some 85,000 for values up
+to 1e9), and a lowest bucket spans 2**-44 of L, so it holds a few hundred
+distinct doubles for |v| >= 1. Every window below runs over the children of one
 bucket, however many rows, and however hot a value, the input has.
 """
 
@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 from tallymark.session import materialise
 
 LEAF_BITS = 44
-STEP = 12
-TOP = 3 * STEP  # the top level drops three steps
+STEP = 16
+TOP = 2  # steps from the lowest to the highest level
+DIRECT_ROWS = 2 ** STEP
 
 
 def leaf_bucket(value: Column) -> Column:
+    """Lowest bucket of a value; infinities and NaN go to the outermost ones."""
     v = value.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(float(2 ** LEAF_BITS))).cast("bigint")
+    scale = F.signum(v) * F.log1p(F.abs(v))
+    inside = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), scale))
+    return F.floor(inside * F.lit(float(2 ** LEAF_BITS))).cast("bigint")
 
 
 def parent(bucket: Column, steps: int = 1) -> Column:
@@ -62,7 +66,7 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: list[
 
     leaves = base.groupBy(*by, "_b0").agg(*[F.sum(n).alias(n) for n in names])
     levels = [leaves]
-    for level in (1, 2, 3):
+    for level in range(1, TOP + 1):
         levels.append(roll(levels[-1], level))
 
     def before(rows: DataFrame, within: list[str], order: Column, keys: list[str],
@@ -78,8 +82,8 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: list[
         return joined.select(*keys, *[(F.col(f"_o_{n}") + F.col(f"_a_{n}")).alias(f"_o_{n}")
                                       for n in names])
 
-    offsets = before(levels[3], by, F.col("_b3"), [*by, "_b3"], None)
-    for level in (2, 1, 0):
+    offsets = before(levels[TOP], by, F.col(f"_b{TOP}"), [*by, f"_b{TOP}"], None)
+    for level in reversed(range(TOP)):
         rows = levels[level].withColumn(f"_b{level + 1}", parent(F.col(f"_b{level}")))
         offsets = before(rows, [*by, f"_b{level + 1}"], F.col(f"_b{level}"),
                          [*by, f"_b{level}"], offsets)
@@ -106,9 +110,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 
     The first pass counts rows per top bucket and finds the bucket each wanted
     rank lies in. The second pass keeps the rows of those buckets only and
-    counts them per distinct value. The remaining levels work on that small
-    table. Both passes combine before they shuffle; both results are written
-    out, so their real size decides how the next step joins them.
+    counts them per distinct value. Both passes combine before they shuffle;
+    both results are written out, so their real size decides how the next step
+    joins them. If a bucket still has very many distinct values, the search
+    goes down the lower levels; otherwise it ends within the bucket.
     """
     by = by or []
     pairs = F.explode(F.array(*[
@@ -127,38 +132,39 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 
     hit = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end"))
 
-    top = (long.withColumn("_b3", parent(F.col("_b0"), 3)).groupBy(*group, "_b3")
-           .agg(F.count(F.lit(1)).alias("_n")))
+    top = f"_b{TOP}"
+    marked = long.withColumn(top, parent(F.col("_b0"), TOP))
+    hist = marked.groupBy(*group, top).agg(F.count(F.lit(1)).alias("_n"))
     last = F.sum("_n").over(Window.partitionBy(*group)) - 1
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     position = F.col("probability") * F.col("_last")
-    picks = (locate(top, group, "_b3").withColumn("_last", last)
+    rank_inside = (F.col("_rank") - F.col("_start")).alias("_rank")
+    picks = (locate(hist, group, top).withColumn("_last", last)
              .withColumn("probability", wanted)
              .withColumn("_weight", position - F.floor(position))
              .withColumn("_rank", F.explode(F.array_distinct(
                  F.array(F.floor(position), F.ceil(position)))))
-             .where(hit)
-             .select(*group, "probability", "_weight",
-                     (F.col("_rank") - F.col("_start")).alias("_rank"), "_b3"))
+             .where(hit).select(*group, "probability", "_weight", rank_inside, top))
     picks = materialise(picks, "quantile-buckets")
 
-    chosen = picks.select(*group, "_b3").distinct()
-    rows = _join(long.withColumn("_b3", parent(F.col("_b0"), 3)), chosen,
-                 [*group, "_b3"], "left_semi")
+    rows = _join(marked, picks.select(*group, top).distinct(), [*group, top], "left_semi")
     counts = materialise(
-        rows.groupBy(*group, "_b0", "value").agg(F.count(F.lit(1)).alias("_n")),
+        rows.groupBy(*group, top, "_b0", "value").agg(F.count(F.lit(1)).alias("_n")),
         "quantile-values")
 
-    for level in (2, 1, 0):
-        up, here = f"_b{level + 1}", f"_b{level}"
-        hist = (counts.select(*group, parent(F.col("_b0"), level + 1).alias(up),
-                              parent(F.col("_b0"), level).alias(here), "_n")
-                .groupBy(*group, up, here).agg(F.sum("_n").alias("_n")))
-        picks = (_join(locate(hist, [*group, up], here), picks, [*group, up]).where(hit)
-                 .select(*group, "probability", "_weight",
-                         (F.col("_rank") - F.col("_start")).alias("_rank"), here))
-
-    found = (_join(locate(counts, [*group, "_b0"], "value"), picks, [*group, "_b0"])
+    within = top
+    widest = counts.groupBy(*group, top).count().agg(F.max("count")).first()[0]
+    if widest is not None and widest > DIRECT_ROWS:
+        for level in reversed(range(TOP)):
+            up, here = f"_b{level + 1}", f"_b{level}"
+            hist = (counts.select(*group, parent(F.col("_b0"), level + 1).alias(up),
+                                  parent(F.col("_b0"), level).alias(here), "_n")
+                    .groupBy(*group, up, here).agg(F.sum("_n").alias("_n")))
+            picks = (_join(locate(hist, [*group, up], here), picks, [*group, up]).where(hit)
+                     .select(*group, "probability", "_weight", rank_inside, here))
+            within = here
+
+    found = (_join(locate(counts, [*group, within], "value"), picks, [*group, within])
              .where(hit))
     low, high = F.min("value"), F.max("value")
     return (found.groupBy(*group, "probability")
@@ -186,14 +192,14 @@ def area_under_curve(df: DataFrame, score: str, positive: Column,
             .groupBy(*by, F.col(score).alias("_key")).agg(pos.alias("_p"), neg.alias("_q"))
             .withColumn("_up", leaf_bucket(F.col("_key")))
             .withColumn("_pairs", F.col("_p") * F.col("_q") / 2))
-    for level in range(5):
-        within = [*by, "_up"] if level < 4 else by
+    for level in range(TOP + 2):
+        within = [*by, "_up"] if level <= TOP else by
         w = (Window.partitionBy(*within).orderBy("_key")
              .rowsBetween(Window.unboundedPreceding, -1))
         counted = rows.withColumn(
             "_pairs", F.col("_pairs") + F.col("_p") * F.coalesce(F.sum("_q").over(w), F.lit(0.0)))
         sums = [F.sum(c).alias(c) for c in ("_p", "_q", "_pairs")]
-        if level < 4:
+        if level <= TOP:
             rows = (counted.groupBy(*within).agg(*sums)
                     .withColumnRenamed("_up", "_key")
                     .withColumn("_up", parent(F.col("_key"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,18 +64,25 @@ def return_rate_tests(df: DataFrame, dims: list[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation matrix in long form, over complete pairs.
 
-    Every coefficient comes from one aggregation; `i` and `j` are positions,
-    `lower` marks the cells below the diagonal. The diagonal is 1 for a column
-    that varies.
+    Each row is turned into its pairs, which collapse to one line per pair
+    before the shuffle. `i` and `j` are positions, `lower` marks the cells
+    below the diagonal. The diagonal is 1 for a column that varies.
     """
-    pairs = list(combinations(range(len(columns)), 2))
-    one = df.agg(
-        *[pearson(columns[i], columns[j]).alias(f"c_{i}_{j}") for i, j in pairs],
-        *[F.when(F.min(c) < F.max(c), 1.0).alias(f"c_{i}_{i}") for i, c in enumerate(columns)])
-    rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(i).alias("i"),
-                     F.lit(j).alias("j"), F.col(f"c_{min(i, j)}_{max(i, j)}").alias("corr"))
-            for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return (one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                 F.col(columns[i]).cast("double").alias("a"),
+                 F.col(columns[j]).cast("double").alias("b"))
+        for i, j in combinations_with_replacement(range(len(columns)), 2)]))
+    found = df.select(pairs.alias("p")).groupBy("p.i", "p.j").agg(
+        pearson("p.a", "p.b").alias("corr"))
+    found = found.withColumn("corr", F.when(
+        (F.col("i") == F.col("j")) & F.col("corr").isNotNull(), 1.0).otherwise(F.col("corr")))
+    both = F.explode(F.array_distinct(F.array(F.struct("i", "j"), F.struct(
+        F.col("j").alias("i"), F.col("i").alias("j")))))
+    names = F.array(*[F.lit(c) for c in columns])
+    return (found.select(both.alias("p"), "corr")
+            .select(F.get(names, F.col("p.i")).alias("x"), F.get(names, F.col("p.j")).alias("y"),
+                    "p.i", "p.j", "corr")
             .withColumn("lower", F.col("i") > F.col("j")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
@@ -26,6 +27,8 @@ NO_SIGNAL_AUC = 0.55
 MISSING = "nan"
 SEED = 42
 MAX_LEVELS = 256
+# The check of a column's size is an estimate, so trees get bins to spare.
+MAX_BINS = MAX_LEVELS * 5 // 4 + 2
 
 
 def row_hash(keys: Iterable[str], seed: int):
@@ -50,6 +53,8 @@ def add_fold(df: DataFrame, folds: int = 5, keys: Iterable[str] = ("OrderID",),
 
 def level_counts(train: DataFrame, columns: list[str]) -> dict[str, int]:
     """Estimated number of distinct values per column, from one pass."""
+    if not columns:
+        return {}
     row = train.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     return row.asDict()
 
@@ -119,7 +124,7 @@ class Features:
 
 
 def classifiers(n_train: int, trees: int = 100, forest_depth: int = 10,
-                max_bins: int = MAX_LEVELS + 2) -> dict[str, tuple[str, Estimator]]:
+                max_bins: int = MAX_BINS) -> dict[str, tuple[str, Estimator]]:
     """The four return models: kind of features each needs, and the estimator."""
     common = {"labelCol": "label", "featuresCol": "features"}
     tree = {**common, "maxBins": max_bins, "seed": SEED}
@@ -135,7 +140,7 @@ def classifiers(n_train: int, trees: int = 100, forest_depth: int = 10,
 
 
 def regressors(trees: int = 100, forest_depth: int = 10,
-               max_bins: int = MAX_LEVELS + 2) -> dict[str, tuple[str, Estimator]]:
+               max_bins: int = MAX_BINS) -> dict[str, tuple[str, Estimator]]:
     common = {"labelCol": "label", "featuresCol": "features"}
     tree = {**common, "maxBins": max_bins, "seed": SEED}
     return {
@@ -229,6 +234,18 @@ class ReturnModels:
             rows, "model string, accuracy double, auc double, f1_returned double, "
                   "cv_auc double, is_best boolean, no_signal boolean")
 
+    def class_report(self, name: str | None = None) -> DataFrame:
+        return scores.class_report(self.predictions[name or self.best])
+
+    def confusion(self, name: str | None = None) -> DataFrame:
+        return scores.confusion(self.predictions[name or self.best])
+
+    def roc_points(self, bins: int | None = 200) -> DataFrame:
+        """ROC points of every model, on a grid of scores unless `bins` is None."""
+        curves = [scores.roc_points(p, bins=bins).withColumn("model", F.lit(name))
+                  for name, p in self.predictions.items()]
+        return reduce(DataFrame.unionByName, curves)
+
     def importances(self, name: str = "Random Forest", top: int = 10) -> DataFrame | None:
         enc = self.data[self.kinds[name]][2]
         return importances(self.models[name], enc.names, self.spark, top)

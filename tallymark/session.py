@@ -10,28 +10,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Run-time settings the joins rely on. They change plans, never results.
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Split the partitions of a hot join key, also where that costs a shuffle.
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Hash shuffled sides whose partitions turn out small instead of sorting.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+}
+
+
 def build_session(master: str | None = None, app: str = "tallymark",
                   conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with the settings the jobs expect.
-
-    Shuffle partitions are left to AQE: it starts from a high number, joins
-    small partitions and splits skewed ones at run time.
-    """
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.ui.enabled", "false")
-    )
+    """A session with the settings the jobs expect."""
+    builder = (SparkSession.builder.appName(app)
+               .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.ui.enabled", "false"))
     if master:
         builder = builder.master(master)
-    for key, value in (conf or {}).items():
+    for key, value in {**ADAPTIVE, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Give a session built elsewhere the same run-time settings."""
+    for key, value in ADAPTIVE.items():
+        spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 

@@ -162,9 +162,11 @@ def _prepared(df: DataFrame, kinds: set[str], categorical: list[str], numbers: l
               keep: list[str]) -> dict[str, tuple[DataFrame, DataFrame, Features]]:
     """Encoded train and test tables per kind of features.
 
-    They are written to the shared folder: every fit reads them many times,
-    and a lost executor then costs a re-read, not the joins behind the sales.
+    The rows and the encoded tables are written to the shared folder: every
+    fit reads them many times, and a lost executor then costs a re-read, not
+    the joins behind the sales.
     """
+    df = materialise(df.select(*keep, "is_test", *categorical, *numbers), "model-rows")
     train = df.where(~F.col("is_test"))
     out = {}
     for kind in sorted(kinds):

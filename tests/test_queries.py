@@ -46,29 +46,23 @@ def test_every_query_has_sql_but_the_models():
     assert set(QUERIES) - set(ORACLES) == MODELS
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     want = duck.sql(ORACLES[name])
     assert table(df.columns, df.collect()) == table(want.columns, want.fetchall())
+    for word in ("CartesianProduct", "NestedLoopJoin", "Python", "Pandas"):
+        assert word not in plan(df)
 
 
 def test_entry(spark):
     assert registered.entry(spark).count() == 5
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if n not in
-                                  ("csv_roundtrip", "parquet_roundtrip")])
-def test_plan_has_no_product_and_no_python(spark, name):
-    text = plan(QUERIES[name](spark, DATA))
-    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
-    assert "Python" not in text and "Pandas" not in text
-
-
 def scans(df):
     text = df._jdf.queryExecution().toString()
     found = re.findall(r"ReadSchema: struct<([^>]*)>", text)

@@ -14,6 +14,7 @@ from tallymark.schema import RECONCILED
 from tallymark.session import materialise
 
 TOLERANCE = 0.01
+EXACT = "decimal(38,6)"  # sums that do not depend on the order of the rows
 MAX_SIZE_RATIO = 2.0
 
 
@@ -171,7 +172,11 @@ def tally(checks: DataFrame) -> DataFrame:
 
 
 def compare_copies(source: DataFrame, copy: DataFrame, dims: list[str]) -> DataFrame:
-    """Round-trip check: totals per dimension of a table and its re-read copy."""
+    """Round-trip check: totals per dimension of a table and its re-read copy.
+
+    The two sides add their rows up in different orders, so the sums are exact
+    decimals: with doubles a large total would differ by more than a cent.
+    """
     v = F.col("TotalPrice")
 
     def summary(df: DataFrame, tag: str) -> DataFrame:
@@ -179,15 +184,16 @@ def compare_copies(source: DataFrame, copy: DataFrame, dims: list[str]) -> DataF
             F.count(F.lit(1)).alias(f"{tag}_rows"),
             F.count_if(F.col("Promotion").isNull()).alias(f"{tag}_nulls"),
             F.max(F.abs(recomputed_revenue() - v)).alias(f"{tag}_diff"),
-            F.sum(v).alias(f"{tag}_total"),
-            *[F.sum(F.when(F.col(d).isNotNull(), v)).alias(f"{tag}_{d}") for d in dims])
+            F.sum(v.cast(EXACT)).alias(f"{tag}_total"),
+            *[F.sum(F.when(F.col(d).isNotNull(), v.cast(EXACT))).alias(f"{tag}_{d}")
+              for d in dims])
 
     before = summary(source, "a").withColumn("_one", F.lit(1))
     both = before.join(summary(copy, "b").withColumn("_one", F.lit(1)), "_one")
     c = F.col
 
     def row(item: str, expected: Column, found: Column, tolerance: float) -> Column:
-        delta = F.abs(F.coalesce(found, F.lit(0.0)) - F.coalesce(expected, F.lit(0.0)))
+        delta = F.abs(F.coalesce(found, F.lit(0)) - F.coalesce(expected, F.lit(0)))
         return F.struct(
             F.lit(item).alias("item"), expected.cast("double").alias("expected"),
             found.cast("double").alias("found"),

@@ -46,6 +46,14 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return out if how == "left_semi" else out.drop(*[right[k] for k in keys])
 
 
+def value_totals(df: DataFrame, value: str, sums: dict[str, Column],
+                 by: list[str] | None = None) -> DataFrame:
+    """Sums of row expressions per distinct non-null `value` within `by`, written out."""
+    totals = df.where(F.col(value).isNotNull()).groupBy(*(by or []), value).agg(
+        *[F.sum(e).alias(n) for n, e in sums.items()])
+    return materialise(totals, "value-totals")
+
+
 def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: list[str] | None = None,
                    descending: bool = False) -> DataFrame:
     """One row per distinct `value` (within `by`) with sums and running sums.
@@ -53,12 +61,19 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: list[
     `sums` maps names to row expressions. For each name the result has the sum
     at the value (`name`) and the sum up to and including it (`cum_name`).
     """
+    return accumulate(value_totals(df, value, sums, by), value, list(sums), by, descending)
+
+
+def accumulate(totals: DataFrame, value: str, names: list[str], by: list[str] | None = None,
+               descending: bool = False) -> DataFrame:
+    """Running sums of a table with one row per distinct `value` within `by`.
+
+    Sums go up the tree of buckets; what lies before a bucket comes down it,
+    one join per level on the parent bucket.
+    """
     by = by or []
-    names = list(sums)
     sign = -1 if descending else 1
-    base = (df.where(F.col(value).isNotNull())
-            .groupBy(*by, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-            .withColumn("_b0", leaf_bucket(sign * F.col(value))))
+    base = totals.withColumn("_b0", leaf_bucket(sign * F.col(value)))
 
     def roll(child: DataFrame, level: int) -> DataFrame:
         return (child.withColumn(f"_b{level}", parent(F.col(f"_b{level - 1}")))
@@ -113,7 +128,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     counts them per distinct value. Both passes combine before they shuffle;
     both results are written out, so their real size decides how the next step
     joins them. If a bucket still has very many distinct values, the search
-    goes down the lower levels; otherwise it ends within the bucket.
+    goes down the lower levels; otherwise it ends within the bucket. Columns of
+    a small integer type have few values, so one pass counts them all.
     """
     by = by or []
     pairs = F.explode(F.array(*[
@@ -134,7 +150,14 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 
     top = f"_b{TOP}"
     marked = long.withColumn(top, parent(F.col("_b0"), TOP))
-    hist = marked.groupBy(*group, top).agg(F.count(F.lit(1)).alias("_n"))
+    one, types = F.count(F.lit(1)).alias("_n"), dict(df.dtypes)
+    few_values = all(types[c] in ("int", "smallint", "tinyint") for c in columns)
+    if few_values:
+        counts = materialise(marked.groupBy(*group, top, "_b0", "value").agg(one),
+                             "quantile-values")
+        hist = counts.groupBy(*group, top).agg(F.sum("_n").alias("_n"))
+    else:
+        hist = marked.groupBy(*group, top).agg(one)
     last = F.sum("_n").over(Window.partitionBy(*group)) - 1
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     position = F.col("probability") * F.col("_last")
@@ -147,10 +170,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
              .where(hit).select(*group, "probability", "_weight", rank_inside, top))
     picks = materialise(picks, "quantile-buckets")
 
-    rows = _join(marked, picks.select(*group, top).distinct(), [*group, top], "left_semi")
-    counts = materialise(
-        rows.groupBy(*group, top, "_b0", "value").agg(F.count(F.lit(1)).alias("_n")),
-        "quantile-values")
+    if not few_values:
+        rows = _join(marked, picks.select(*group, top).distinct(), [*group, top], "left_semi")
+        counts = materialise(rows.groupBy(*group, top, "_b0", "value").agg(one),
+                             "quantile-values")
 
     within = top
     widest = counts.groupBy(*group, top).count().agg(F.max("count")).first()[0]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.numeric import ratio
-from tallymark.operators.ordered import area_under_curve, running_totals
+from tallymark.operators.ordered import accumulate, area_under_curve, value_totals
 
 LABELS = [0, 1]
 
@@ -31,9 +31,10 @@ def roc_points(df: DataFrame, score: str = "score", bins: int | None = None) ->
     if bins:
         df = df.withColumn(score, F.floor(F.col(score) * bins) / F.lit(float(bins)))
     positive = (F.col("label") == 1).cast("bigint")
-    points = running_totals(df.where(F.col("label").isNotNull()), score,
-                            {"positives": positive, "negatives": 1 - positive}, descending=True)
-    whole = points.agg(F.struct(F.sum("positives").alias("p"),
+    totals = value_totals(df.where(F.col("label").isNotNull()), score,
+                          {"positives": positive, "negatives": 1 - positive})
+    points = accumulate(totals, score, ["positives", "negatives"], descending=True)
+    whole = totals.agg(F.struct(F.sum("positives").alias("p"),
                                 F.sum("negatives").alias("n"))).scalar()
     return points.select(
         F.col(score).alias("threshold"), F.col("cum_positives").alias("tp"),

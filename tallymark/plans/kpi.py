@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.derive import discount_given
@@ -26,31 +26,36 @@ def kpi_global(df: DataFrame) -> DataFrame:
 def kpi_cards(df: DataFrame, approximate: bool = False) -> DataFrame:
     """The report's cards: the headline numbers with their second lines.
 
-    Orders per month divides by the months seen. `approximate` takes the
-    median from a sketch.
+    Sales are added up per day, the days into the cards; days and months are
+    counted on the way. Orders per month divides by the months seen.
+    `approximate` takes the median from a sketch.
     """
-    parts = [
-        F.count(F.lit(1)).alias("lines"),
-        total(F.col("TotalPrice")).alias("gross_revenue"),
-        total(F.col("NetRevenue")).alias("net_revenue"),
-        F.avg("TotalPrice").alias("avg_order_value"),
-        F.coalesce(F.sum("Returned"), F.lit(0)).alias("returned"),
-        (F.avg("Returned") * 100).alias("return_rate"),
-        total(discount_given()).alias("discount_given"),
-        (F.avg("Discount") * 100).alias("avg_discount_pct")]
-    if approximate:
-        parts.append(F.percentile_approx("TotalPrice", 0.5, 10_000).alias("median_order_value"))
-    cards = df.agg(*parts)
-    if not approximate:
-        cards = cards.withColumn("median_order_value", exact_median(df, "TotalPrice").scalar())
-    # Days are few: count them and their months from the grouped days.
-    days = df.groupBy(F.to_date("Date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    spans = days.agg(F.struct(
+    def mean(name: str) -> Column:
+        return ratio(F.sum(f"{name}_sum"), F.sum(f"{name}_n"))
+
+    averaged = ["TotalPrice", "Returned", "Discount"]
+    days = df.groupBy(F.to_date("Date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("NetRevenue").alias("net"),
+        F.sum(discount_given()).alias("given"),
+        *[F.sum(c).alias(f"{c}_sum") for c in averaged],
+        *[F.count(c).alias(f"{c}_n") for c in averaged])
+    median = df.agg(F.percentile_approx("TotalPrice", 0.5, 10_000)) if approximate \
+        else exact_median(df, "TotalPrice")
+    cards = days.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"),
+        total(F.col("TotalPrice_sum")).alias("gross_revenue"),
+        total(F.col("net")).alias("net_revenue"),
+        mean("TotalPrice").alias("avg_order_value"),
+        F.coalesce(F.sum("Returned_sum"), F.lit(0)).alias("returned"),
+        (mean("Returned") * 100).alias("return_rate"),
+        total(F.col("given")).alias("discount_given"),
+        (mean("Discount") * 100).alias("avg_discount_pct"),
         F.count("day").alias("days"),
-        F.countDistinct(F.trunc("day", "MM")).alias("months"))).scalar()
-    return (cards.withColumn("lost_revenue", F.col("gross_revenue") - F.col("net_revenue"))
-            .withColumn("days", spans["days"])
-            .withColumn("orders_per_month", ratio(F.col("lines"), spans["months"])))
+        F.countDistinct(F.trunc("day", "MM")).alias("_months"))
+    return (cards.withColumn("median_order_value", median.scalar())
+            .withColumn("lost_revenue", F.col("gross_revenue") - F.col("net_revenue"))
+            .withColumn("orders_per_month", ratio(F.col("lines"), F.col("_months")))
+            .drop("_months"))
 
 
 def hero_counts(df: DataFrame, approximate: bool = False) -> DataFrame:

@@ -99,3 +99,48 @@ def test_large_joins_are_not_forced_to_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
+    """A star schema in which one order holds a third of all lines."""
+    folder = str(tmp_path_factory.mktemp("skewed"))
+    i = F.col("id")
+    n = 60_000
+    spark.range(n).select(
+        F.when(i % 3 == 0, 7).otherwise(i % 5000).cast("bigint").alias("l_orderkey"),
+        (i % 50).alias("l_partkey"), (i % 40).alias("l_suppkey"),
+        (1.0 + i % 7).alias("l_quantity"), (100.0 + i % 991).alias("l_extendedprice"),
+        ((i % 11) / 100).alias("l_discount"), F.lit(0.05).alias("l_tax"),
+        F.when(i % 4 == 0, "R").otherwise("N").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"),
+        F.make_timestamp_ntz(F.lit(2024), F.lit(3), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        .alias("l_shipdate")).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(5000).select(
+        i.alias("o_orderkey"), (i % 300).alias("o_custkey"),
+        F.make_timestamp_ntz(2020 + i % 4, 1 + i % 12, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        .alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority")
+    ).write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_hot_join_key_is_split(spark, skewed, distinct):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = sales(spark, skewed, "OrderID", "Year", "TotalPrice")
+        measure = F.countDistinct("OrderID") if distinct else F.count("OrderID")
+        out = df.groupBy("Year").agg(measure.alias("n"), F.sum("TotalPrice"))
+        got = sum(r["n"] for r in out.collect())
+        assert got == (5000 if distinct else 60_000)
+        assert "skew=true" in plan(out)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)

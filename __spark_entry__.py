@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -200,6 +201,23 @@ def category_codes(spark, d):
     return coded.select(pairs.alias("p")).select("p.*").distinct()
 
 
+def scaler_stats(spark, d):
+    numbers = models.RETURN_NUMBERS
+    scaler = models.Features([], numbers, "linear").fit(sales(spark, d, *numbers)).scaler()
+    return spark.createDataFrame(
+        [(n, float(m), float(s)) for n, m, s in zip(numbers, scaler.mean, scaler.std)],
+        "metric string, mean double, std double")
+
+
+def report_tables(spark, d):
+    unfilled = clean.add_derived(raw_sales(spark, d))
+    path = new_path(spark, "report")
+    written = report.write_report(sales(spark, d), unfilled, path)
+    counts = [spark.read.parquet(f"{path}/{name}").agg(
+        F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name in written]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def revenue_models(spark, d, names=None):
     return models.RevenueModels(
         sales(spark, d, "OrderID", "TotalPrice", *models.CATEGORICAL, *models.REVENUE_NUMBERS),
@@ -334,6 +352,8 @@ def queries() -> dict[str, Query]:
             list_price_guess(s, d), ["Region"]), 4),
         "actual_vs_predicted": lambda s, d: fixed(list_price_guess(s, d), 4),
         "category_codes": category_codes,
+        "scaler_stats": lambda s, d: fixed(scaler_stats(s, d), 7),
+        "report_tables": report_tables,
         "note_returns": lambda s, d: fixed(notes.return_rate_note(sales(
             s, d, "Product", "Region", "Salesperson", "TotalPrice", "Returned"))),
         "note_year": lambda s, d: month_column(fixed(notes.partial_year_note(

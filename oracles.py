@@ -557,6 +557,29 @@ def all_sql() -> dict[str, str]:
         CAST(dense_rank() OVER (ORDER BY "{c}") - 1 AS INTEGER) AS code
         FROM (SELECT DISTINCT "{c}" FROM sales)""" for c in (
         "Region", "Product", "CustomerType", "PaymentMethod", "Promotion", "DiscountBucket")]))
+    q["scaler_stats"] = with_sales(union([f"""SELECT '{c}' AS metric, round(avg("{c}"), 7) AS mean,
+        round(stddev_samp("{c}"), 7) AS std FROM sales""" for c in (
+        "Quantity", "UnitPrice", "Discount", "ShippingCost", "DeliveryDays")]))
+    chart_rows = {
+        "c-region": 'count(DISTINCT "Region")', "c-product": 'count(DISTINCT "Product")',
+        "c-returns": 'count(DISTINCT "Product")', "c-payment": 'count(DISTINCT "PaymentMethod")',
+        "c-promo": 'count(DISTINCT "Promotion")', "c-delivery": 'count(DISTINCT "Region")',
+        "c-sales": 'count(DISTINCT "Salesperson")', "c-trend": 'count(DISTINCT "YearMonth")',
+        "returns-by-region": 'count(DISTINCT "Region")',
+        "returns-by-salesperson": 'count(DISTINCT "Salesperson")',
+        "revenue-by-salesperson": 'count(DISTINCT "Salesperson")',
+        "c-year": 'count(DISTINCT "Year")',
+        "revenue-by-quarter": 'count(DISTINCT ("Year", "Quarter"))',
+        "c-heat": 'count(DISTINCT ("Region", "Product"))',
+        "product-by-customer-type": 'count(DISTINCT ("Product", "CustomerType"))',
+        "discount-tiers": "4", "correlation": "21", "forecast": "6"}
+    other_rows = {"checks": "9", "checks_tally": "1", "kpis": "1", "hero": "1",
+                  "notes": """3 + count(DISTINCT "Promotion")
+                    FILTER ("Promotion" <> 'No Promotion')"""}
+    q["report_tables"] = with_sales(union([
+        f"SELECT '{name}' AS \"table\", CAST({n} AS BIGINT) AS rows FROM sales"
+        if "count" in n else f"SELECT '{name}', CAST({n} AS BIGINT)"
+        for name, n in {**{f"chart={k}": v for k, v in chart_rows.items()}, **other_rows}.items()]))
     q["note_returns"] = with_sales("""SELECT round(min_rate, 6) AS min_rate, round(max_rate, 6)
         AS max_rate, lines_per_level, highest_level, round(spread, 6) AS spread,
         round(p_product, 6) AS p_product, round(p_region, 6) AS p_region,

@@ -134,11 +134,14 @@ def group_spread(df: DataFrame, dims: list[str]) -> DataFrame:
 
 def discount_tiers(df: DataFrame) -> DataFrame:
     """Average order value per discount bucket, every bucket listed in order."""
-    spark = df.sparkSession
-    tiers = spark.createDataFrame(
+    return listed_tiers(df.groupBy(F.col("DiscountBucket").alias("bucket")).agg(
+        F.avg("TotalPrice").alias("avg_order_value"), F.count(F.lit(1)).alias("lines")))
+
+
+def listed_tiers(found: DataFrame) -> DataFrame:
+    """Line a table keyed by `bucket` up with the fixed list of buckets."""
+    tiers = found.sparkSession.createDataFrame(
         [(i, b) for i, b in enumerate(DISCOUNT_BUCKETS)], "position int, bucket string")
-    found = df.groupBy(F.col("DiscountBucket").alias("bucket")).agg(
-        F.avg("TotalPrice").alias("avg_order_value"), F.count(F.lit(1)).alias("lines"))
     return tiers.join(found, "bucket", "left").orderBy("position")
 
 

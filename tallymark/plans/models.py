@@ -9,7 +9,8 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (OneHotEncoder, StandardScaler, StandardScalerModel,
+                                StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -119,6 +120,11 @@ class Features:
         out = self._before.transform(self._prepare(df))
         return out.withColumns({c: F.col(c).alias(c, metadata={}) for c in self._strip})
 
+    def scaler(self) -> StandardScalerModel | None:
+        """The fitted scaler: training mean and sample deviation per column."""
+        last = self._after.stages[-1]
+        return last if isinstance(last, StandardScalerModel) else None
+
     def transform(self, df: DataFrame) -> DataFrame:
         return self._after.transform(self._coded(df))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.derive import currency, percent
 from tallymark.functions.numeric import ratio, total
 from tallymark.operators import checks
-from tallymark.operators.breakdown import discount_tiers, level_totals, ordered
+from tallymark.operators.breakdown import level_totals, listed_tiers, ordered
 from tallymark.operators.periods import annual, monthly_trend, quarterly
 from tallymark.operators.stats import chi_square, correlations, trend_forecast
 from tallymark.plans.kpi import hero_counts, kpi_cards
@@ -84,10 +84,10 @@ def charts(df: DataFrame) -> dict[str, DataFrame]:
     The sales are read three times, for levels, days and grids; the results
     are written out and every chart but the correlation reads those.
     """
-    levels = materialise(chart_levels(df), "levels")
+    levels = materialise(chart_levels(df, [*CHART_DIMS, "DiscountBucket"]), "levels")
     days = materialise(daily(df), "days")
     pairs = materialise(grids(df), "grids")
-    tests = chi_square(levels).select("dim", "p_value", "verdict")
+    tests = chi_square(levels.where(F.col("dim").isin(CHART_DIMS))).select("dim", "p_value", "verdict")
     out = {}
     for name, (dim, sort, descending) in LEVEL_CHARTS.items():
         rows = (levels.where(F.col("dim") == dim).join(F.broadcast(tests), "dim", "left")
@@ -101,7 +101,8 @@ def charts(df: DataFrame) -> dict[str, DataFrame]:
     out["c-heat"] = heat.orderBy("row", "column")
     out["product-by-customer-type"] = pairs.where(
         F.col("grid") == "Product x CustomerType").orderBy("row", "column")
-    out["discount-tiers"] = discount_tiers(df)
+    out["discount-tiers"] = listed_tiers(levels.where(F.col("dim") == "DiscountBucket").select(
+        F.col("level").alias("bucket"), "avg_order_value", "lines"))
     out["correlation"] = correlations(df, CORRELATED).where("lower")
     out["forecast"] = trend_forecast(days).orderBy("step")
     return out

@@ -178,18 +178,20 @@ def compare_copies(source: DataFrame, copy: DataFrame, dims: list[str]) -> DataF
     decimals: with doubles a large total would differ by more than a cent.
     """
     v = F.col("TotalPrice")
+    names = ["rows", "nulls", "diff", "total", *dims]
 
-    def summary(df: DataFrame, tag: str) -> DataFrame:
+    def summary(df: DataFrame, side: str) -> DataFrame:
         return df.agg(
-            F.count(F.lit(1)).alias(f"{tag}_rows"),
-            F.count_if(F.col("Promotion").isNull()).alias(f"{tag}_nulls"),
-            F.max(F.abs(recomputed_revenue() - v)).alias(f"{tag}_diff"),
-            F.sum(v.cast(EXACT)).alias(f"{tag}_total"),
-            *[F.sum(F.when(F.col(d).isNotNull(), v.cast(EXACT))).alias(f"{tag}_{d}")
-              for d in dims])
-
-    before = summary(source, "a").withColumn("_one", F.lit(1))
-    both = before.join(summary(copy, "b").withColumn("_one", F.lit(1)), "_one")
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col("Promotion").isNull()).alias("nulls"),
+            F.max(F.abs(recomputed_revenue() - v)).alias("diff"),
+            F.sum(v.cast(EXACT)).alias("total"),
+            *[F.sum(F.when(F.col(d).isNotNull(), v.cast(EXACT))).alias(d)
+              for d in dims]).withColumn("_side", F.lit(side))
+
+    both = summary(source, "a").unionByName(summary(copy, "b")).agg(*[
+        F.max(F.when(F.col("_side") == side, F.col(n))).alias(f"{side}_{n}")
+        for side in ("a", "b") for n in names])
     c = F.col
 
     def row(item: str, expected: Column, found: Column, tolerance: float) -> Column:

@@ -25,6 +25,14 @@ from tallymark.session import new_path, tune  # noqa: E402
 from tallymark.sources import files  # noqa: E402
 from tallymark.sources.star import UNSPECIFIED_PRIORITY, raw_sales, sales  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from tallymark.llm import queries as llm_queries
+except ModuleNotFoundError as missing:  # both go together; nothing else depends on them
+    if missing.name not in ("corpus_pipeline", "tallymark.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 # Size of the registered ensembles; the library's defaults are 100 and 5.
 TREES, FOLDS = 10, 3
@@ -368,6 +376,8 @@ def queries() -> dict[str, Query]:
         "topk_importance": lambda s, d: revenue_models(
             s, d, ["Random Forest"]).importances("Random Forest"),
     }
+    if llm_queries:
+        q |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
     return {name: tuned(query) for name, query in q.items()}
 
 
@@ -377,4 +387,9 @@ def trend_columns(fit: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    sql = oracles.all_sql()
+    if llm_queries:
+        sql |= llm_queries.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql

@@ -45,3 +45,11 @@ def map_rows(df: DataFrame, function: Callable[[dict], Iterator[dict]], schema:
                     [pa.array(columns[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """`base`, or with underscores added until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

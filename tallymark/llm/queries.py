@@ -9,9 +9,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from . import counts, huffman, packing
+from . import (contamination, counts, huffman, jaccard, lines, packing, quality, toxicity, urls,
+               warc)
 from .tokens import id_type, tokenizer_path, vocabulary_size
 
+# Fixed values of the url query: its rules, longest match first wins.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 SEQUENCE_TOKENS = 4096
 
@@ -38,6 +42,18 @@ def op1_best_fit_packing(spark, folder):
                          "sequence_id", "offset")
 
 
+def op2_ngram_jaccard_join(spark, folder):
+    return jaccard.similar_documents(table(spark, folder, "documents")).select(
+        "doc_id", "class_id", "n_links", "n_shingles")
+
+
+def op3_url_filters(spark, folder):
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("id"),
+        ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return urls.judge(table(spark, folder, "pages"), labels, URL_RULES).drop("match")
+
+
 def op4_token_files(spark, folder):
     files = huffman.write_tokens(table(spark, folder, "documents"),
                                  tokenizer_path(BYTE_VOCABULARY), end_id=0)
@@ -51,6 +67,65 @@ def op5_token_counts(spark, folder):
                                tokenizer_path(BYTE_VOCABULARY), limit=1024)
 
 
+def op6_archives(spark, folder):
+    old = warc.write_arc(table(spark, folder, "pages"))
+    records = warc.read_archives(warc.convert_archives(old))
+    return warc.with_referred_rows(records).select(
+        F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        "refers_to")
+
+
+def op7_line_dedup(spark, folder):
+    cleaned = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_dropped",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_toxicity(spark, folder):
+    return toxicity.score_documents(table(spark, folder, "documents"),
+                                    table(spark, folder, "labels"))
+
+
+def op9_benchmark_decontamination(spark, folder):
+    return contamination.find_overlaps(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+def op10_quality_rules(spark, folder):
+    return quality.rate(table(spark, folder, "documents")).drop("coverage", "line_coverage")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op4_token_files, op5_token_counts)}
-ORACLES: dict[str, str] = {}
+    op1_best_fit_packing, op2_ngram_jaccard_join, op3_url_filters, op4_token_files,
+    op5_token_counts, op6_archives, op7_line_dedup, op8_toxicity,
+    op9_benchmark_decontamination, op10_quality_rules)}
+ORACLES: dict[str, str] = {
+    "op6_archives": """
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit'
+                    ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+        FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+                     sha256(coalesce(html, '')) AS payload_digest,
+                     min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+              FROM pages)""",
+    "op7_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents),
+        keyed AS (
+            SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12)
+                                     || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines),
+        marked AS (
+            SELECT *, length(key) >= 10
+                      AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone
+            FROM keyed)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), ''))
+                   AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+}

@@ -20,12 +20,12 @@ from pyspark.sql.functions import arrow_udf
 from .common import small_batches, whole_text
 
 # Labelled rows of each class that are fitted at most, taken by the hash of their text.
-FIT_ROWS = 2000
+FIT_ROWS = 1500
 SHORTEST, LONGEST = 3, 5  # characters of an n-gram, with < and > at the ends of the word
 BUCKETS, SIZE = 1 << 17, 8
 WINDOW = 3
-ROUNDS_WHOLE, ROUNDS_WINDOW, RATE, DECAY = 10, 40, 0.05, 1e-4
-CHUNK_WORDS = 1 << 15  # words whose buckets are in memory as vectors at a time
+ROUNDS_WHOLE, ROUNDS_WINDOW, RATE, DECAY = 5, 30, 0.05, 1e-4
+CHUNK_WORDS = 1 << 14  # words whose buckets are in memory as vectors at a time
 KEPT_WORDS = 200_000
 EDGES = ".,;:!?\"'()[]{}<>«»“”„…-–—"
 
@@ -44,7 +44,8 @@ def pieces(word: str) -> list[int]:
 
 class Adam:
     def __init__(self, shape: tuple):
-        self.mean, self.square, self.step = np.zeros(shape), np.zeros(shape), 0
+        self.mean, self.square = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+        self.step = 0
 
     def update(self, value: np.ndarray, gradient: np.ndarray) -> None:
         self.step += 1
@@ -76,12 +77,23 @@ class Bags:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.begin = np.cumsum(self.lengths) - self.lengths
 
+    def distinct_words(self, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word of each text in `full` once, and the number of its text."""
+        found = [np.unique(self.words[b:b + n]) for b, n in zip(
+            self.begin[full].tolist(), self.lengths[full].tolist())]
+        return (np.concatenate(found) if found else self.words,
+                np.repeat(np.arange(len(found)), [len(f) for f in found]))
+
     def refs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the words one after another, and where each word's begin."""
         size = self.sizes[words]
         begin = np.cumsum(size) - size
         return self.flat[np.repeat(self.starts[words] - begin, size) + np.arange(size.sum())], begin
 
+    def scores(self, per_bucket: np.ndarray) -> np.ndarray:
+        """The sum of each word's buckets."""
+        return np.add.reduceat(per_bucket.astype(np.float32)[self.flat], self.starts)
+
     def sums(self, words: np.ndarray, per_bucket: np.ndarray) -> np.ndarray:
         out = []
         for part in np.split(words, range(CHUNK_WORDS, len(words), CHUNK_WORDS)):
@@ -91,7 +103,7 @@ class Bags:
 
     def to_buckets(self, words: np.ndarray, per_word: np.ndarray) -> np.ndarray:
         """The transpose of `sums`."""
-        out = np.zeros((BUCKETS, per_word.shape[1]))
+        out = np.zeros((BUCKETS, per_word.shape[1]), np.float32)
         for at in range(0, len(words), CHUNK_WORDS):
             part = words[at:at + CHUNK_WORDS]
             flat, _ = self.refs(part)
@@ -107,7 +119,8 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 def spread(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sums of `rows` by index."""
-    return np.stack([np.bincount(index, rows[:, k], size) for k in range(rows.shape[1])], 1)
+    return np.stack([np.bincount(index, rows[:, k], size).astype(np.float32)
+                     for k in range(rows.shape[1])], 1)
 
 
 class Model:
@@ -143,20 +156,21 @@ def window_scores(values: np.ndarray) -> np.ndarray:
 
 def best_windows(bags: Bags, word_score: np.ndarray,
                  full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words in the highest window of each text in `full`, and their text."""
+    """The words in the highest window of each text in `full`, and the number of their text."""
     values = np.stack([word_score[bags.words], bags.sizes[bags.words]], 1)
     begin, length = bags.begin[full], bags.lengths[full]
     top = np.array([b + window_scores(values[b:b + n]).argmax()
                     for b, n in zip(begin.tolist(), length.tolist())], np.int64)
     wide = np.minimum(WINDOW, length)
     owner = np.repeat(np.arange(len(full)), wide)
-    return np.repeat(top - np.cumsum(wide) + wide, wide) + np.arange(len(owner)), owner
+    at = np.repeat(top - np.cumsum(wide) + wide, wide) + np.arange(len(owner))
+    return bags.words[at], owner
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Full-batch training with a fixed start, so the same rows give the same model.
 
-    The first rounds average whole texts; the later ones the highest window of each text, so
+    The first rounds average the distinct words of whole texts; the later ones the highest window of each text, so
     that toxic texts teach by their worst words and clean ones by what looks worst in them. An
     empty window is one more clean example. Both classes weigh the same.
     """
@@ -166,22 +180,21 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), 3.0 if len(labels) and labels[0] else -3.0)
     bags = Bags(texts)
     rng = np.random.Generator(np.random.PCG64(7))
-    embedding = rng.normal(0, 0.1, (BUCKETS, SIZE))
-    weights, bias = rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2)
+    embedding = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
+    weights, bias = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.zeros(2)
     adams = Adam(embedding.shape), Adam(weights.shape), Adam(bias.shape)
     full = np.flatnonzero(bags.lengths)
-    vocabulary = np.arange(len(bags.sizes))
     y = np.append(labels[full], 0)  # the last is the empty window
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / (y == 0).sum())
     share[-1] = 0.1
+    distinct = bags.distinct_words(full)
     for step in range((ROUNDS_WHOLE + ROUNDS_WINDOW) if len(full) else 0):
         if step < ROUNDS_WHOLE:
-            position, owner = np.arange(len(bags.words)), np.repeat(np.arange(len(full)),
-                                                                    bags.lengths[full])
+            word_of, owner = distinct
         else:
-            score = bags.sums(vocabulary, embedding @ (weights[:, 1] - weights[:, 0]))
-            position, owner = best_windows(bags, score, full)
-        words, word = np.unique(bags.words[position], return_inverse=True)
+            score = bags.scores(embedding @ (weights[:, 1] - weights[:, 0]))
+            word_of, owner = best_windows(bags, score, full)
+        words, word = np.unique(word_of, return_inverse=True)
         vectors = bags.sums(words, embedding)
         total = np.bincount(owner, bags.sizes[words][word], len(full))
         mean = spread(owner, vectors[word], len(full)) / total[:, None]

@@ -1,23 +1,25 @@
 """Token ids of whole texts by a public tokenizer, at the speed of its distinct words.
 
-White-space-led chunks of a text are encoded once and kept. Both vocabularies split a text
-before any white space that follows other characters, so the ids of the chunks, one after
-another, are the ids of the text. Texts with white space other than space, tab, line feed and
-carriage return go to the tokenizer whole.
+Chunks of a text are encoded once and kept. Both vocabularies split a text before any white
+space that follows other characters, and between a letter and a mark such as a full stop, so
+the ids of the chunks, one after another, are the ids of the text. Special strings hold marks
+and are not cut there. Texts with white space other than space, tab, line feed and carriage
+return go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
-CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+CHUNKS = re.compile(r"[ \t\n\r]*+(?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?$%#*])|[^ \t\n\r]+|$)")
+MARK = "<|"  # begins every special string
 RARE_SPACE = re.compile(r"[^\S \t\n\r]")
 BATCH_CHARS = 1_000_000
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 300_000
 
 _encoders: dict = {}
 
@@ -48,6 +50,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.counts_only = counts_only
         self.recent: dict = {}
         self.older: dict = {}
@@ -56,33 +59,35 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         if self.counts_only:
             return [len(e) for e in found]
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def batch(self, texts: list[str]) -> list:
         """One value per text; meant for some BATCH_CHARS characters at a time."""
         plain = [RARE_SPACE.search(t) is None for t in texts]
-        chunks = [CHUNK.findall(t) if p else None for t, p in zip(texts, plain)]
-        new = set()
-        for c in chunks:
-            new.update(c or ())
-        new.difference_update(self.recent.keys())
+        chunks, ends = [], []
+        for text, p in zip(texts, plain):
+            if p:
+                chunks += (WORDS if MARK in text else CHUNKS).findall(text)
+            ends.append(len(chunks))
+        values = list(map(self.recent.get, chunks))
+        if None in values:
+            self.fill(chunks, values)
+        whole = iter(self.raw([t for t, p in zip(texts, plain) if not p]))
+        join = sum if self.counts_only else b"".join
+        return [join(values[a:b]) if p else next(whole)
+                for p, a, b in zip(plain, [0, *ends], ends)]
+
+    def fill(self, chunks: list[str], values: list) -> None:
+        """Put the values of the chunks that are not at hand, and keep them."""
+        places = [i for i, v in enumerate(values) if v is None]
+        new = {chunks[i] for i in places}
         if len(self.recent) + len(new) > KEPT_CHUNKS:
             self.older, self.recent = self.recent, {}
-            new = set()
-            for c in chunks:
-                new.update(c or ())
-        unknown = []
-        for c in new:
-            value = self.older.get(c)
-            if value is None:
-                unknown.append(c)
-            else:
-                self.recent[c] = value
+        unknown = [c for c in new if c not in self.older]
+        self.recent.update((c, self.older[c]) for c in new if c in self.older)
         self.recent.update(zip(unknown, self.raw(unknown)))
-        whole = iter(self.raw([t for t, p in zip(texts, plain) if not p]))
-        join = sum if self.counts_only else b"".join
-        known = self.recent.__getitem__
-        return [next(whole) if c is None else join(map(known, c)) for c in chunks]
+        for i in places:
+            values[i] = self.recent[chunks[i]]
 
     def many(self, texts: list[str]) -> list:
         """One value per text. Long texts are cut at safe places and short ones put together,

@@ -379,12 +379,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without all but one row of each class: the one with the smallest id, then the
-    smallest text_hash, stays. A repeated row (same id and text) is the same document. Texts
+    """`docs` without all but one row of each class: the one with the smallest id (nulls last),
+    then the smallest text_hash, stays. A repeated row (same id and text) is the same document. Texts
     without words all stay, but for repeated rows. Columns are those of `docs`."""
     found = similar_documents(docs, id_col, text_col)
     winners = found.filter("n_shingles > 0").groupBy("class_node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("w")).select("w.*").unionByName(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w")
+    ).select("w.doc_id", "w.text_hash").unionByName(
         found.filter("n_shingles = 0").select("doc_id", "text_hash")).distinct()
     names = [free_name(docs, n) for n in ("winner_id", "winner_hash", "own_hash")]
     winners = written(winners.toDF(*names[:2]), "winners")

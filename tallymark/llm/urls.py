@@ -93,11 +93,11 @@ def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
              .join(frequency, "token").groupBy("rule")
              .agg(F.min_by("token", F.struct("n", "token")).alias("token"),
                   F.first("rule_tokens").alias("rule_tokens"),
-                  F.first("confidence").alias("confidence"), F.first("support").alias("support")))
+                  F.max(F.struct("confidence", "support")).alias("proof")))
     candidates = (distinct.select("tokens", F.explode("tokens").alias("token"))
                   .join(index, "token")
                   .filter(F.size(F.array_except("rule_tokens", "tokens")) == 0))
-    best = F.struct("confidence", "support", F.array_sort("rule_tokens").alias("rule_tokens"))
+    best = F.struct("proof.confidence", "proof.support", F.array_sort("rule_tokens").alias("rule_tokens"))
     return candidates.groupBy("tokens").agg(F.max(best).alias("match"))
 
 

@@ -29,7 +29,7 @@ BANDS, BAND_VALUES = 48, 6
 COMPARED, STEP, TOLERANCE = 128, 32, 1e-9
 THRESHOLD = (4, 5)  # numerator and denominator, so the exact test has no rounding
 # Members of a bucket, and shingles of a cluster, that one task compares with as many others.
-BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 100_000
+BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 30_000
 
 _rng = np.random.Generator(np.random.PCG64(20240101))  # the same hash functions everywhere
 FLIPS = _rng.integers(0, 2 ** 64, BANDS * BAND_VALUES, np.uint64)

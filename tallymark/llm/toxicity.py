@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import small_batches, whole_text
+from .common import small_batches, whole_text, written
 
 # Labelled rows of each class that are fitted at most, taken by the hash of their text.
 FIT_ROWS = 1500
@@ -219,19 +220,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on at most `fit_rows` labelled rows of each class that are not held out.
 
-    Rows are chosen by the hash of their text, so neither ids nor order matter. Null labels
+    Rows are chosen by the hash of their text; only ids and hashes are joined with the labels, and
+    only the chosen rows' texts come to the driver. Null labels
     teach nothing; of several labels for an id the highest counts.
     """
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
              .filter(F.col("toxic").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
              .groupBy("id").agg(F.max("toxic").alias("toxic")))
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col)).join(known, "id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")).join(known, "id")
+    chosen = written(reduce(DataFrame.unionByName, [
+        rows.filter(F.col("toxic") == value).orderBy("hash", "id").limit(fit_rows)
+        for value in (0, 1)]).distinct(), "fit-rows")  # at most 2 * fit_rows rows
+    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"),
+                        text.alias("text")).join(F.broadcast(chosen), ["id", "hash"])
     texts, toxic = [], []
-    for value in (0, 1):  # the chosen rows alone come to the driver
-        for r in (rows.filter(F.col("toxic") == value).select("text", "id")
-                  .orderBy(F.xxhash64("text"), "id").limit(fit_rows).toLocalIterator()):
-            texts.append(r["text"])
-            toxic.append(value)
+    for r in found.dropDuplicates(["id", "hash"]).orderBy("hash", "id").toLocalIterator():
+        texts.append(r["text"])
+        toxic.append(r["toxic"])
     return fit(texts, toxic)
 
 

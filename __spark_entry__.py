@@ -9,7 +9,7 @@ from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles  # noqa: E402
@@ -20,8 +20,8 @@ from tallymark.operators import checks, clean, crosstab, ordered, periods, profi
 from tallymark.operators import scores, stats  # noqa: E402
 from tallymark.plans import kpi, models, notes, report  # noqa: E402
 from tallymark.schema import (CATEGORIES, CLEAN_COLUMNS, CORRELATED, NULL_TOKENS,  # noqa: E402
-                              PROFILED, RECONCILED)
-from tallymark.session import new_path, tune  # noqa: E402
+                              PROFILED, RECONCILED, raw_schema)
+from tallymark.session import input_bytes, new_path, tune  # noqa: E402
 from tallymark.sources import files  # noqa: E402
 from tallymark.sources.star import UNSPECIFIED_PRIORITY, raw_sales, sales  # noqa: E402
 
@@ -34,8 +34,11 @@ except ModuleNotFoundError as missing:  # both go together; nothing else depends
     corpus_pipeline = llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
-# Size of the registered ensembles; the library's defaults are 100 and 5.
-TREES, FOLDS = 10, 3
+FACT = ["lineitem", "orders"]  # what grows among the tables of the sales
+TEXTS = ["documents", "pages"]
+# Columns of the wide tables that are registered.
+PRODUCTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+CUSTOMER_TYPES = ["F", "O"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,8 +97,43 @@ def derive_features(spark, d):
 
 
 def dedupe_rows(spark, d):
-    out = clean.drop_duplicate_rows(sales(spark, d, "Date", "Region", "Product", "Promotion"))
-    return out.select(day("Date"), "Region", "Product", "Promotion")
+    some = clean.drop_duplicate_rows(sales(spark, d, "Date", "Region", "Product", "Promotion"))
+    whole = clean.drop_duplicate_rows(raw_sales(spark, d)).groupBy(
+        "Date", "Region", "Product", fill_promotion(F.col("Promotion")).alias("Promotion")).agg(
+        F.count(F.lit(1)).alias("whole_rows"))
+    keys = ["Date", "Region", "Product", "Promotion"]
+    same = [some[k].eqNullSafe(whole[k]) for k in keys]
+    return some.join(whole, same, "left").select(
+        F.date_format(some["Date"], "yyyy-MM-dd HH:mm:ss").alias("Date"),
+        *[some[k] for k in keys[1:]], "whole_rows")
+
+
+def cleaning_path(spark, d):
+    """Raw CSV with doubled rows and null tokens, written from the tables, then cleaned."""
+    raw = raw_sales(spark, d)
+    raw = raw.select(*[F.col(f.name).cast(f.dataType) for f in raw_schema().fields])
+    doubled = raw.unionByName(raw.where(F.col("OrderID").cast("bigint") % 7 == 0))
+    text = doubled.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c)
+                            for c in doubled.columns])
+    path = new_path(spark, "raw-csv")
+    text.write.option("header", True).csv(path)
+    cleaned = clean.clean(files.read_raw_csv(spark, path))
+    stored = new_path(spark, "raw-parquet")
+    files.read_raw_csv(spark, path).write.parquet(stored)
+    again = clean.clean(files.read_raw_parquet(spark, stored))
+    return reduce(DataFrame.unionByName, [
+        fixed(cleaned_rows(df).withColumn("source", F.lit(name)), 4)
+        for name, df in (("csv", cleaned), ("parquet", again))])
+
+
+def cleaned_rows(df: DataFrame) -> DataFrame:
+    return df.groupBy("YearMonth", "Promotion", "DiscountBucket").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("Returned").alias("returned"),
+        F.sum("DeliveryDays").alias("delivery_days"), F.sum("Quarter").alias("quarters"),
+        F.sum("CalcRevenue").alias("calc_revenue"), F.sum("NetRevenue").alias("net_revenue"),
+        F.sum("GrossProfit").alias("gross_profit"),
+        F.date_format(F.min("OrderDate"), "yyyy-MM-dd").alias("first_order"),
+        F.date_format(F.max("DeliveryDate"), "yyyy-MM-dd").alias("last_delivery"))
 
 
 def duplicate_rows(spark, d):
@@ -155,15 +193,9 @@ def by_promotion_without_null(spark, d):
 
 
 def delivery_stats(spark, d):
-    df = sales(spark, d, "Region", "DeliveryDays")
-    medians = ordered.exact_median(df, "DeliveryDays", ["Region"])
-    plain = df.groupBy("Region").agg(
-        F.avg("DeliveryDays").alias("mean"), F.min("DeliveryDays").alias("min"),
-        F.max("DeliveryDays").alias("max"))
-    both = plain.join(medians.withColumnRenamed("Region", "_r"),
-                      F.col("Region").eqNullSafe(F.col("_r")), "left").drop("_r")
-    return both.select("Region", F.bround("mean", 1).alias("mean"),
-                       F.bround("median", 1).alias("median"), "min", "max").orderBy("Region")
+    return bd.delivery_stats(sales(spark, d, "Region", "DeliveryDays")).select(
+        "Region", F.bround("mean", 1).alias("mean"), F.bround("median", 1).alias("median"),
+        "min", "max").orderBy("Region")
 
 
 def rank_salespeople(spark, d):
@@ -199,43 +231,133 @@ def list_price_guess(spark, d):
         (F.col("Quantity") * F.col("UnitPrice")).alias("prediction"))
 
 
+def prepared(spark, d) -> models.Prepared:
+    """Split and encoded rows of the return models; the order's number decides the split."""
+    rows = sales(spark, d, "OrderID", "Returned", *models.CATEGORICAL, *models.RETURN_NUMBERS)
+    return models.Prepared(rows.withColumn("label", F.col("Returned").cast("double")),
+                           models.RETURN_NUMBERS, 5, 5, F.col("OrderID"), stratify=True)
+
+
+def model_split(spark, d):
+    return prepared(spark, d).sizes()
+
+
 def category_codes(spark, d):
-    cats = ["Region", "Product", "CustomerType", "PaymentMethod", "Promotion", "DiscountBucket"]
-    df = sales(spark, d, *cats, "Quantity")
-    coded = models.Features(cats, ["Quantity"], kind="codes").fit(df)._coded(df)
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("level"),
-                                         F.col(f"{c}_code").cast("int").alias("code"))
-                                for c in cats]))
-    return coded.select(pairs.alias("p")).select("p.*").distinct()
+    return prepared(spark, d).features.codes.select(
+        "column", "level", F.col("code").cast("int").alias("code"))
 
 
 def scaler_stats(spark, d):
-    numbers = models.RETURN_NUMBERS
-    scaler = models.Features([], numbers, "linear").fit(sales(spark, d, *numbers)).scaler()
+    features = prepared(spark, d).features
+    scaler = features.scaler()
     return spark.createDataFrame(
-        [(n, float(m), float(s)) for n, m, s in zip(numbers, scaler.mean, scaler.std)],
+        [(n, float(m), float(s)) for n, m, s in zip(features.names, scaler.mean, scaler.std)],
         "metric string, mean double, std double")
 
 
+def fixed_cards(cards: DataFrame) -> DataFrame:
+    return fixed(cards, 1, median_order_value=6, avg_order_value=4, return_rate=4,
+                 avg_discount_pct=6, orders_per_month=4)
+
+
 def report_tables(spark, d):
+    """Every cell of every table of the report; the forecast's and chi-square's last digits and
+    texts that quote them are left to their own queries."""
     unfilled = clean.add_derived(raw_sales(spark, d))
-    path = new_path(spark, "report")
-    written = report.write_report(sales(spark, d), unfilled, path)
-    counts = [spark.read.parquet(f"{path}/{name}").agg(
-        F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name in written]
-    return reduce(DataFrame.unionByName, counts)
+    tables = report.report_tables(sales(spark, d), unfilled)
+    tables["kpis"] = fixed_cards(tables["kpis"])
+    return reduce(DataFrame.unionByName, [
+        report.long_form(table.select(*[c for c in table.columns if c in REPORT_COLUMNS[name]]), name)
+        for name, table in tables.items() if name in REPORT_COLUMNS])
+
+
+LEVEL_COLUMNS = ["level", "lines", "revenue", "share_pct", "avg_order_value", "return_rate",
+                 "avg_discount_pct", "avg_delivery_days"]
+REPORT_COLUMNS = {
+    **{f"chart={name}": LEVEL_COLUMNS for name in report.LEVEL_CHARTS},
+    "chart=c-trend": ["label", "revenue", "mean_revenue", "position"],
+    "chart=c-year": ["label", "revenue"], "chart=revenue-by-quarter": ["label", "revenue"],
+    "chart=c-heat": ["row", "column", "revenue", "lines", "return_rate"],
+    "chart=product-by-customer-type": ["row", "column", "revenue", "lines", "return_rate"],
+    "chart=discount-tiers": ["bucket", "avg_order_value", "lines"],
+    "chart=correlation": ["x", "y", "corr"], "chart=forecast": ["step", "yhat"],
+    "checks": ["check", "status", "threshold"], "checks_tally": ["overall", "passed", "warned", "failed"],
+    "kpis": ["lines", "gross_revenue", "net_revenue", "avg_order_value", "returned", "return_rate",
+             "discount_given", "avg_discount_pct", "days", "median_order_value", "lost_revenue",
+             "orders_per_month"],
+    "hero": ["regions", "products", "salespeople", "months"], "notes": ["note", "subject", "text"]}
 
 
 def revenue_models(spark, d, names=None):
     return models.RevenueModels(
         sales(spark, d, "OrderID", "TotalPrice", *models.CATEGORICAL, *models.REVENUE_NUMBERS),
-        trees=TREES, names=names)
+        names=names, number=F.col("OrderID"))
 
 
-def return_models(spark, d, names=None):
+def return_models(spark, d):
     return models.ReturnModels(
         sales(spark, d, "OrderID", "Returned", *models.CATEGORICAL, *models.RETURN_NUMBERS),
-        trees=TREES, folds=FOLDS, names=names)
+        number=F.col("OrderID"))
+
+
+def bounded(column: str):
+    return F.col(column).between(0, 1)
+
+
+def clf_leaderboard(spark, d):
+    """What is certain of the fitted models: sizes, baseline, that one is best, and that the
+    metrics follow from the saved predictions."""
+    fitted = return_models(spark, d)
+    board = fitted.leaderboard()
+    checked = []
+    for name, predicted in fitted.predictions.items():
+        hits = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+        one = predicted.agg(F.count(F.lit(1)).alias("predicted"), hits.alias("again"),
+                            F.count_if(~F.col("score").between(0, 1)).alias("outside"))
+        checked.append(one.withColumn("name", F.lit(name)))
+    checked = reduce(DataFrame.unionByName, checked)
+    best = board.agg(F.count_if("is_best")).scalar()
+    guarded = board.agg(F.count_if(F.col("is_best") & (
+        F.col("no_signal") == (F.col("cv_auc") < models.NO_SIGNAL_AUC)))).scalar()
+    same = F.abs(F.col("accuracy") - F.col("again")) < 1e-9
+    return board.join(checked, F.col("model") == F.col("name"), "left").select(
+        "model", F.lit(fitted.n_train).cast("long").alias("n_train"), "predicted",
+        F.when(F.col("name").isNull(), F.round("accuracy", 6)).alias("baseline"),
+        (same & (F.col("outside") == 0) & bounded("auc") & bounded("cv_auc") &
+         bounded("f1_returned")).alias("consistent"),
+        best.alias("best_models"), guarded.alias("guarded"))
+
+
+def reg_leaderboard(spark, d):
+    """As `clf_leaderboard`, with the errors taken again from the saved predictions."""
+    fitted = revenue_models(spark, d)
+    parts = []
+    for name, predicted in fitted.predictions.items():
+        error = F.col("label") - F.col("prediction")
+        parts.append(predicted.agg(
+            F.count(F.lit(1)).alias("predicted"), F.round(F.sum("label"), 1).alias("actual"),
+            F.avg(F.abs(error)).alias("mae2"), F.sqrt(F.avg(error * error)).alias("rmse2"))
+            .withColumn("name", F.lit(name)))
+    board = fitted.leaderboard()
+    checked = reduce(DataFrame.unionByName, parts)
+    best = board.agg(F.count_if(F.col("is_best"))).scalar()
+    near = (F.abs(F.col("mae") - F.col("mae2")) < 1e-6 * F.col("mae2") + 1e-9) & (
+        F.abs(F.col("rmse") - F.col("rmse2")) < 1e-6 * F.col("rmse2") + 1e-9)
+    return board.join(checked, F.col("model") == F.col("name")).select(
+        "model", "predicted", "actual", (near & (F.col("r2") <= 1) & (F.col("r2") > 0.5))
+        .alias("consistent"), best.alias("best_models"))
+
+
+def topk_importance(spark, d):
+    """Ten features, best first; the two that make up most of the revenue lead."""
+    fitted = revenue_models(spark, d, ["Gradient Boosting"])
+    top = fitted.importances("Gradient Boosting", 10)
+    lead = F.col("feature").isin("Quantity", "UnitPrice")
+    ranked = top.withColumn("rank", F.row_number().over(
+        Window.orderBy(F.desc("importance"), "feature")))  # ten rows
+    return ranked.select(
+        "rank", F.col("importance").between(0, 1).alias("is_share"),
+        F.when(F.col("rank") <= 2, lead).alias("is_factor"))
 
 
 # -- registry ---------------------------------------------------------------
@@ -245,9 +367,10 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["by_region"](spark, SMOKE_DIR)
 
 
-def tuned(query: Query) -> Query:
+def tuned(query: Query, tables: list[str]) -> Query:
+    """Size the shuffles by what the query's growing tables hold."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tune(spark)
+        tune(spark, input_bytes(spark, sf_dir, tables))
         return query(spark, sf_dir)
     return run
 
@@ -261,7 +384,7 @@ def queries() -> dict[str, Query]:
         "dedupe_rows": dedupe_rows,
         "duplicate_rows": duplicate_rows,
         "key_uniqueness": key_uniqueness,
-        "profile_shape": lambda s, d: profile.shape(sales(s, d)).select("position", "column", "rows"),
+        "profile_shape": lambda s, d: profile.shape(sales(s, d)),
         "profile_nulls": lambda s, d: profile.nulls(raw_sales(s, d)),
         "profile_numeric": lambda s, d: fixed(profile.numeric(sales(s, d, *PROFILED), PROFILED)),
         "profile_categories": lambda s, d: profile.categories(sales(s, d, *CATEGORIES), CATEGORIES),
@@ -270,10 +393,9 @@ def queries() -> dict[str, Query]:
         "kpi_global": lambda s, d: fixed(kpi.kpi_global(sales(
             s, d, "TotalPrice", "NetRevenue", "Returned", "DeliveryDays", "ShippingCost")), 1,
             avg_order_value=4, return_rate=4, avg_delivery_days=4),
-        "kpi_cards": lambda s, d: fixed(kpi.kpi_cards(sales(
+        "kpi_cards": lambda s, d: fixed_cards(kpi.kpi_cards(sales(
             s, d, "Date", "TotalPrice", "NetRevenue", "Returned", "Quantity", "UnitPrice",
-            "Discount")), 1, median_order_value=6, avg_order_value=4, return_rate=4,
-            avg_discount_pct=6, orders_per_month=4),
+            "Discount"))),
         "hero_counts": lambda s, d: kpi.hero_counts(
             sales(s, d, "Region", "Product", "Salesperson", "Date")),
         **{name: report_by(name) for name in REPORTS},
@@ -302,6 +424,8 @@ def queries() -> dict[str, Query]:
         "month_gaps": lambda s, d: month_column(periods.month_gaps(
             dated(s, d, "Salesperson", "CustomerType"), ["Salesperson", "CustomerType"])),
         "like_for_like_year": lambda s, d: month_column(fixed(periods.like_for_like(
+            dated(s, d)), 4), "last_date"),
+        "like_for_like_half": lambda s, d: month_column(fixed(periods.like_for_like(
             dated(s, d), months=6), 4), "last_date"),
         "like_for_like_observed": lambda s, d: month_column(fixed(periods.like_for_like(
             dated(s, d), drop_last_month=True), 4), "last_date"),
@@ -312,14 +436,17 @@ def queries() -> dict[str, Query]:
             sales(s, d, "Region", "Product", "TotalPrice", "Returned"), "Region", "Product"),
             revenue=4),
         "pivot_revenue": lambda s, d: fixed(crosstab.wide(
-            sales(s, d, "Region", "Product", "TotalPrice"), "Region", "Product",
-            F.sum("TotalPrice"), fill=0.0).orderBy("Region"), 4),
+            crosstab.cells(sales(s, d, "Region", "Product", "TotalPrice", "Returned"), "Region",
+                           "Product"), "Region", "Product", "revenue", PRODUCTS, fill=0.0)
+            .orderBy("Region"), 4),
         "pivot_return": lambda s, d: fixed(crosstab.wide(
-            sales(s, d, "Region", "Product", "Returned"), "Region", "Product",
-            F.avg("Returned") * 100).orderBy("Region")),
+            crosstab.cells(sales(s, d, "Region", "Product", "TotalPrice", "Returned"), "Region",
+                           "Product"), "Region", "Product", "return_rate", PRODUCTS)
+            .orderBy("Region")),
         "pivot_product_customer": lambda s, d: fixed(crosstab.by_first_column(crosstab.wide(
-            sales(s, d, "Product", "CustomerType", "TotalPrice"), "Product", "CustomerType",
-            F.sum("TotalPrice") / 1000), "Product")),
+            crosstab.cells(sales(s, d, "Product", "CustomerType", "TotalPrice", "Returned"),
+                           "Product", "CustomerType").withColumn("k", F.col("revenue") / 1000),
+            "Product", "CustomerType", "k", CUSTOMER_TYPES), "Product")),
         "grid_reconcile": lambda s, d: fixed(crosstab.grid_difference(
             sales(s, d, "Region", "Product", "TotalPrice", "Returned"), "Region", "Product"), 1, min_cell=4, max_cell=4),
         "chart_levels": lambda s, d: fixed(report.chart_levels(sales(
@@ -371,14 +498,17 @@ def queries() -> dict[str, Query]:
         "notes": lambda s, d: notes.all_notes(sales(
             s, d, "Date", "Product", "Region", "Salesperson", "Promotion", "TotalPrice",
             "Returned", "Discount")),
-        "clf_leaderboard": lambda s, d: return_models(s, d).leaderboard(),
-        "reg_leaderboard": lambda s, d: revenue_models(s, d).leaderboard(),
-        "topk_importance": lambda s, d: revenue_models(
-            s, d, ["Random Forest"]).importances("Random Forest"),
+        "model_split": model_split,
+        "clf_leaderboard": clf_leaderboard,
+        "reg_leaderboard": reg_leaderboard,
+        "topk_importance": topk_importance,
+        "cleaning_path": cleaning_path,
     }
+    found = {name: tuned(query, FACT) for name, query in q.items()}
     if llm_queries:
-        q |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
-    return {name: tuned(query) for name, query in q.items()}
+        texts = llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+        found |= {name: tuned(query, TEXTS) for name, query in texts.items()}
+    return found
 
 
 def trend_columns(fit: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names and labels of the columns, as the library has them.
 BUCKETS = ["No Discount", "Low (1–5%)", "Mid (6–10%)", "High (11–15%)"]
 CATEGORIES = ["Region", "Product", "CustomerType", "PaymentMethod", "Promotion",
               "StoreLocation", "Salesperson", "RegionManager"]
@@ -15,6 +16,13 @@ RAW = ["OrderID", "Date", "OrderDate", "DeliveryDate", "Region", "Product", "Cus
        "Quantity", "UnitPrice", "Discount", "TotalPrice", "ShippingCost", "Returned"]
 DERIVED = ["DeliveryDays", "CalcRevenue", "Year", "Month", "Quarter", "YearMonth",
            "NetRevenue", "GrossProfit", "DiscountBucket"]
+TYPES = {"OrderID": "bigint", **dict.fromkeys(["Date", "OrderDate", "DeliveryDate"], "timestamp_ntz"),
+         **dict.fromkeys(["Quantity", "UnitPrice", "Discount", "TotalPrice", "ShippingCost",
+                          "CalcRevenue", "NetRevenue", "GrossProfit"], "double"),
+         **dict.fromkeys(["Returned", "DeliveryDays", "Year", "Month", "Quarter"], "int")}
+CODED = ["Region", "Product", "CustomerType", "PaymentMethod", "Promotion", "StoreLocation",
+         "Salesperson", "DiscountBucket"]
+SCALED = ["Quantity", "UnitPrice", "Discount", "ShippingCost", "DeliveryDays"]
 PRODUCTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 SALES = f"""
@@ -163,10 +171,10 @@ LIKE = """base AS (SELECT "Year" AS y, "Month" AS m, sum("TotalPrice") AS revenu
     ll AS (SELECT sum(revenue) FILTER (y = ly AND m <= c) AS current,
       sum(revenue) FILTER (y = ly - 1 AND m <= c) AS previous,
       sum(revenue) FILTER (y = (SELECT max(y) FROM base, edge WHERE y < ly)) AS previous_full,
-      max(ly) AS year, max(lm) AS last_month, max(ld) AS last_date, max(c) AS months_compared
+      sum(revenue) FILTER (y = ly) AS part, max(ly) AS year, max(lm) AS last_month, max(ld) AS last_date, max(c) AS months_compared
       FROM base, cut),
     lfl AS (SELECT *, (current / previous - 1) * 100 AS change_pct,
-      (current / previous_full - 1) * 100 AS apparent_pct,
+      (part / previous_full - 1) * 100 AS apparent_pct,
       current * 12.0 / months_compared AS annualised,
       (current * 12.0 / months_compared / previous_full - 1) * 100 AS annualised_pct FROM ll)"""
 
@@ -219,6 +227,7 @@ CHECKS = f"""one AS (SELECT count(*) AS n, sum("TotalPrice") AS total,
       count(*) FILTER ("Promotion" IS NULL) AS no_promo,
       count(*) FILTER ("DeliveryDate" < "OrderDate") AS early,
       min("DeliveryDays") AS lead_min, max("DeliveryDays") AS lead_max,
+      avg("DeliveryDays") AS lead_mean,
       count(*) FILTER ("TotalPrice" <= 0) AS bad_price,
       count(*) FILTER ("Discount" IS NULL) AS no_discount FROM rawplus),
     cover AS ({union([f'''SELECT {i} AS i, '{d}' AS dim, abs(coalesce(sum("TotalPrice")
@@ -228,6 +237,7 @@ CHECKS = f"""one AS (SELECT count(*) AS n, sum("TotalPrice") AS total,
       AS kept, count(DISTINCT "OrderID") AS keys FROM rawplus),
     {filled([])},
     gap AS (SELECT count(*) FILTER (m.month IS NOT NULL) AS seen,
+      strftime(min(s.month), '%Y-%m') AS first, strftime(max(s.month), '%Y-%m') AS last,
       count(*) FILTER (m.month IS NULL) AS gaps,
       string_agg(CASE WHEN m.month IS NULL THEN strftime(s.month, '%Y-%m') END, ', '
         ORDER BY s.month) AS missing FROM s LEFT JOIN m ON s.month = m.month),
@@ -236,22 +246,22 @@ CHECKS = f"""one AS (SELECT count(*) AS n, sum("TotalPrice") AS total,
     vol AS (SELECT max(hi * 1.0 / lo) AS ratio,
       string_agg(concat(dim, ' ', lo, '-', hi), ', ' ORDER BY dim) AS detail FROM size),
     checks AS (
-      SELECT 'no_duplicates' AS "check", 'No duplicate orders' AS label,
+      SELECT 'no_duplicates' AS "check", 'Orders are unique' AS label,
         CASE WHEN total_rows = kept AND total_rows = keys THEN 'pass' ELSE 'fail' END AS status,
         CAST(greatest(total_rows - keys, total_rows - kept) AS DOUBLE) AS observed, 0.0::DOUBLE
         AS threshold, concat(total_rows, ' rows, ', keys, ' keys, ', total_rows - kept,
         ' duplicate rows') AS detail FROM dup
-      UNION ALL SELECT 'revenue_arithmetic', 'Revenue arithmetic reconciles',
+      UNION ALL SELECT 'revenue_arithmetic', 'Revenue follows from its factors',
         CASE WHEN max_diff < 0.01 THEN 'pass' ELSE 'fail' END, max_diff, 0.01,
         concat('largest difference ', printf('%.4f', max_diff), ' over ', n, ' rows') FROM one
-      UNION ALL SELECT 'promotion_complete', 'Promotion field complete',
+      UNION ALL SELECT 'promotion_complete', 'Every row has a promotion',
         CASE WHEN no_promo = 0 THEN 'pass' ELSE 'fail' END, no_promo, 0,
         concat(no_promo, ' of ', n, ' rows without a promotion') FROM one
-      UNION ALL SELECT 'delivery_after_order', 'Delivery dates are consistent',
+      UNION ALL SELECT 'delivery_after_order', 'Nothing is delivered before it is ordered',
         CASE WHEN early = 0 THEN 'pass' ELSE 'fail' END, early, 0,
         concat(early, ' delivered before ordered; lead time ', lead_min, ' to ', lead_max,
-        ' days') FROM one
-      UNION ALL SELECT 'breakdowns_cover_total', 'Every breakdown sums back to the total',
+        ' days, ', printf('%.2f', lead_mean), ' on average') FROM one
+      UNION ALL SELECT 'breakdowns_cover_total', 'Known groups hold all revenue',
         CASE WHEN max(delta) < 0.01 THEN 'pass' ELSE 'fail' END, max(delta), 0.01,
         coalesce(string_agg(CASE WHEN delta >= 0.01 THEN dim END, ', ' ORDER BY i), '') FROM cover
       UNION ALL SELECT 'positive_price', 'No row with a price of zero or less',
@@ -260,17 +270,18 @@ CHECKS = f"""one AS (SELECT count(*) AS n, sum("TotalPrice") AS total,
       UNION ALL SELECT 'discount_known', 'Every row has a discount',
         CASE WHEN no_discount = 0 THEN 'pass' ELSE 'fail' END, no_discount, 0,
         concat(no_discount, ' rows without one') FROM one
-      UNION ALL SELECT 'months_without_gap', 'Monthly series has no gaps',
+      UNION ALL SELECT 'months_without_gap', 'Every month has sales',
         CASE WHEN gaps = 0 THEN 'pass' ELSE 'warn' END, gaps, 0,
-        CASE WHEN gaps = 0 THEN concat(seen, ' consecutive months')
+        CASE WHEN gaps = 0 THEN concat(seen, ' consecutive months, ', first, ' to ', last)
         ELSE concat('missing: ', missing) END FROM gap
-      UNION ALL SELECT 'comparable_volume', 'Group sizes are comparable',
+      UNION ALL SELECT 'comparable_volume', 'Groups are of similar size',
         CASE WHEN ratio <= 2 THEN 'pass' ELSE 'warn' END, ratio, 2, detail FROM vol)"""
 
 
 def wide_sum(row: str, column: str, values: list[str], cell: str) -> str:
     cells = ", ".join(
-        f'{cell.format(f"""FILTER ("{column}" = '{v}')""")} AS "{v}"' for v in values)
+        [f'{cell.format(f"""FILTER ("{column}" = '{v}')""")} AS "{v}"' for v in values]
+        + [f'{cell.format(f"""FILTER ("{column}" IS NULL)""")} AS "null"'])
     return with_sales(f'SELECT "{row}", {cells} FROM sales GROUP BY "{row}"')
 
 
@@ -326,8 +337,19 @@ def all_sql() -> dict[str, str]:
         CASE WHEN "Month" <= 6 THEN 'H1' ELSE 'H2' END AS half,
         concat("Year", ' Q', "Quarter") AS year_quarter,
         round("Quantity" * "UnitPrice" * "Discount", 4) AS discount_given FROM sales""")
-    q["dedupe_rows"] = with_sales("""SELECT DISTINCT strftime("Date", '%Y-%m-%d') AS "Date",
-        "Region", "Product", "Promotion" FROM sales""")
+    raw_rows = ", ".join(f'"{c}"' for c in RAW)
+    q["dedupe_rows"] = with_sales(f"""SELECT strftime("Date", '%Y-%m-%d %H:%M:%S') AS "Date",
+        "Region", "Product", coalesce("Promotion", 'No Promotion') AS "Promotion",
+        count(*) AS whole_rows FROM (SELECT DISTINCT {raw_rows} FROM raw) GROUP BY ALL""")
+    q["cleaning_path"] = with_sales(union([f"""SELECT '{name}' AS source, "YearMonth", "Promotion",
+        "DiscountBucket", count(*) AS lines, CAST(sum("Returned") AS BIGINT) AS returned,
+        CAST(sum("DeliveryDays") AS BIGINT) AS delivery_days,
+        CAST(sum("Quarter") AS BIGINT) AS quarters, round(sum("CalcRevenue"), 4) AS calc_revenue,
+        round(sum("NetRevenue"), 4) AS net_revenue, round(sum("GrossProfit"), 4) AS gross_profit,
+        strftime(min("OrderDate"), '%Y-%m-%d') AS first_order,
+        strftime(max("DeliveryDate"), '%Y-%m-%d') AS last_delivery
+        FROM distinct_sales GROUP BY "YearMonth", "Promotion", "DiscountBucket" """
+        for name in ("csv", "parquet")]), "distinct_sales AS (SELECT DISTINCT * FROM sales)")
     q["duplicate_rows"] = with_sales(union([f"""SELECT '{name}' AS "table", total AS rows, kept
         AS distinct_rows, total - kept AS duplicate_rows FROM (SELECT
         (SELECT count(*) FROM {src}) AS total,
@@ -340,8 +362,8 @@ def all_sql() -> dict[str, str]:
         FROM (SELECT {key} AS k, count(*) AS n FROM {t} GROUP BY 1)"""
         for name, t, key in (("sales", "lineitem", "l_orderkey"), ("orders", "orders", "o_orderkey"))])
     q["profile_shape"] = "WITH n AS (SELECT count(*) AS c FROM lineitem) " + union(
-        [f"SELECT {i} AS position, '{c}' AS \"column\", c AS rows FROM n"
-         for i, c in enumerate(RAW + DERIVED)])
+        [f"SELECT {i} AS position, '{c}' AS \"column\", '{TYPES.get(c, 'string')}' AS type, "
+         f"c AS rows FROM n" for i, c in enumerate(RAW + DERIVED)])
     q["profile_nulls"] = with_sales(union(
         [f"""SELECT '{c}' AS "column", count(*) FILTER ("{c}" IS NULL) AS nulls,
         count(*) AS rows FROM raw""" for c in RAW]))
@@ -461,9 +483,10 @@ def all_sql() -> dict[str, str]:
         strftime(s.month, '%Y-%m-%d') AS month FROM s ANTI JOIN m ON
         s."Salesperson" = m."Salesperson" AND s."CustomerType" = m."CustomerType"
         AND s.month = m.month""", filled(keys))
-    q["like_for_like_year"] = like_for_like("6")
+    q["like_for_like_year"] = like_for_like("lm")
+    q["like_for_like_half"] = like_for_like("6")
     q["like_for_like_observed"] = like_for_like("lm - 1")
-    q["note_year"] = like_for_like("6", text=True)
+    q["note_year"] = like_for_like("lm", text=True)
     q["same_month_last_year"] = with_sales("""SELECT "Region", strftime(ds, '%Y-%m-%d') AS ds, x,
         round(y, 4) AS y, round(p, 4) AS previous, round((y / nullif(p, 0) - 1) * 100, 4)
         AS change_pct FROM (SELECT *, lag(y, 12) OVER (PARTITION BY "Region" ORDER BY ds) AS p
@@ -553,33 +576,43 @@ def all_sql() -> dict[str, str]:
         "TotalPrice" - "Quantity" * "UnitPrice" AS e FROM sales) GROUP BY 1""")
     q["actual_vs_predicted"] = with_sales("""SELECT "Region", round("TotalPrice", 4) AS label,
         round("Quantity" * "UnitPrice", 4) AS prediction FROM sales""")
-    q["category_codes"] = with_sales(union([f"""SELECT '{c}' AS "column", "{c}" AS level,
-        CAST(dense_rank() OVER (ORDER BY "{c}") - 1 AS INTEGER) AS code
-        FROM (SELECT DISTINCT "{c}" FROM sales)""" for c in (
-        "Region", "Product", "CustomerType", "PaymentMethod", "Promotion", "DiscountBucket")]))
-    q["scaler_stats"] = with_sales(union([f"""SELECT '{c}' AS metric, round(avg("{c}"), 7) AS mean,
-        round(stddev_samp("{c}"), 7) AS std FROM sales""" for c in (
-        "Quantity", "UnitPrice", "Discount", "ShippingCost", "DeliveryDays")]))
-    chart_rows = {
-        "c-region": 'count(DISTINCT "Region")', "c-product": 'count(DISTINCT "Product")',
-        "c-returns": 'count(DISTINCT "Product")', "c-payment": 'count(DISTINCT "PaymentMethod")',
-        "c-promo": 'count(DISTINCT "Promotion")', "c-delivery": 'count(DISTINCT "Region")',
-        "c-sales": 'count(DISTINCT "Salesperson")', "c-trend": 'count(DISTINCT "YearMonth")',
-        "returns-by-region": 'count(DISTINCT "Region")',
-        "returns-by-salesperson": 'count(DISTINCT "Salesperson")',
-        "revenue-by-salesperson": 'count(DISTINCT "Salesperson")',
-        "c-year": 'count(DISTINCT "Year")',
-        "revenue-by-quarter": 'count(DISTINCT ("Year", "Quarter"))',
-        "c-heat": 'count(DISTINCT ("Region", "Product"))',
-        "product-by-customer-type": 'count(DISTINCT ("Product", "CustomerType"))',
-        "discount-tiers": "4", "correlation": "21", "forecast": "6"}
-    other_rows = {"checks": "9", "checks_tally": "1", "kpis": "1", "hero": "1",
-                  "notes": """3 + count(DISTINCT "Promotion")
-                    FILTER ("Promotion" <> 'No Promotion')"""}
-    q["report_tables"] = with_sales(union([
-        f"SELECT '{name}' AS \"table\", CAST({n} AS BIGINT) AS rows FROM sales"
-        if "count" in n else f"SELECT '{name}', CAST({n} AS BIGINT)"
-        for name, n in {**{f"chart={k}": v for k, v in chart_rows.items()}, **other_rows}.items()]))
+    model = f"""keys AS (SELECT *, dense_rank() OVER (PARTITION BY "Returned" ORDER BY "OrderID") - 1
+        AS place FROM sales),
+      rows AS (SELECT * EXCLUDE (place), place % 5 = 0 AS is_test,
+        CAST((place // 5) % 5 AS INTEGER) AS fold FROM keys)"""
+    codes = ", ".join(f"""code_{c} AS (SELECT coalesce("{c}", 'nan') AS level,
+        CAST(row_number() OVER (ORDER BY coalesce("{c}", 'nan')) - 1 AS INTEGER) AS code
+        FROM rows WHERE NOT is_test GROUP BY 1)""" for c in CODED)
+    q["model_split"] = with_sales("""SELECT is_test, CASE WHEN NOT is_test THEN fold END AS fold,
+        CAST("Returned" AS DOUBLE) AS label, count(*) AS lines FROM rows GROUP BY 1, 2, 3""", model)
+    q["category_codes"] = with_sales(union([
+        f"""SELECT '{c}' AS "column", level, code FROM code_{c}""" for c in CODED]),
+        f"{model}, {codes}")
+    q["scaler_stats"] = with_sales(union(
+        [f"""SELECT '{c}' AS metric, round(avg(code), 7) AS mean, round(stddev_samp(code), 7) AS std
+         FROM rows JOIN code_{c} ON coalesce("{c}", 'nan') = level WHERE NOT is_test""" for c in CODED]
+        + [f"""SELECT '{c}', round(avg("{c}"), 7), round(stddev_samp("{c}"), 7) FROM rows
+         WHERE NOT is_test""" for c in SCALED]), f"{model}, {codes}")
+    sizes = """n AS (SELECT count(*) FILTER (NOT is_test) AS n_train,
+        count(*) FILTER (is_test) AS n_test FROM rows),
+      b AS (SELECT max(c) * 1.0 / sum(c) AS share FROM (SELECT count(*) AS c FROM rows
+        WHERE NOT is_test GROUP BY "Returned"))"""
+    fitted = ", ".join(f"('{m}')" for m in ("Logistic Regression", "Decision Tree",
+                                             "Random Forest", "Gradient Boosting"))
+    q["clf_leaderboard"] = with_sales(f"""SELECT 'most frequent class' AS model, n_train,
+        CAST(NULL AS BIGINT) AS predicted, round(share, 6) AS baseline,
+        CAST(NULL AS BOOLEAN) AS consistent, CAST(1 AS BIGINT) AS best_models,
+        CAST(1 AS BIGINT) AS guarded FROM n, b
+      UNION ALL SELECT m, n_train, n_test, NULL, true, 1, 1 FROM n, (VALUES {fitted}) t(m)""",
+                                      f"{model}, {sizes}")
+    regression = """keys AS (SELECT "TotalPrice" AS label, dense_rank() OVER (ORDER BY "OrderID") - 1
+        AS place FROM sales), test AS (SELECT * FROM keys WHERE place % 5 = 0)"""
+    q["reg_leaderboard"] = with_sales("""SELECT m AS model, count(*) AS predicted,
+        round(sum(label), 1) AS actual, true AS consistent, CAST(1 AS BIGINT) AS best_models
+      FROM test, (VALUES ('Linear Regression'), ('Random Forest'), ('Gradient Boosting')) t(m)
+      GROUP BY m""", regression)
+    q["topk_importance"] = """SELECT CAST(k AS INTEGER) AS rank, true AS is_share,
+        CASE WHEN k <= 2 THEN true END AS is_factor FROM range(1, 11) t(k)"""
     q["note_returns"] = with_sales("""SELECT round(min_rate, 6) AS min_rate, round(max_rate, 6)
         AS max_rate, lines_per_level, highest_level, round(spread, 6) AS spread,
         round(p_product, 6) AS p_product, round(p_region, 6) AS p_region,
@@ -587,5 +620,66 @@ def all_sql() -> dict[str, str]:
     q["notes"] = with_sales(f"""SELECT 'returns' AS note, 'Product' AS subject, text FROM rnt
         UNION ALL SELECT 'partial year', year::VARCHAR, {YEAR_TEXT} FROM lfl
         UNION ALL SELECT 'promotions', promotion, text FROM pn""",
-                            f"{NOTE_RETURNS}, {LIKE.format(cutoff='6')}, {PROMO}")
+                            f"{NOTE_RETURNS}, {LIKE.format(cutoff='lm')}, {PROMO}")
+    q["report_tables"] = report_cells(q)
     return q
+
+
+def report_cells(q: dict[str, str]) -> str:
+    """The report's tables in long form, every cell as text, from the queries of their parts."""
+    def cells(name: str, source: str, row: list[str], columns: list[tuple[str, bool]]) -> str:
+        key = " || ' | ' || ".join(f"coalesce(CAST({r} AS VARCHAR), '-')" for r in row) or "''"
+        text = [f"""SELECT '{name}' AS "table", {key} AS "row", '{c}' AS "column",
+            {f"printf('%.2f', round({c}, 2) + 0.0)" if number else f"CAST({c} AS VARCHAR)"} AS value FROM {source}"""
+                for c, number in columns]
+        return union(text or [f"""SELECT '{name}' AS "table", {key} AS "row", '' AS "column",
+            CAST(NULL AS VARCHAR) AS value FROM {source}"""])
+
+    shown = [("lines", False), ("revenue", True), ("share_pct", True), ("avg_order_value", True),
+             ("return_rate", True), ("avg_discount_pct", True), ("avg_delivery_days", True)]
+    charts = {"c-region": "Region", "c-product": "Product", "c-returns": "Product",
+              "c-payment": "PaymentMethod", "c-promo": "Promotion", "c-delivery": "Region",
+              "c-sales": "Salesperson", "returns-by-region": "Region",
+              "returns-by-salesperson": "Salesperson", "revenue-by-salesperson": "Salesperson"}
+    dims = sorted(set(charts.values()))
+    parts = [cells(f"chart={name}", f"(SELECT * FROM shown WHERE dim = '{dim}')", ["level"], shown)
+             for name, dim in charts.items()]
+    grid = [("revenue", True), ("lines", False), ("return_rate", True)]
+    k = ["lines", "returned", "days"]
+    parts += [
+        cells("chart=c-trend", "trend", ["label"], [("position", False), ("revenue", True),
+                                                     ("mean_revenue", True)]),
+        cells("chart=c-year", "years", ["label"], [("revenue", True)]),
+        cells("chart=revenue-by-quarter", "quarters", ["label"], [("revenue", True)]),
+        cells("chart=c-heat", "heat", ["r", "c"], grid),
+        cells("chart=product-by-customer-type", "types", ["r", "c"], grid),
+        cells("chart=discount-tiers", "tiers", ["bucket"], [("avg_order_value", True),
+                                                             ("lines", False)]),
+        cells("chart=correlation", "corr", ["x", "y"], [("corr", True)]),
+        cells("chart=forecast", "ahead", [], [("step", False), ("yhat", True)]),
+        cells("checks", "checked", ['"check"', "status"], [("threshold", True)]),
+        cells("checks_tally", "tallied", ["overall"], [("passed", False), ("warned", False),
+                                                        ("failed", False)]),
+        cells("kpis", "cards", [], [(c, c not in k) for c in (
+            "lines", "gross_revenue", "net_revenue", "avg_order_value", "returned", "return_rate",
+            "discount_given", "avg_discount_pct", "days", "median_order_value", "lost_revenue",
+            "orders_per_month")]),
+        cells("hero", "hero", [], [(c, False) for c in ("regions", "products", "salespeople",
+                                                         "months")]),
+        cells("notes", "noted", ["note", "subject", "text"], [])]
+    tables = f"""whole AS (SELECT sum("TotalPrice") AS t FROM sales),
+      lvl AS ({levels(dims)}),
+      shown AS (SELECT dim, level, lines, revenue, revenue / t * 100 AS share_pct,
+        revenue / lines AS avg_order_value, returned * 100.0 / rated AS return_rate,
+        avg_discount * 100 AS avg_discount_pct, avg_days AS avg_delivery_days FROM lvl, whole),
+      trend AS ({q["monthly_trend"]}), years AS ({q["annual_flagged"]}),
+      quarters AS ({q["quarterly"]}), tiers AS ({q["discount_bucket_aov"]}),
+      heat AS (SELECT "Region" AS r, "Product" AS c, sum("TotalPrice") AS revenue,
+        count(*) AS lines, {RATE} AS return_rate FROM sales GROUP BY 1, 2),
+      types AS (SELECT "Product" AS r, "CustomerType" AS c, sum("TotalPrice") AS revenue,
+        count(*) AS lines, {RATE} AS return_rate FROM sales GROUP BY 1, 2),
+      corr AS (SELECT * FROM ({q["corr_matrix"]}) WHERE i > j),
+      ahead AS ({q["trend_forecast"]}), checked AS ({q["checks"]}),
+      tallied AS ({q["checks_tally"]}), cards AS ({q["kpi_cards"]}), hero AS ({q["hero_counts"]}),
+      noted AS ({q["notes"]})"""
+    return with_sales(union(parts), tables)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.numeric import ratio, total
@@ -100,6 +100,22 @@ def level_totals(df: DataFrame, dims: list[str], extra: dict[str, Column] | None
     return grouped.select(dim.alias("dim"), level.alias("level"), *measures)
 
 
+def promotion_measures() -> dict[str, Column]:
+    """Sums that `undiscounted_from_levels` needs beside the totals per level."""
+    return {"discounts": F.count("Discount"), "discount_sum": F.sum("Discount"),
+            "undiscounted": F.count_if(F.col("Discount") == 0)}
+
+
+def undiscounted_from_levels(levels: DataFrame) -> DataFrame:
+    """`undiscounted_promotions` from totals per level with `promotion_measures`."""
+    coded = levels.where((F.col("dim") == "Promotion") & (F.col("level") != NO_PROMOTION))
+    out = coded.rollup("level").agg(
+        F.sum("lines").alias("lines"),
+        ratio(F.sum("discount_sum"), F.sum("discounts")).alias("avg_discount"),
+        F.sum("undiscounted").alias("undiscounted"), F.grouping("level").alias("is_total"))
+    return promotion_rows(out.withColumnRenamed("level", "Promotion"))
+
+
 def group_spread(df: DataFrame, dims: list[str]) -> DataFrame:
     """How far apart the levels of each dimension lie.
 
@@ -132,6 +148,29 @@ def group_spread(df: DataFrame, dims: list[str]) -> DataFrame:
             .withColumn("lowest_rate_level", F.col("_lo")["level"]).drop("_hi", "_lo"))
 
 
+def delivery_stats(df: DataFrame, key: str = "Region", value: str = "DeliveryDays") -> DataFrame:
+    """Mean, median, minimum and maximum of a whole-number column per level.
+
+    The sales are read once, into a count per level and value. The median lies between the
+    values at which the running count passes half of the level's rows; the window runs over a
+    level's values, of which a number of days has few.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    level = Window.partitionBy(key)
+    upto = level.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    half = (F.sum("_n").over(level) - 1) / 2
+    placed = (counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_half", half)
+              .withColumn("_start", F.col("_end") - F.col("_n")))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col(value)))
+
+    return placed.groupBy(key).agg(
+        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
+        ((at(F.floor("_half")) + at(F.ceil("_half"))) / 2).alias("median"),
+        F.min(value).alias("min"), F.max(value).alias("max"))
+
+
 def discount_tiers(df: DataFrame) -> DataFrame:
     """Average order value per discount bucket, every bucket listed in order."""
     return listed_tiers(df.groupBy(F.col("DiscountBucket").alias("bucket")).agg(
@@ -157,6 +196,10 @@ def undiscounted_promotions(df: DataFrame) -> DataFrame:
         F.avg("Discount").alias("avg_discount"),
         F.count_if(F.col("Discount") == 0).alias("undiscounted"),
         F.grouping("Promotion").alias("is_total"))
+    return promotion_rows(out)
+
+
+def promotion_rows(out: DataFrame) -> DataFrame:
     return (out.withColumn("promotion", F.when(F.col("is_total") == 1, "(all)")
                            .otherwise(F.col("Promotion")))
             .withColumn("undiscounted_pct",

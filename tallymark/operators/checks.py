@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.derive import DERIVED, month_start, recomputed_revenue, whole_days
-from tallymark.operators.clean import duplicate_rows, key_uniqueness
+from tallymark.functions.numeric import ratio
+from tallymark.operators.clean import hashed_rows, key_uniqueness
 from tallymark.operators.periods import every_month
 from tallymark.schema import RECONCILED
 from tallymark.session import materialise
@@ -64,6 +65,7 @@ def check_cells(df: DataFrame, sized: list[str]) -> DataFrame:
         F.count_if(F.col("Promotion").isNull()).alias("no_promo"),
         F.count_if(F.col("DeliveryDate") < F.col("OrderDate")).alias("early"),
         F.min(lead).alias("lead_min"), F.max(lead).alias("lead_max"),
+        F.sum(lead).alias("lead_sum"), F.count(lead).alias("leads"),
         F.count_if(v <= 0).alias("bad_price"),
         F.count_if(F.col("Discount").isNull()).alias("no_discount"),
         *[F.sum(F.when(F.col(d).isNotNull(), v)).alias(f"d_{d}") for d in RECONCILED])
@@ -76,24 +78,25 @@ def row_checks(cells: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added],
         F.coalesce(F.sum("TotalPrice"), F.lit(0.0)).alias("total"),
         F.max("max_diff").alias("max_diff"), F.min("lead_min").alias("lead_min"),
-        F.max("lead_max").alias("lead_max"),
+        F.max("lead_max").alias("lead_max"), ratio(F.sum("lead_sum"), F.sum("leads")).alias("lead_mean"),
         *[F.coalesce(F.sum(f"d_{d}"), F.lit(0.0)).alias(f"d_{d}") for d in RECONCILED])
     worst = F.greatest(F.lit(0.0), *[F.abs(F.col(f"d_{d}") - F.col("total")) for d in RECONCILED])
     c = F.col
     return _rows(one, [
-        _check("revenue_arithmetic", "Revenue arithmetic reconciles", c("max_diff"), TOLERANCE,
+        _check("revenue_arithmetic", "Revenue follows from its factors", c("max_diff"), TOLERANCE,
                F.coalesce(c("max_diff") < TOLERANCE, F.lit(True)),
                F.format_string("largest difference %.4f over %d rows",
                                F.coalesce(c("max_diff"), F.lit(0.0)), c("n"))),
-        _check("promotion_complete", "Promotion field complete", c("no_promo"), 0,
+        _check("promotion_complete", "Every row has a promotion", c("no_promo"), 0,
                (c("no_promo") == 0) & (F.abs(c("d_Promotion") - c("total")) < TOLERANCE),
                F.format_string("%d of %d rows without a promotion", c("no_promo"), c("n"))),
-        _check("delivery_after_order", "Delivery dates are consistent", c("early"), 0,
+        _check("delivery_after_order", "Nothing is delivered before it is ordered", c("early"), 0,
                c("early") == 0,
-               F.format_string("%d delivered before ordered; lead time %d to %d days", c("early"),
-                               F.coalesce(c("lead_min"), F.lit(0)),
-                               F.coalesce(c("lead_max"), F.lit(0)))),
-        _check("breakdowns_cover_total", "Every breakdown sums back to the total", worst, TOLERANCE,
+               F.format_string("%d delivered before ordered; lead time %d to %d days, %.2f on average",
+                               c("early"), F.coalesce(c("lead_min"), F.lit(0)),
+                               F.coalesce(c("lead_max"), F.lit(0)),
+                               F.coalesce(c("lead_mean"), F.lit(0.0)))),
+        _check("breakdowns_cover_total", "Known groups hold all revenue", worst, TOLERANCE,
                worst < TOLERANCE,
                F.array_join(F.array_compact(F.array(*[
                    F.when(F.abs(c(f"d_{d}") - c("total")) >= TOLERANCE, d) for d in RECONCILED])),
@@ -106,17 +109,19 @@ def row_checks(cells: DataFrame) -> DataFrame:
 
 
 def uniqueness_check(df: DataFrame, key: str = "OrderID") -> DataFrame:
-    """No duplicate rows and a unique key.
+    """No duplicate rows and a unique key, from one read of narrow rows.
 
-    Derived columns follow from the others, so they are left out of the
-    comparison of whole rows.
+    Equal rows have the same key, so rows are grouped by key and 128 bits of hash. Derived
+    columns follow from the others and are left out.
     """
-    given = df.select(*[c for c in df.columns if c not in DERIVED])
-    both = duplicate_rows(given).select(
-        "duplicate_rows", key_uniqueness(df, key).select(F.struct("*")).scalar().alias("k"))
+    given = [c for c in df.columns if c not in DERIVED]
+    counts = hashed_rows(df, given, key)
+    keys = key_uniqueness(counts, key, F.col("n")).select(F.struct("*")).scalar().alias("k")
+    both = counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows")).select(
+        "duplicate_rows", keys)
     surplus = F.col("k.rows") - F.col("k.distinct_keys")
     return _rows(both, [_check(
-        "no_duplicates", "No duplicate orders", F.greatest(surplus, F.col("duplicate_rows")), 0,
+        "no_duplicates", "Orders are unique", F.greatest(surplus, F.col("duplicate_rows")), 0,
         F.col("k.is_unique") & (F.col("duplicate_rows") == 0),
         F.format_string("%d rows, %d keys, %d duplicate rows", F.col("k.rows"),
                         F.col("k.distinct_keys"), F.col("duplicate_rows")))])
@@ -126,11 +131,14 @@ def series_check(df: DataFrame) -> DataFrame:
     """Every month between the first and the last has sales; a gap is a warning."""
     one = every_month(df).agg(
         F.count_if(~F.col("is_gap")).alias("seen"), F.count_if("is_gap").alias("gaps"),
+        F.date_format(F.min("month"), "yyyy-MM").alias("first"),
+        F.date_format(F.max("month"), "yyyy-MM").alias("last"),
         F.array_join(F.sort_array(F.collect_list(
             F.when(F.col("is_gap"), F.date_format("month", "yyyy-MM")))), ", ").alias("missing"))
     return _rows(one, [_check(
-        "months_without_gap", "Monthly series has no gaps", F.col("gaps"), 0, F.col("gaps") == 0,
-        F.when(F.col("gaps") == 0, F.format_string("%d consecutive months", F.col("seen")))
+        "months_without_gap", "Every month has sales", F.col("gaps"), 0, F.col("gaps") == 0,
+        F.when(F.col("gaps") == 0, F.format_string(
+            "%d consecutive months, %s to %s", F.col("seen"), F.col("first"), F.col("last")))
         .otherwise(F.concat(F.lit("missing: "), F.col("missing"))), otherwise="warn")])
 
 
@@ -146,7 +154,7 @@ def volume_check(cells: DataFrame, sized: list[str],
                     F.array_join(F.sort_array(F.collect_list(
                         F.format_string("%s %d-%d", "dim", "lo", "hi"))), ", ").alias("detail"))
     return _rows(one, [_check(
-        "comparable_volume", "Group sizes are comparable", F.col("ratio"), max_ratio,
+        "comparable_volume", "Groups are of similar size", F.col("ratio"), max_ratio,
         F.coalesce(F.col("ratio") <= max_ratio, F.lit(True)), F.col("detail"),
         otherwise="warn")])
 

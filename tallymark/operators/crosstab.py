@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.numeric import total
 
-MAX_COLUMNS = 1000
-
-
-def levels(df: DataFrame, column: str, limit: int = MAX_COLUMNS) -> list:
-    """Sorted distinct values of a column that becomes table columns.
-
-    They become part of the query, so their number is checked; beyond the
-    limit the long form is the one to use.
-    """
-    found = df.where(F.col(column).isNotNull()).select(column).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column} has over {limit} values: use the long form")
-    return sorted(r[0] for r in found)
-
 
 def cells(df: DataFrame, row: str, column: str) -> DataFrame:
     """Revenue, rows and return rate (percent) for every pair that occurs."""
@@ -29,14 +15,22 @@ def cells(df: DataFrame, row: str, column: str) -> DataFrame:
         (F.avg("Returned") * 100).alias("return_rate"))
 
 
-def wide(df: DataFrame, row: str, column: str, value: Column, columns: list | None = None,
-         fill: float | None = None) -> DataFrame:
-    """Pivot with explicit column values; cells without sales are null or `fill`."""
-    columns = levels(df, column) if columns is None else columns
-    out = df.where(F.col(row).isNotNull()).groupBy(row).pivot(column, columns).agg(value)
-    if fill is not None:
-        out = out.na.fill(fill, subset=[str(c) for c in columns])
-    return out
+def wide(long: DataFrame, row: str, column: str, value: str, columns: list,
+         fill: float | None = None, drop_null_keys: bool = False) -> DataFrame:
+    """A long table with the given values of `column` as columns, read once.
+
+    Cells that are missing are null or `fill`. A null row key is a row of its own, and cells
+    with a null column key are the column `null`, unless `drop_null_keys`. The list is the
+    caller's, as columns are part of the query; use the long form for a list that may grow.
+    """
+    names = [F.when(F.col(column).isNull(), "null").otherwise(F.col(column).cast("string"))
+             .alias("_c")]
+    listed = [str(c) for c in columns] + ([] if drop_null_keys else ["null"])
+    if drop_null_keys:
+        long = long.where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    out = long.select(row, *names, F.col(value).alias("_v")).groupBy(row).pivot(
+        "_c", listed).agg(F.max("_v"))
+    return out if fill is None else out.na.fill(fill, subset=listed)
 
 
 def by_first_column(df: DataFrame, row: str) -> DataFrame:

@@ -1,12 +1,11 @@
 """Exact quantiles, running totals and ranks without a global sort in one task.
 
-A value v is given a bucket number floor(L(v) * 2**44), where
-L(v) = sign(v) * ln(1 + |v|) never decreases as v grows. Dropping 16 bits at a
-time gives a tree of buckets: a bucket has at most 65,536 children at every
-level, the top level has 4,096 buckets per unit of L (some 85,000 for values up
-to 1e9), and a lowest bucket spans 2**-44 of L, so it holds a few hundred
-distinct doubles for |v| >= 1. Every window below runs over the children of one
-bucket, however many rows, and however hot a value, the input has.
+A value v gets a bucket number made of its sign, its binary exponent e and the first 44 bits of
+|v| / 2**e, which never decreases as v grows. Dropping 16 bits at a time gives a tree of buckets:
+a bucket has at most 65,536 children at every level, the top level has one bucket per 16 powers
+of two (some 280 for all doubles), and a lowest bucket holds at most some 256 distinct doubles,
+however close to zero. Every window below runs over the children of one bucket, however many
+rows, and however hot a value, the input has.
 """
 
 from __future__ import annotations
@@ -20,16 +19,27 @@ from tallymark.session import materialise
 
 LEAF_BITS = 44
 STEP = 16
-TOP = 2  # steps from the lowest to the highest level
-DIRECT_ROWS = 2 ** STEP
+TOP = 3  # steps from the lowest to the highest level
+HISTOGRAM = 2  # level of the first pass of a quantile search: 4,096 buckets per power of two
+LOWEST_EXPONENT = -1100  # below that of every double
 
 
 def leaf_bucket(value: Column) -> Column:
-    """Lowest bucket of a value; infinities and NaN go to the outermost ones."""
+    """Lowest bucket of a value; zero has bucket 0, NaN and infinities the outermost ones.
+
+    log2 never falls as its argument grows, so neither does the exponent. Where rounding gives
+    the next exponent too early the fraction is just below 1, and the bucket still in order.
+    """
     v = value.cast("double")
-    scale = F.signum(v) * F.log1p(F.abs(v))
-    inside = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), scale))
-    return F.floor(inside * F.lit(float(2 ** LEAF_BITS))).cast("bigint")
+    size = F.when(F.isnan(v), F.lit(float("inf"))).otherwise(F.abs(v))
+    exponent = F.floor(F.log2(F.when(size < F.lit(float("inf")), F.nullif(size, F.lit(0.0)))))
+    half = F.floor(exponent / 2)  # 2**exponent itself may not be a double
+    fraction = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half)
+    inside = ((exponent - LOWEST_EXPONENT).cast("bigint") * F.lit(2 ** LEAF_BITS)
+              + F.floor((fraction - 1) * F.lit(float(2 ** LEAF_BITS))).cast("bigint"))
+    ranked = F.when(size == 0, F.lit(0).cast("bigint")).otherwise(
+        F.coalesce(inside, F.lit(2200 * 2 ** LEAF_BITS)))
+    return F.when((v < 0) & ~F.isnan(v), -ranked).otherwise(ranked)
 
 
 def parent(bucket: Column, steps: int = 1) -> Column:
@@ -109,8 +119,33 @@ def accumulate(totals: DataFrame, value: str, names: list[str], by: list[str] |
                        *[(F.col(f"_o_{n}") + F.col(n)).alias(f"cum_{n}") for n in names])
 
 
+def positions(df: DataFrame, value: str, by: list[str] | None = None,
+              name: str = "position") -> DataFrame:
+    """Place of each distinct non-null `value` (of any sortable type) within `by`, from 0.
+
+    The distinct values are dealt out by range; a place is that within the range plus the sizes
+    of the ranges before. No window holds more than a range, or a row per range.
+    """
+    by = by or []
+    dealt = materialise(
+        df.where(F.col(value).isNotNull()).select(*by, value).distinct()
+        .repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    local = dealt.withColumn("_at", F.row_number().over(
+        Window.partitionBy(*by, "_range").orderBy(value)))
+    return _join(local, starts.drop("_n"), [*by, "_range"]).select(
+        *by, value, (F.col("_start") + F.col("_at") - 1).cast("bigint").alias(name))
+
+
 def rank_rows(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Rank by `value`, highest first, ties sharing the best rank."""
+    """Rank by `value`, highest first, ties sharing the best rank; null values have no rank.
+
+    `df` is written out once: ranks are joined to the very values they were made from, which a
+    second evaluation of a sum of doubles might miss by a bit.
+    """
+    df = materialise(df, "ranked")
     ranks = running_totals(df, value, {"_n": F.lit(1)}, descending=True)
     ranks = ranks.select(F.col(value).alias("_v"),
                          (F.col("cum__n") - F.col("_n") + 1).alias(name))
@@ -123,13 +158,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 
     Result: `by`, `metric`, `probability`, `value`. Nulls and NaN are ignored.
 
-    The first pass counts rows per top bucket and finds the bucket each wanted
+    The first pass counts rows per bucket and finds the bucket each wanted
     rank lies in. The second pass keeps the rows of those buckets only and
     counts them per distinct value. Both passes combine before they shuffle;
     both results are written out, so their real size decides how the next step
-    joins them. If a bucket still has very many distinct values, the search
-    goes down the lower levels; otherwise it ends within the bucket. Columns of
-    a small integer type have few values, so one pass counts them all.
+    joins them. The search then goes down the levels of the counted values.
+    Columns of a small integer type have few values, so one pass counts them all.
     """
     by = by or []
     pairs = F.explode(F.array(*[
@@ -148,47 +182,46 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 
     hit = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end"))
 
-    top = f"_b{TOP}"
-    marked = long.withColumn(top, parent(F.col("_b0"), TOP))
+    first, top = f"_b{HISTOGRAM}", f"_b{TOP}"
+    marked = long.withColumn(first, parent(F.col("_b0"), HISTOGRAM))
     one, types = F.count(F.lit(1)).alias("_n"), dict(df.dtypes)
     few_values = all(types[c] in ("int", "smallint", "tinyint") for c in columns)
     if few_values:
-        counts = materialise(marked.groupBy(*group, top, "_b0", "value").agg(one),
+        counts = materialise(marked.groupBy(*group, first, "_b0", "value").agg(one),
                              "quantile-values")
-        hist = counts.groupBy(*group, top).agg(F.sum("_n").alias("_n"))
+        hist = counts.groupBy(*group, first).agg(F.sum("_n").alias("_n"))
     else:
-        hist = marked.groupBy(*group, top).agg(one)
+        hist = materialise(marked.groupBy(*group, first).agg(one), "quantile-histogram")
+    hist = hist.withColumn(top, parent(F.col(first), TOP - HISTOGRAM))
     last = F.sum("_n").over(Window.partitionBy(*group)) - 1
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     position = F.col("probability") * F.col("_last")
     rank_inside = (F.col("_rank") - F.col("_start")).alias("_rank")
-    picks = (locate(hist, group, top).withColumn("_last", last)
+    picks = (locate(hist.groupBy(*group, top).agg(F.sum("_n").alias("_n")), group, top)
+             .withColumn("_last", last)
              .withColumn("probability", wanted)
              .withColumn("_weight", position - F.floor(position))
              .withColumn("_rank", F.explode(F.array_distinct(
                  F.array(F.floor(position), F.ceil(position)))))
              .where(hit).select(*group, "probability", "_weight", rank_inside, top))
-    picks = materialise(picks, "quantile-buckets")
 
+    def descend(picks: DataFrame, hist: DataFrame, up: str, here: str) -> DataFrame:
+        return (_join(locate(hist, [*group, up], here), picks, [*group, up]).where(hit)
+                .select(*group, "probability", "_weight", rank_inside, here))
+
+    picks = materialise(descend(picks, hist, top, first), "quantile-buckets")
     if not few_values:
-        rows = _join(marked, picks.select(*group, top).distinct(), [*group, top], "left_semi")
-        counts = materialise(rows.groupBy(*group, top, "_b0", "value").agg(one),
+        rows = _join(marked, picks.select(*group, first).distinct(), [*group, first], "left_semi")
+        counts = materialise(rows.groupBy(*group, first, "_b0", "value").agg(one),
                              "quantile-values")
-
-    within = top
-    widest = counts.groupBy(*group, top).count().agg(F.max("count")).first()[0]
-    if widest is not None and widest > DIRECT_ROWS:
-        for level in reversed(range(TOP)):
-            up, here = f"_b{level + 1}", f"_b{level}"
-            hist = (counts.select(*group, parent(F.col("_b0"), level + 1).alias(up),
-                                  parent(F.col("_b0"), level).alias(here), "_n")
-                    .groupBy(*group, up, here).agg(F.sum("_n").alias("_n")))
-            picks = (_join(locate(hist, [*group, up], here), picks, [*group, up]).where(hit)
-                     .select(*group, "probability", "_weight", rank_inside, here))
-            within = here
-
-    found = (_join(locate(counts, [*group, within], "value"), picks, [*group, within])
-             .where(hit))
+    for level in reversed(range(HISTOGRAM)):
+        up, here = f"_b{level + 1}", f"_b{level}"
+        smaller = (counts.select(*group, parent(F.col("_b0"), level + 1).alias(up),
+                                 parent(F.col("_b0"), level).alias(here), "_n")
+                   .groupBy(*group, up, here).agg(F.sum("_n").alias("_n")))
+        picks = descend(picks, smaller, up, here)
+
+    found = _join(locate(counts, [*group, "_b0"], "value"), picks, [*group, "_b0"]).where(hit)
     low, high = F.min("value"), F.max("value")
     return (found.groupBy(*group, "probability")
             .agg((low + (high - low) * F.max("_weight")).alias("value")))

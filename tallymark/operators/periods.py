@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.derive import month_start, year_quarter
@@ -117,34 +117,40 @@ def like_for_like(df: DataFrame, months: int | None = None,
     `months` is the number of months compared, counted from January; by
     default it follows from the last date. `drop_last_month` leaves the month
     of the last date out, for data that stops within a month. One row:
-    revenue of both periods, change, the misleading change against the whole
-    earlier year, and the last year scaled to twelve months.
+    revenue of both periods, change, the misleading change of all the last
+    year's sales against the whole earlier year, and the last year scaled to
+    twelve months.
     """
-    base = year_months(df)
-    edge = base.agg(F.max(F.struct("last_date", "Year", "Month")).alias("e")).select(
-        F.struct(F.col("e.Year").alias("year"), F.col("e.Month").alias("month"),
-                 F.col("e.last_date").alias("date"))).scalar()
-    seen = edge["month"] - (1 if drop_last_month else 0)
-    cutoff = F.lit(months) if months is not None else seen
-    year, month, revenue = F.col("Year"), F.col("Month"), F.col("revenue")
-    last = edge["year"]
-    earlier = base.agg(F.max(F.when(year < last, year))).scalar()
-    sums = base.agg(
-        F.sum(F.when((year == last) & (month <= cutoff), revenue)).alias("current"),
-        F.sum(F.when((year == last - 1) & (month <= cutoff), revenue)).alias("previous"),
-        F.sum(F.when(year == earlier, revenue)).alias("previous_full"))
-    return (sums
-            .withColumn("year", last)
-            .withColumn("last_month", edge["month"])
-            .withColumn("last_date", edge["date"])
-            .withColumn("months_compared", cutoff)
-            .withColumn("change_pct", (ratio(F.col("current"), F.col("previous")) - 1) * 100)
-            .withColumn("apparent_pct",
-                        (ratio(F.col("current"), F.col("previous_full")) - 1) * 100)
-            .withColumn("annualised",
-                        F.col("current") * ratio(F.lit(12.0), F.col("months_compared")))
-            .withColumn("annualised_pct",
-                        (ratio(F.col("annualised"), F.col("previous_full")) - 1) * 100))
+    rows = F.struct(F.col("last_date").alias("date"), F.col("Year").alias("year"),
+                    F.col("Month").alias("month"), F.col("revenue"))
+    # A row per month seen: all of them fit one array, so nothing is read twice.
+    one = year_months(df).agg(F.collect_list(rows).alias("m")).withColumn(
+        "edge", F.array_max(F.transform("m", lambda r: F.struct(
+            r["date"].alias("date"), r["year"].alias("year"), r["month"].alias("month")))))
+    seen = F.col("edge.month") - (1 if drop_last_month else 0)
+    one = one.withColumn("cutoff", F.lit(months) if months is not None else seen)
+
+    def revenue(of: Column, upto: Column | None = None) -> Column:
+        """Sum over the year's months, the largest first for a fixed order; null for none."""
+        kept = F.filter("m", lambda r: (r["year"] == of) & (
+            F.lit(True) if upto is None else r["month"] <= upto))
+        values = F.sort_array(F.transform(kept, lambda r: r["revenue"]), asc=False)
+        return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, b: a + b))
+
+    earlier = F.array_max(F.transform(
+        F.filter("m", lambda r: r["year"] < F.col("edge.year")), lambda r: r["year"]))
+    year, cutoff = F.col("edge.year"), F.col("cutoff")
+    part_year = ratio(revenue(year), revenue(earlier))
+    return (one.select(
+        revenue(year, cutoff).alias("current"), revenue(year - 1, cutoff).alias("previous"),
+        revenue(earlier).alias("previous_full"), year.alias("year"),
+        F.col("edge.month").alias("last_month"), F.col("edge.date").alias("last_date"),
+        cutoff.alias("months_compared"), ((part_year - 1) * 100).alias("apparent_pct"))
+        .withColumn("change_pct", (ratio(F.col("current"), F.col("previous")) - 1) * 100)
+        .withColumn("annualised",
+                    F.col("current") * ratio(F.lit(12.0), F.col("months_compared")))
+        .withColumn("annualised_pct",
+                    (ratio(F.col("annualised"), F.col("previous_full")) - 1) * 100))
 
 
 def same_month_last_year(df: DataFrame, by: list[str] | None = None) -> DataFrame:

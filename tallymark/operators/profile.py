@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators.ordered import exact_quantiles
+from tallymark.session import materialise
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -31,6 +32,8 @@ def numeric(df: DataFrame, columns: list[str], approximate: bool = False) -> Dat
     Quartiles are exact and interpolated. `approximate` takes them from a
     sketch in the same pass instead.
     """
+    if not approximate:  # read more than once below
+        df = materialise(df.select(*columns), "profile-columns")
     cast = [F.col(c).cast("double") for c in columns]
     quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     parts = []

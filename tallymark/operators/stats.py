@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.numeric import chi2_upper_tail, pearson, ratio
@@ -64,26 +64,23 @@ def return_rate_tests(df: DataFrame, dims: list[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation matrix in long form, over complete pairs.
 
-    Each row is turned into its pairs, which collapse to one line per pair
-    before the shuffle. `i` and `j` are positions, `lower` marks the cells
-    below the diagonal. The diagonal is 1 for a column that varies.
+    All pairs come from one aggregate of one row per task. `i` and `j` are positions, `lower`
+    marks the cells below the diagonal. The diagonal is 1 for a column that varies.
     """
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 F.col(columns[i]).cast("double").alias("a"),
-                 F.col(columns[j]).cast("double").alias("b"))
-        for i, j in combinations_with_replacement(range(len(columns)), 2)]))
-    found = df.select(pairs.alias("p")).groupBy("p.i", "p.j").agg(
-        pearson("p.a", "p.b").alias("corr"))
-    found = found.withColumn("corr", F.when(
-        (F.col("i") == F.col("j")) & F.col("corr").isNotNull(), 1.0).otherwise(F.col("corr")))
-    both = F.explode(F.array_distinct(F.array(F.struct("i", "j"), F.struct(
-        F.col("j").alias("i"), F.col("i").alias("j")))))
-    names = F.array(*[F.lit(c) for c in columns])
-    return (found.select(both.alias("p"), "corr")
-            .select(F.get(names, F.col("p.i")).alias("x"), F.get(names, F.col("p.j")).alias("y"),
-                    "p.i", "p.j", "corr")
-            .withColumn("lower", F.col("i") > F.col("j")))
+    double = [F.col(c).cast("double") for c in columns]
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    one = df.select(*[c.alias(f"c{i}") for i, c in enumerate(double)]).agg(
+        *[pearson(f"c{i}", f"c{j}").alias(f"r_{i}_{j}") for i, j in pairs])
+
+    def corr(i: int, j: int) -> Column:
+        r = F.col(f"r_{min(i, j)}_{max(i, j)}")
+        return F.when(r.isNotNull(), 1.0) if i == j else r
+
+    listed = F.array(*[
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(i).alias("i"), F.lit(j).alias("j"),
+                 corr(i, j).alias("corr"), F.lit(i > j).alias("lower"))
+        for i, x in enumerate(columns) for j, y in enumerate(columns)])
+    return one.select(F.explode(listed).alias("p")).select("p.*")
 
 
 def trend_fit(df: DataFrame, by: list[str] | None = None) -> DataFrame:

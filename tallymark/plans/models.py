@@ -2,186 +2,155 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (OneHotEncoder, StandardScaler, StandardScalerModel,
-                                StringIndexer, VectorAssembler)
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import scores
+from tallymark.operators.ordered import positions
 from tallymark.session import materialise, shared_folder
 
+# The features of both models.
 CATEGORICAL = ["Region", "Product", "CustomerType", "PaymentMethod", "Promotion",
                "StoreLocation", "Salesperson", "DiscountBucket"]
 RETURN_NUMBERS = ["Quantity", "UnitPrice", "Discount", "ShippingCost", "DeliveryDays"]
 REVENUE_NUMBERS = ["Quantity", "UnitPrice", "Discount", "ShippingCost"]
 NO_SIGNAL_AUC = 0.55
 MISSING = "nan"
+MAJORITY = "most frequent class"
 SEED = 42
-MAX_LEVELS = 256
-# The check of a column's size is an estimate, so trees get bins to spare.
-MAX_BINS = MAX_LEVELS * 5 // 4 + 2
+BINS = 32
 
 
-def row_hash(keys: Iterable[str], seed: int):
-    """A number per key, the same on every run and every executor."""
-    return F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+def stratified(df: DataFrame, label: str, key: str = "OrderID", parts: int = 5,
+               folds: int = 5, number: Column | None = None) -> DataFrame:
+    """Add `is_test`, true for one in `parts` keys of each label, and `fold` for the others.
 
-
-def split(df: DataFrame, test_pct: int = 20, keys: Iterable[str] = ("OrderID",),
-          seed: int = SEED) -> DataFrame:
-    """Add `is_test`, true for `test_pct` percent of the keys.
-
-    The hash is independent of the label, so both classes keep their share up
-    to chance, and the lines of one order stay on one side.
+    The keys of a label are put in the order of `number`, by default a hash of the key, and
+    dealt out in turn, so every part has the same share of each label, on every run. The lines
+    of a key with the same label stay together.
     """
-    return df.withColumn("is_test", F.pmod(row_hash(keys, seed), F.lit(100)) < test_pct)
-
-
-def add_fold(df: DataFrame, folds: int = 5, keys: Iterable[str] = ("OrderID",),
-             seed: int = SEED + 1) -> DataFrame:
-    return df.withColumn("fold", F.pmod(row_hash(keys, seed), F.lit(folds)).cast("int"))
-
-
-def level_counts(train: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Estimated number of distinct values per column, from one pass."""
-    if not columns:
-        return {}
-    row = train.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    return row.asDict()
+    number = F.xxhash64(key) if number is None else number
+    marked = df.withColumn("_number", number)
+    place = positions(marked, "_number", [label], "_place")
+    out = marked.join(place.withColumnsRenamed({label: "_label", "_number": "_key"}),
+                      F.col(label).eqNullSafe(F.col("_label"))
+                      & (F.col("_number") == F.col("_key")))
+    turn = F.col("_place") % parts
+    return (out.withColumn("is_test", turn == 0)
+            .withColumn("fold", (F.floor(F.col("_place") / parts) % folds).cast("int"))
+            .drop("_number", "_label", "_key", "_place"))
 
 
 class Features:
-    """Train-only feature encoding.
-
-    Categories become alphabetical codes; null is the category `nan` and a
-    value unseen in training gets a code of its own. The code list of a column
-    lives in the model, so its size is checked: a column with more than
-    `max_levels` values gets a hash of the value as its code instead, which
-    needs no list and keeps every value apart.
-
-    A null number is an error: rows are never dropped without notice.
+    """Encoding fitted on the training rows: codes of the categories, and the numbers.
 
-    `kind="tree"` keeps the codes categorical, `kind="linear"` one-hot encodes
-    and standardises, `kind="codes"` uses the plain numbers for any model.
+    The distinct training values of a category, however many, get their alphabetical place as
+    code; null is the value `nan`, and a value unseen in training gets the code after the last.
+    Codes are looked up by a join, which Spark broadcasts while the list is small. Codes and
+    numbers are standardised by training mean and sample deviation. A null number is an error:
+    rows are never dropped without notice.
     """
 
-    def __init__(self, categorical: list[str], numbers: list[str], kind: str = "tree",
-                 max_levels: int = MAX_LEVELS):
+    def __init__(self, categorical: list[str], numbers: list[str]):
         self.categorical, self.numbers = categorical, numbers
-        self.kind, self.max_levels = kind, max_levels
-        self.names: list[str] = []
+        self.names = [*categorical, *numbers]
 
     def _prepare(self, df: DataFrame) -> DataFrame:
         text = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in self.categorical}
-        numbers = {c: F.col(c).cast("double") for c in self.numbers}
-        return df.withColumns({**text, **numbers}).withColumns({
-            f"{c}_code": F.pmod(F.xxhash64(c), F.lit(2 ** 52)) / F.lit(float(2 ** 52))
-            for c in self._hashed})
+        return df.withColumns(text | {c: F.col(c).cast("double") for c in self.numbers})
 
     def fit(self, train: DataFrame) -> "Features":
-        sizes = level_counts(train, self.categorical)
-        self._hashed = [c for c in self.categorical if sizes[c] > self.max_levels]
-        listed = [c for c in self.categorical if c not in self._hashed]
-        stages: list = []
-        if listed:
-            stages.append(StringIndexer(
-                inputCols=listed, outputCols=[f"{c}_code" for c in listed],
-                stringOrderType="alphabetAsc", handleInvalid="keep"))
-        columns = [f"{c}_code" for c in self.categorical]
-        if self.kind == "linear" and listed:
-            stages.append(OneHotEncoder(inputCols=[f"{c}_code" for c in listed],
-                                        outputCols=[f"{c}_hot" for c in listed]))
-            columns = [f"{c}_hot" if c in listed else f"{c}_code" for c in self.categorical]
-        self._strip = [f"{c}_code" for c in listed] if self.kind == "codes" else []
-        self.names = [*self.categorical, *self.numbers]
-        before = Pipeline(stages=stages).fit(self._prepare(train))
-        assemble = [VectorAssembler(inputCols=columns + self.numbers, outputCol="raw_features",
-                                    handleInvalid="error")]
-        if self.kind != "tree":
-            assemble.append(StandardScaler(inputCol="raw_features", outputCol="features",
-                                           withMean=True, withStd=True))
-        else:
-            assemble[0].setOutputCol("features")
-        self._before = before
-        self._after = Pipeline(stages=assemble).fit(self._coded(train))
+        train = self._prepare(train)
+        listed = F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).alias("level"))
+            for c in self.categorical]))
+        self.codes = materialise(positions(
+            train.select(listed.alias("c")).select("c.*"), "level", ["column"], "code"), "codes")
+        sizes = {r["column"]: r["n"] for r in self.codes.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n")).collect()}  # a row per category
+        self.sizes = {c: sizes.get(c, 0) for c in self.categorical}
+        assemble = VectorAssembler(inputCols=[f"{c}_code" for c in self.categorical] + self.numbers,
+                                   outputCol="raw_features", handleInvalid="error")
+        scale = StandardScaler(inputCol="raw_features", outputCol="features",
+                               withMean=True, withStd=True)
+        self._model = Pipeline(stages=[assemble, scale]).fit(self.coded(train))
         return self
 
-    def _coded(self, df: DataFrame) -> DataFrame:
-        out = self._before.transform(self._prepare(df))
-        return out.withColumns({c: F.col(c).alias(c, metadata={}) for c in self._strip})
+    def coded(self, df: DataFrame) -> DataFrame:
+        """`df` with a column `<category>_code` for each category."""
+        out = self._prepare(df)
+        for c in self.categorical:
+            own = self.codes.where(F.col("column") == c).select(
+                F.col("level").alias(f"_{c}"), F.col("code").cast("double").alias(f"{c}_code"))
+            out = out.join(own, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
+        return out.withColumns({f"{c}_code": F.coalesce(f"{c}_code", F.lit(float(self.sizes[c])))
+                                for c in self.categorical})
 
-    def scaler(self) -> StandardScalerModel | None:
-        """The fitted scaler: training mean and sample deviation per column."""
-        last = self._after.stages[-1]
-        return last if isinstance(last, StandardScalerModel) else None
+    def scaler(self) -> StandardScalerModel:
+        """The fitted scaler: training mean and sample deviation per column of `names`."""
+        return self._model.stages[-1]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self._after.transform(self._coded(df))
+        return self._model.transform(self.coded(df))
 
 
-def classifiers(n_train: int, trees: int = 100, forest_depth: int = 10,
-                max_bins: int = MAX_BINS) -> dict[str, tuple[str, Estimator]]:
-    """The four return models: kind of features each needs, and the estimator."""
+def classifiers(n_train: int, trees: int = 100, forest_depth: int = 30,
+                bins: int = BINS) -> dict[str, Estimator]:
+    """The four return models. 30 levels are the most a forest can have here."""
     common = {"labelCol": "label", "featuresCol": "features"}
-    tree = {**common, "maxBins": max_bins, "seed": SEED}
+    tree = {**common, "maxBins": bins, "seed": SEED}
     return {
-        "Logistic Regression": ("linear", LogisticRegression(
-            maxIter=500, elasticNetParam=0.0, regParam=1.0 / max(1, n_train), **common)),
-        "Decision Tree": ("tree", DecisionTreeClassifier(maxDepth=6, **tree)),
-        "Random Forest": ("tree", RandomForestClassifier(
-            numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=forest_depth, **tree)),
-        "Gradient Boosting": ("tree", GBTClassifier(
-            maxIter=trees, maxDepth=3, stepSize=0.1, **tree)),
+        "Logistic Regression": LogisticRegression(
+            maxIter=500, elasticNetParam=0.0, regParam=1.0 / max(1, n_train), **common),
+        "Decision Tree": DecisionTreeClassifier(maxDepth=6, **tree),
+        "Random Forest": RandomForestClassifier(
+            numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=forest_depth, **tree),
+        "Gradient Boosting": GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.1, **tree),
     }
 
 
-def regressors(trees: int = 100, forest_depth: int = 10,
-               max_bins: int = MAX_BINS) -> dict[str, tuple[str, Estimator]]:
+def regressors(trees: int = 100, forest_depth: int = 30, bins: int = BINS) -> dict[str, Estimator]:
     common = {"labelCol": "label", "featuresCol": "features"}
-    tree = {**common, "maxBins": max_bins, "seed": SEED}
+    tree = {**common, "maxBins": bins, "seed": SEED}
     return {
-        "Linear Regression": ("linear", LinearRegression(regParam=0.0, **common)),
-        "Random Forest": ("tree", RandomForestRegressor(
-            numTrees=trees, featureSubsetStrategy="all", maxDepth=forest_depth, **tree)),
-        "Gradient Boosting": ("tree", GBTRegressor(
-            maxIter=trees, maxDepth=3, stepSize=0.1, **tree)),
+        "Linear Regression": LinearRegression(regParam=0.0, **common),
+        "Random Forest": RandomForestRegressor(
+            numTrees=trees, featureSubsetStrategy="all", maxDepth=forest_depth, **tree),
+        "Gradient Boosting": GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.1, **tree),
     }
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Use every core for a table of fewer files than there are cores."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+class Prepared:
+    """Split and encoded rows, written to the shared folder: every fit reads them many times,
+    and a lost executor then costs a re-read, not the joins behind the sales."""
 
+    def __init__(self, df: DataFrame, numbers: list[str], parts: int, folds: int,
+                 number: Column | None, stratify: bool):
+        shared_folder(df.sparkSession)
+        known = df.where(F.col("label").isNotNull())
+        whole = known.withColumn("_one", F.lit(1))
+        rows = stratified(whole, "label" if stratify else "_one", "OrderID", parts, folds, number)
+        rows = materialise(rows.select("label", "is_test", "fold", *CATEGORICAL, *numbers),
+                           "model-rows")
+        self.features = Features(CATEGORICAL, numbers).fit(rows.where(~F.col("is_test")))
+        self.table = materialise(self.features.transform(rows).select(
+            "label", "is_test", "fold", "features"), "features")
+        self.train, self.test = self.table.where(~F.col("is_test")), self.table.where("is_test")
 
-def _prepared(df: DataFrame, kinds: set[str], categorical: list[str], numbers: list[str],
-              keep: list[str]) -> dict[str, tuple[DataFrame, DataFrame, Features]]:
-    """Encoded train and test tables per kind of features.
-
-    The rows and the encoded tables are written to the shared folder: every
-    fit reads them many times, and a lost executor then costs a re-read, not
-    the joins behind the sales.
-    """
-    df = materialise(df.select(*keep, "is_test", *categorical, *numbers), "model-rows")
-    train = df.where(~F.col("is_test"))
-    out = {}
-    for kind in sorted(kinds):
-        enc = Features(categorical, numbers, kind).fit(train)
-        table = materialise(enc.transform(df).select(*keep, "is_test", "features"),
-                            f"features-{kind}")
-        table = spread(table)
-        out[kind] = (table.where(~F.col("is_test")), table.where("is_test"), enc)
-    return out
+    def sizes(self) -> DataFrame:
+        """Rows per side, fold (of the training side) and label."""
+        return self.table.groupBy("is_test", F.when(~F.col("is_test"), F.col("fold")).alias("fold"),
+                                  "label").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def importances(model: Model, names: list[str], spark: SparkSession, top: int = 10) -> DataFrame | None:
@@ -197,25 +166,23 @@ def importances(model: Model, names: list[str], spark: SparkSession, top: int =
 class ReturnModels:
     """Fits the four classifiers and keeps what the report needs."""
 
-    def __init__(self, df: DataFrame, trees: int = 100, folds: int = 5, forest_depth: int = 10,
-                 names: list[str] | None = None, parallelism: int = 5):
+    def __init__(self, df: DataFrame, trees: int = 100, folds: int = 5, forest_depth: int = 30,
+                 names: list[str] | None = None, parallelism: int = 5,
+                 number: Column | None = None):
         self.spark = df.sparkSession
-        shared_folder(self.spark)
-        marked = add_fold(split(df), folds).withColumn("label", F.col("Returned").cast("double"))
-        marked = marked.where(F.col("label").isNotNull())
-        sizes = marked.where(~F.col("is_test")).groupBy("label").count().collect()
-        n_train = sum(r["count"] for r in sizes)
-        self.baseline = max((r["count"] for r in sizes), default=0) / max(1, n_train)
-        models = classifiers(n_train, trees, forest_depth)
-        models = {n: m for n, m in models.items() if names is None or n in names}
-        self.data = _prepared(marked, {k for k, _ in models.values()}, CATEGORICAL,
-                              RETURN_NUMBERS, ["label", "fold"])
+        self.data = Prepared(df.withColumn("label", F.col("Returned").cast("double")),
+                             RETURN_NUMBERS, 5, folds, number, stratify=True)
+        train, test = self.data.train, self.data.test
+        sizes = train.groupBy("label").count().collect()  # two rows
+        self.n_train = sum(r["count"] for r in sizes)
+        self.n_test = test.count()
+        self.baseline = max((r["count"] for r in sizes), default=0) / max(1, self.n_train)
         self.results: list[dict] = []
         self.models: dict[str, Model] = {}
         self.predictions: dict[str, DataFrame] = {}
-        self.kinds = {n: k for n, (k, _) in models.items()}
-        for name, (kind, estimator) in models.items():
-            train, test, _ = self.data[kind]
+        for name, estimator in classifiers(self.n_train, trees, forest_depth).items():
+            if names is not None and name not in names:
+                continue
             cv = CrossValidator(
                 estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(),
                 evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
@@ -233,11 +200,13 @@ class ReturnModels:
         self.best = max(self.results, key=lambda r: r["cv_auc"])["model"]
 
     def leaderboard(self) -> DataFrame:
-        """One row per model and the majority baseline; best by cross-validated AUC."""
-        rows = [("[majority-class baseline]", self.baseline, 0.5, None, None, False, None)]
+        """One row per model and the majority baseline; best by cross-validated AUC. The guard
+        against a model without signal is on the best one."""
+        rows = [(MAJORITY, self.baseline, 0.5, None, None, False, None)]
         for r in self.results:
-            rows.append((r["model"], r["accuracy"], r["auc"], r["f1_returned"], r["cv_auc"],
-                         r["model"] == self.best, r["cv_auc"] < NO_SIGNAL_AUC))
+            best = r["model"] == self.best
+            rows.append((r["model"], r["accuracy"], r["auc"], r["f1_returned"], r["cv_auc"], best,
+                         r["cv_auc"] < NO_SIGNAL_AUC if best else None))
         return self.spark.createDataFrame(
             rows, "model string, accuracy double, auc double, f1_returned double, "
                   "cv_auc double, is_best boolean, no_signal boolean")
@@ -248,39 +217,33 @@ class ReturnModels:
     def confusion(self, name: str | None = None) -> DataFrame:
         return scores.confusion(self.predictions[name or self.best])
 
-    def roc_points(self, bins: int | None = 200) -> DataFrame:
-        """ROC points of every model, on a grid of scores unless `bins` is None."""
+    def roc_points(self, bins: int | None = None) -> DataFrame:
+        """ROC points of every model; `bins` puts the scores on a grid for a smaller plot."""
         curves = [scores.roc_points(p, bins=bins).withColumn("model", F.lit(name))
                   for name, p in self.predictions.items()]
         return reduce(DataFrame.unionByName, curves)
 
     def importances(self, name: str = "Random Forest", top: int = 10) -> DataFrame | None:
-        enc = self.data[self.kinds[name]][2]
-        return importances(self.models[name], enc.names, self.spark, top)
+        return importances(self.models[name], self.data.features.names, self.spark, top)
 
 
 class RevenueModels:
     """Fits the three regressors. The target is an identity of three features
     (see `checks.is_identity`), so a near-perfect score is arithmetic."""
 
-    def __init__(self, df: DataFrame, trees: int = 100, forest_depth: int = 10,
-                 names: list[str] | None = None):
+    def __init__(self, df: DataFrame, trees: int = 100, forest_depth: int = 30,
+                 names: list[str] | None = None, number: Column | None = None):
         self.spark = df.sparkSession
-        shared_folder(self.spark)
-        marked = split(df).withColumn("label", F.col("TotalPrice").cast("double"))
-        marked = marked.where(F.col("label").isNotNull())
-        models = regressors(trees, forest_depth)
-        models = {n: m for n, m in models.items() if names is None or n in names}
-        self.data = _prepared(marked, {k for k, _ in models.values()}, CATEGORICAL,
-                              REVENUE_NUMBERS, ["label"])
+        self.data = Prepared(df.withColumn("label", F.col("TotalPrice").cast("double")),
+                             REVENUE_NUMBERS, 5, 5, number, stratify=False)
         self.results, self.models, self.predictions = [], {}, {}
-        self.kinds = {n: k for n, (k, _) in models.items()}
-        for name, (kind, estimator) in models.items():
-            train, test, _ = self.data[kind]
-            model = estimator.fit(train)
+        for name, estimator in regressors(trees, forest_depth).items():
+            if names is not None and name not in names:
+                continue
+            model = estimator.fit(self.data.train)
             self.models[name] = model
             self.predictions[name] = materialise(
-                model.transform(test).select("label", "prediction"), "predictions")
+                model.transform(self.data.test).select("label", "prediction"), "predictions")
             m = scores.regression_metrics(self.predictions[name]).first()
             self.results.append({"model": name, "mae": m["mae"], "rmse": m["rmse"], "r2": m["r2"]})
         self.best = max(self.results,
@@ -293,9 +256,8 @@ class RevenueModels:
             rows, "model string, mae double, rmse double, r2 double, is_best boolean")
 
     def importances(self, name: str | None = None, top: int = 10) -> DataFrame | None:
-        name = name or self.best
-        enc = self.data[self.kinds[name]][2]
-        return importances(self.models[name], enc.names, self.spark, top)
+        return importances(self.models[name or self.best], self.data.features.names, self.spark,
+                           top)
 
     def actual_vs_predicted(self, name: str | None = None) -> DataFrame:
         return self.predictions[name or self.best]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators.breakdown import level_totals, undiscounted_promotions
+from tallymark.operators.breakdown import (level_totals, promotion_measures,
+                                           undiscounted_from_levels, undiscounted_promotions)
 from tallymark.operators.periods import like_for_like
 from tallymark.operators.stats import chi_square
 from tallymark.functions.derive import currency, percent
-from tallymark.functions.numeric import ratio
+from tallymark.functions.numeric import ratio, total
+from tallymark.session import materialise
 
 TESTED = ["Product", "Region", "Salesperson"]
 
@@ -18,7 +20,13 @@ def return_rate_note(df: DataFrame, subject: str = "Product",
                      tested: list[str] | None = None) -> DataFrame:
     """Spread of the subject's return rates and whether it is more than noise."""
     tested = tested or TESTED
-    levels = level_totals(df, sorted({subject, *tested}))
+    levels = materialise(level_totals(df, sorted({subject, *tested})), "levels")
+    return levels_note(levels, subject, tested)
+
+
+def levels_note(levels: DataFrame, subject: str, tested: list[str]) -> DataFrame:
+    """The note from the written totals per level, which it reads more than once."""
+    levels = levels.where(F.col("dim").isin([subject, *tested]))
     rate = ratio(F.col("returned"), F.col("rated")) * 100
     one = (levels.where((F.col("dim") == subject) & F.col("level").isNotNull())
            .withColumn("rate", rate).agg(
@@ -39,7 +47,7 @@ def return_rate_note(df: DataFrame, subject: str = "Product",
         "min_rate", "max_rate", "spread", "lines_per_level", "highest_level", listed))
 
 
-def partial_year_note(df: DataFrame, months: int | None = 6) -> DataFrame:
+def partial_year_note(df: DataFrame, months: int | None = None) -> DataFrame:
     """The last year's apparent change against the like-for-like one."""
     one = like_for_like(df, months)
     return one.withColumn("text", F.concat(
@@ -54,18 +62,35 @@ def partial_year_note(df: DataFrame, months: int | None = 6) -> DataFrame:
 
 def promotion_note(df: DataFrame) -> DataFrame:
     """Per code, the discount really given and the orders that got none."""
-    return undiscounted_promotions(df).withColumn("text", F.format_string(
+    return promotion_text(undiscounted_promotions(df))
+
+
+def promotion_text(codes: DataFrame) -> DataFrame:
+    return codes.withColumn("text", F.format_string(
         "%s: %.1f%% average discount, %d of %d rows without any.", "promotion",
         "avg_discount_pct", "undiscounted", "lines"))
 
 
-def all_notes(df: DataFrame, months: int | None = 6) -> DataFrame:
+def all_notes(df: DataFrame, months: int | None = None) -> DataFrame:
     """The three notes as rows `note`, `subject`, `text`."""
+    levels = materialise(level_totals(df, [*TESTED, "Promotion"], promotion_measures()), "levels")
+    return notes_from(levels, materialise(days_of(df), "days"), months)
+
+
+def days_of(df: DataFrame) -> DataFrame:
+    """Revenue per day, which stands in for the sales in every period report."""
+    return df.groupBy(F.to_date("Date").alias("Date")).agg(
+        total(F.col("TotalPrice")).alias("TotalPrice"))
+
+
+def notes_from(levels: DataFrame, days: DataFrame, months: int | None = None) -> DataFrame:
+    """The notes from written totals per level and per day."""
+    codes = promotion_text(undiscounted_from_levels(levels))
     return (
-        return_rate_note(df).select(F.lit("returns").alias("note"),
-                                    F.lit("Product").alias("subject"), "text")
-        .unionByName(partial_year_note(df, months).select(
+        levels_note(levels, "Product", TESTED).select(
+            F.lit("returns").alias("note"), F.lit("Product").alias("subject"), "text")
+        .unionByName(partial_year_note(days, months).select(
             F.lit("partial year").alias("note"),
             F.col("year").cast("string").alias("subject"), "text"))
-        .unionByName(promotion_note(df).select(
+        .unionByName(codes.select(
             F.lit("promotions").alias("note"), F.col("promotion").alias("subject"), "text")))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tallymark.functions.derive import currency, percent
 from tallymark.functions.numeric import ratio, total
 from tallymark.operators import checks
-from tallymark.operators.breakdown import level_totals, listed_tiers, ordered
+from tallymark.operators.breakdown import (level_totals, listed_tiers, ordered,
+                                           promotion_measures)
 from tallymark.operators.periods import annual, monthly_trend, quarterly
 from tallymark.operators.stats import chi_square, correlations, trend_forecast
 from tallymark.plans.kpi import hero_counts, kpi_cards
-from tallymark.plans.notes import all_notes
+from tallymark.plans.notes import days_of, notes_from
 from tallymark.schema import CORRELATED
 from tallymark.session import materialise
 
@@ -40,8 +41,16 @@ def chart_levels(df: DataFrame, dims: list[str] | None = None) -> DataFrame:
     and the shares come from the same small table.
     """
     dims = dims or CHART_DIMS
-    base = level_totals(df, dims, {
-        "avg_discount": F.avg("Discount"), "avg_delivery_days": F.avg("DeliveryDays")})
+    return levels_shown(level_totals(df, dims, level_measures()), dims)
+
+
+def level_measures() -> dict:
+    return {"avg_discount": F.avg("Discount"), "avg_delivery_days": F.avg("DeliveryDays"),
+            **promotion_measures()}
+
+
+def levels_shown(base: DataFrame, dims: list[str]) -> DataFrame:
+    """What the charts show of totals per level with `level_measures`."""
     whole = (base.where(F.col("dim") == dims[0])
              .agg(F.struct(F.sum("revenue").alias("revenue"), F.sum("rated").alias("rated"),
                            F.sum("returned").alias("returned"))).scalar())
@@ -59,9 +68,7 @@ def chart_levels(df: DataFrame, dims: list[str] | None = None) -> DataFrame:
 
 def daily(df: DataFrame) -> DataFrame:
     """Revenue per day: a small stand-in for the sales in every period report."""
-    return df.groupBy(F.to_date("Date").alias("Date")).agg(
-        total(F.col("TotalPrice")).alias("TotalPrice")).withColumns(
-        {"Year": F.year("Date"), "Quarter": F.quarter("Date")})
+    return days_of(df).withColumns({"Year": F.year("Date"), "Quarter": F.quarter("Date")})
 
 
 def grids(df: DataFrame) -> DataFrame:
@@ -78,14 +85,9 @@ def grids(df: DataFrame) -> DataFrame:
         "revenue", (F.col("revenue") / 1000).alias("revenue_k"), "lines", "return_rate")
 
 
-def charts(df: DataFrame) -> dict[str, DataFrame]:
-    """Name of each chart and its table.
-
-    The sales are read three times, for levels, days and grids; the results
-    are written out and every chart but the correlation reads those.
-    """
-    levels = materialise(chart_levels(df, [*CHART_DIMS, "DiscountBucket"]), "levels")
-    days = materialise(daily(df), "days")
+def charts(df: DataFrame, base: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
+    """Name of each chart and its table, from the sales and their written totals."""
+    levels = materialise(levels_shown(base, CHART_DIMS), "levels")
     pairs = materialise(grids(df), "grids")
     tests = chi_square(levels.where(F.col("dim").isin(CHART_DIMS))).select("dim", "p_value", "verdict")
     out = {}
@@ -108,18 +110,51 @@ def charts(df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def write_report(cleaned: DataFrame, unfilled: DataFrame, path: str, key: str = "OrderID",
-                 months: int | None = 6) -> list[str]:
-    """Write charts, checks, KPIs and notes below `path`; returns what was written.
+def report_tables(cleaned: DataFrame, unfilled: DataFrame, key: str = "OrderID",
+                  months: int | None = None) -> dict[str, DataFrame]:
+    """Name of each table of the report, and the table.
 
-    `unfilled` is the sales table before null promotions are filled, so the
-    checks see them.
+    `unfilled` is the sales table before null promotions are filled, so the checks see them.
+    Both are read once: what the report needs of them is written out, and so are the totals per
+    level and day that most tables rest on.
     """
-    tables = {f"chart={name}": table for name, table in charts(cleaned).items()}
+    cleaned = materialise(cleaned, "report-sales")
+    unfilled = materialise(unfilled, "report-unfilled")
+    base = materialise(level_totals(cleaned, [*CHART_DIMS, "DiscountBucket"], level_measures()),
+                       "level-totals")
+    days = materialise(daily(cleaned), "days")
+    tables = {f"chart={name}": table for name, table in charts(cleaned, base, days).items()}
     found = materialise(checks.all_checks(unfilled, key), "checks")
-    tables.update({
+    return tables | {
         "checks": found, "checks_tally": checks.tally(found), "kpis": kpi_cards(cleaned),
-        "hero": hero_counts(cleaned), "notes": all_notes(cleaned, months)})
+        "hero": hero_counts(cleaned), "notes": notes_from(base, days, months)}
+
+
+def write_report(cleaned: DataFrame, unfilled: DataFrame, path: str, key: str = "OrderID",
+                 months: int | None = None) -> list[str]:
+    """Write charts, checks, KPIs and notes below `path`; returns what was written."""
+    tables = report_tables(cleaned, unfilled, key, months)
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
     return sorted(tables)
+
+
+def long_form(table: DataFrame, name: str) -> DataFrame:
+    """Every cell of a table as text: table, row (its text columns), column, value."""
+    table = table.select(*[F.col(c).cast("double") if t.startswith("decimal") else F.col(c)
+                           for c, t in table.dtypes])
+    text = [c for c, t in table.dtypes if t == "string"]
+    row = F.concat_ws(" | ", *[F.coalesce(F.col(c), F.lit("-")) for c in text])
+
+    def shown(column: str, kind: str):
+        value = F.col(column).cast("string")
+        if kind == "double":  # 0.0 is added so that there is no negative zero
+            value = F.when(F.col(column).isNotNull(),
+                           F.format_string("%.2f", F.round(F.col(column), 2) + F.lit(0.0)))
+        return F.struct(F.lit(column).alias("column"), value.alias("value"))
+
+    cells = F.explode(F.array(*[shown(c, t) for c, t in table.dtypes if t != "string"] or
+                              [F.struct(F.lit("").alias("column"),
+                                        F.lit(None).cast("string").alias("value"))]))
+    return table.select(F.lit(name).alias("table"), row.alias("row"), cells.alias("c")).select(
+        "table", "row", "c.*")

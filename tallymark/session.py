@@ -57,23 +57,45 @@ def tune(spark: SparkSession, input_bytes: int | None = None) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only a local master, which has no other machines, may fall back to a
-    temporary folder.
+    A local master, which has no other machines, may name one in `spark.tallymark.local.dir`
+    instead; without either it gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tallymark-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    folder = spark.conf.get("spark.tallymark.local.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tallymark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return shared_folder(spark)
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else writes to."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def intermediates() -> int:
+    """A mark: what is written after it can be deleted by `release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the intermediate tables made since `mark`, once results that read them are
+    written or collected. What is gone already is no error."""
+    jvm = spark.sparkContext._jvm
+    for path in _made[mark:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[mark:]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -86,3 +108,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def input_bytes(spark: SparkSession, folder: str, tables: list[str]) -> int:
+    """Size of the files of `<folder>/<table>.parquet`, from their listing."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for name in tables:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(conf)
+        if files.exists(path):
+            total += files.getContentSummary(path).getLength()
+    return total

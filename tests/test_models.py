@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -34,53 +35,65 @@ def sold(spark):
     return clean(raw).checkpoint()
 
 
-def test_split_is_repeatable_and_keeps_orders_together(sold):
+def test_split_is_repeatable_and_stratified(sold):
     lines = sold.unionByName(sold)
-    first = models.split(lines).groupBy("OrderID").agg(F.countDistinct("is_test").alias("n"))
+    first = models.stratified(lines, "Returned").groupBy("OrderID").agg(
+        F.countDistinct("is_test", "fold").alias("n"))
     assert first.where("n > 1").count() == 0
-    share = models.split(sold).agg(F.avg(F.col("is_test").cast("int"))).first()[0]
-    assert 0.15 < share < 0.25
-    again = models.split(sold.repartition(7)).where("is_test").select("OrderID")
-    assert again.exceptAll(models.split(sold).where("is_test").select("OrderID")).count() == 0
-    folds = models.add_fold(sold).groupBy("fold").count().collect()
-    assert len(folds) == 5 and min(r["count"] for r in folds) > 120
+    share = models.stratified(sold, "Returned").groupBy("Returned").agg(
+        F.avg(F.col("is_test").cast("int")).alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(abs(r["s"] - 0.2) <= 1 / r["n"] for r in share)
+    again = models.stratified(sold.repartition(7), "Returned").where("is_test").select("OrderID")
+    assert again.exceptAll(models.stratified(sold, "Returned").where("is_test")
+                           .select("OrderID")).count() == 0
+    folds = models.stratified(sold, "Returned").where("not is_test").groupBy("fold").count().collect()
+    assert len(folds) == 5 and max(r["count"] for r in folds) - min(r["count"] for r in folds) <= 2
 
 
 def test_codes_unseen_and_missing(sold):
     train = sold.where("Region <> 'R3'")
-    enc = models.Features(["Region", "CustomerType"], ["Quantity"], "codes").fit(train)
-    coded = enc._coded(sold)
+    coded = models.Features(["Region", "CustomerType"], ["Quantity"]).fit(train).coded(sold)
     region = {r[0]: r[1] for r in coded.select("Region", "Region_code").distinct().collect()}
     assert region == {"R0": 0.0, "R1": 1.0, "R2": 2.0, "R3": 3.0}
     kind = {r[0]: r[1] for r in coded.select("CustomerType", "CustomerType_code")
             .distinct().collect()}
     assert kind == {"nan": 0.0, "new": 1.0}
-    assert not coded.schema["Region_code"].metadata
 
 
-def test_many_levels_get_a_code_without_a_list(sold):
-    enc = models.Features(["Salesperson"], ["Quantity"], "tree", max_levels=50).fit(sold)
-    coded = enc._coded(sold)
-    assert enc._hashed == ["Salesperson"]
-    assert coded.select("Salesperson_code").distinct().count() == 300
+def test_many_levels_are_coded_alike(sold):
+    coded = models.Features(["Salesperson"], ["Quantity"]).fit(sold).coded(sold)
+    found = [r[0] for r in coded.select("Salesperson_code", "Salesperson").distinct()
+             .orderBy("Salesperson").collect()]
+    assert found == [float(i) for i in range(300)]
 
 
 def test_scaled_features(sold):
-    enc = models.Features([], ["Quantity", "UnitPrice"], "linear").fit(sold)
-    x = enc.transform(sold).select(vector_to_array("features")[0].alias("x"))
+    enc = models.Features(["Region"], ["Quantity", "UnitPrice"]).fit(sold)
+    x = enc.transform(sold).select(vector_to_array("features")[1].alias("x"))
     one = x.agg(F.avg("x"), F.stddev_samp("x")).first()
     assert one[0] == pytest.approx(0, abs=1e-9) and one[1] == pytest.approx(1)
 
 
+def test_linear_regression_has_its_closed_form(sold):
+    fitted = models.RevenueModels(sold, names=["Linear Regression"])
+    rows = fitted.data.train.select(vector_to_array("features").alias("x"), "label").collect()
+    x = np.array([r["x"] + [1.0] for r in rows])
+    want = x @ np.linalg.lstsq(x, np.array([r["label"] for r in rows]), rcond=None)[0]
+    model = fitted.models["Linear Regression"]
+    got = [r["prediction"] for r in model.transform(fitted.data.train).select("prediction").collect()]
+    assert got == pytest.approx(list(want), rel=1e-6, abs=1e-6)
+
+
 def test_return_models(sold):
     fitted = models.ReturnModels(sold, trees=5, folds=2, forest_depth=5)
     board = {r["model"]: r for r in fitted.leaderboard().collect()}
     assert len(board) == 5 and sum(r["is_best"] for r in board.values()) == 1
-    base = board["[majority-class baseline]"]
+    base = board[models.MAJORITY]
     assert base["auc"] == 0.5 and 0.5 < base["accuracy"] < 1
     for name in fitted.models:
         r = board[name]
-        assert r["cv_auc"] > 0.75 and r["auc"] > 0.75 and not r["no_signal"], name
+        assert r["cv_auc"] > 0.75 and r["auc"] > 0.75, name
+    assert [r["no_signal"] for r in board.values() if r["is_best"]] == [False]
     assert board[fitted.best]["cv_auc"] == max(r["cv_auc"] for r in board.values() if r["cv_auc"])
     top = fitted.importances("Decision Tree", 3).collect()
     assert len(top) == 3 and top[0]["feature"] in ("Region", "Discount", "DiscountBucket")

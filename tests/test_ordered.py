@@ -21,10 +21,7 @@ def quantiles(df, probabilities):
     return {r["probability"]: r["value"] for r in out}
 
 
-@pytest.mark.parametrize("direct", [True, False])
-def test_quantiles_with_a_hot_value(spark, monkeypatch, direct):
-    if not direct:
-        monkeypatch.setattr(ordered, "DIRECT_ROWS", 0)
+def test_quantiles_with_a_hot_value(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([np.full(4000, 17.25), rng.lognormal(5, 2, 5000),
                              -rng.lognormal(1, 1, 3000), [0.0, 1e12, -1e12]])
@@ -76,6 +73,35 @@ def test_running_totals_by_group_and_extremes(spark):
                    ("x", math.inf): 3}
 
 
+def test_buckets_follow_the_order_and_stay_small(spark):
+    """Also for 20,000 scores below 1e-13, which absolute steps would put together."""
+    rng = np.random.default_rng(5)
+    crowded = np.unique(rng.random(20_000) * 2e-14)
+    powers = np.concatenate([[np.nextafter(2.0 ** k, 0), 2.0 ** k, np.nextafter(2.0 ** k, 9e99)]
+                             for k in range(-1040, 300, 7)])
+    values = np.unique(np.concatenate([crowded, powers, -powers, [0.0, 5e-324, 1e308, -1e308]]))
+    rows = frame(spark, values).withColumn("b", ordered.leaf_bucket(F.col("v"))).orderBy("v").collect()
+    buckets = [r["b"] for r in rows]
+    assert buckets == sorted(buckets)
+    df = frame(spark, crowded).withColumn("b0", ordered.leaf_bucket(F.col("v")))
+    assert df.groupBy("b0").count().agg(F.max("count")).first()[0] <= 256
+    for level in range(ordered.TOP):
+        up = df.select(ordered.parent(F.col("b0"), level + 1).alias("up"),
+                       ordered.parent(F.col("b0"), level).alias("b")).distinct()
+        assert up.groupBy("up").count().agg(F.max("count")).first()[0] <= 65_536
+    got = ordered.running_totals(frame(spark, crowded), "v", {"n": F.lit(1)}).collect()
+    assert sorted(r["cum_n"] for r in got) == list(range(1, len(crowded) + 1))
+
+
+def test_ranks_survive_a_second_evaluation(spark):
+    """The values differ in the last bit each time they are evaluated; no rank may be null."""
+    df = spark.range(50).select(F.col("id"), (F.col("id") + F.rand()).alias("v"))
+    shaken = df.withColumn("v", F.col("v") * (1 + F.expr("uuid()").substr(1, 1).isin("0", "1")
+                                              .cast("double") * 1e-15))
+    ranks = [r["rank"] for r in ordered.rank_rows(shaken, "v").collect()]
+    assert sorted(ranks) == list(range(1, 51))
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 7.0), ("c", 5.0), ("d", 1.0)], "k string, v double")
     got = {r["k"]: r["rank"] for r in ordered.rank_rows(df, "v").collect()}

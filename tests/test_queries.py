@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import duckdb
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from conftest import DATA
+from tallymark import session
 from tallymark.operators import ordered
 from tallymark.sources.star import raw_sales, sales
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
-MODELS = {"clf_leaderboard", "reg_leaderboard", "topk_importance"}
+TEXTS = {*registered.llm_queries.QUERIES, "pipeline"} if registered.llm_queries else set()
+QUERIES = {n: q for n, q in registered.queries().items() if n not in TEXTS}
+ORACLES = {n: q for n, q in registered.oracle_sql().items() if n not in TEXTS}
 
 
 @pytest.fixture(scope="module")
@@ -42,8 +45,17 @@ def table(columns, data):
             sorted(tuple(plain(r[i]) for i in order) for r in data))
 
 
-def test_every_query_has_sql_but_the_models():
-    assert set(QUERIES) - set(ORACLES) == MODELS
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_shuffles_follow_the_size_of_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(session, "BYTES_PER_PARTITION", 1000)
+    QUERIES["by_region"](spark, DATA)
+    size = sum(os.path.getsize(f"{DATA}/{t}.parquet") for t in ("lineitem", "orders"))
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert int(spark.conf.get(key)) == -(-size // 1000)
+    spark.conf.unset(key)
 
 
 def plan(df):

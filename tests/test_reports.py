@@ -145,14 +145,15 @@ def test_pivot(orders):
     df = orders([{"Region": "n", "Product": "x", "TotalPrice": 1.0},
                  {"Region": "s", "Product": "y", "TotalPrice": 2.0},
                  {"Region": None, "Product": "y", "TotalPrice": 4.0}])
-    plain = crosstab.wide(df, "Region", "Product", F.sum("TotalPrice"))
-    assert rows(plain, "Region") == [("n", 1.0, None), ("s", None, 2.0)]
-    filled = crosstab.wide(df, "Region", "Product", F.sum("TotalPrice"), fill=0.0)
+    long = crosstab.cells(df, "Region", "Product")
+    plain = crosstab.wide(long, "Region", "Product", "revenue", ["x", "y"])
+    assert rows(plain, "Region") == [(None, None, 4.0, None), ("n", 1.0, None, None),
+                                     ("s", None, 2.0, None)]
+    filled = crosstab.wide(long, "Region", "Product", "revenue", ["x", "y"], fill=0.0,
+                           drop_null_keys=True)
     assert rows(filled, "Region") == [("n", 1.0, 0.0), ("s", 0.0, 2.0)]
-    assert crosstab.by_first_column(plain, "Region").first()["Region"] == "n"
+    assert crosstab.by_first_column(filled, "Region").first()["Region"] == "n"
     assert crosstab.grid_difference(df, "Region", "Product").first()["difference"] == 4.0
-    with pytest.raises(ValueError):
-        crosstab.levels(df, "Product", 1)
 
 
 def test_trend_exact_line(orders):

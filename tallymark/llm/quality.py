@@ -11,9 +11,10 @@ from .words import code_points, ngram_hashes, span_hashes, word_spans
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-# Largest share of word characters inside duplicated n-grams, by n, and in duplicated lines.
-MAX_COVERAGE = {5: 0.20, 6: 0.18, 7: 0.16, 8: 0.14, 9: 0.12, 10: 0.10}
-MAX_LINE_COVERAGE = 0.30
+# Largest share of word characters inside duplicated n-grams, by n, and in duplicated lines. One
+# line that a short text has twice stays below; long strings that come back do not.
+MAX_COVERAGE = dict.fromkeys(range(5, 11), 0.25)
+MAX_LINE_COVERAGE = 0.25
 
 
 def covered(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -270,16 +270,19 @@ def revisits(index: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFr
                 "number", "first.record_id", "first.url", "first.date")).alias("revisits")))
 
 
-def convert_archives(archives: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
+def convert_archives(archives: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES,
+                     folder: str | None = None) -> DataFrame:
     """One WARC file per ARC file; returns the written list (folder, file, n_records).
 
+    The files go to `folder`, by default one in the shared folder for intermediate data.
+
     HTTP records become `response`, or `revisit` if an earlier record has the same payload of
     at least `least_bytes` bytes; others become `resource`. Record ids derive from the archive's
     own name and the record's number, so a repeated run gives the same ids. Archives are read
     twice: once for lengths and digests, once to convert, each in one stream.
     """
     index = written(arc_index(archives), "arc-index")
-    folder = new_path(archives.sparkSession, "warc")
+    folder = folder or new_path(archives.sparkSession, "warc")
     work = archives.join(revisits(index, least_bytes), "file", "left")
 
     def write(batches):

@@ -13,7 +13,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 # Largest share of word characters inside duplicated n-grams, by n, and in duplicated lines. One
 # line that a short text has twice stays below; long strings that come back do not.
-MAX_COVERAGE = dict.fromkeys(range(5, 11), 0.25)
+MAX_COVERAGE = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 MAX_LINE_COVERAGE = 0.25
 
 

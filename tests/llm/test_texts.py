@@ -5,6 +5,7 @@ import random
 import re
 import string
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -235,6 +236,14 @@ def test_contamination(spark, documents):
     assert contamination.find_overlaps(df, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words,replaced", [(13, 2), (15, 3), (20, 4)])
+def test_some_seed_survives_every_replacement(words, replaced):
+    places = [frozenset(at + i for i, c in enumerate(m) if c == "1")
+              for m in contamination.MASKS for at in range(words - len(m) + 1)]
+    for gone in combinations(range(words), replaced):
+        assert any(p.isdisjoint(gone) for p in places), gone
+
+
 def test_longest_overlap_against_all_stretches():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -11,7 +11,7 @@ from .common import map_rows, whole_text, written
 from .tokens import encoder
 
 # Pieces one task packs at a time, so that no task grows with the input.
-SHARD_PIECES = 2048
+SHARD_PIECES = 8192
 # Sequences filled to at most this share are packed once more, across shards.
 OPEN_SHARE = 0.9
 

@@ -26,7 +26,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     Null and empty texts have 0 tokens. Rows with a null or repeated id are counted like any
     other; other columns are not read. A string that spells a special token counts as that
     token, as the library does by default. Each task encodes batches of about the same number
-    of characters; a text longer than a batch is cut where the tokenizer itself must cut.
+    of bytes; a text longer than a batch is cut where the tokenizer itself must cut.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), whole_text(text_col))

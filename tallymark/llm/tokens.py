@@ -18,7 +18,7 @@ WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 CHUNKS = re.compile(r"[ \t\n\r]*+(?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?$%#*])|[^ \t\n\r]+|$)")
 MARK = "<|"  # begins every special string
 RARE_SPACE = re.compile(r"[^\S \t\n\r]")
-BATCH_CHARS = 1_000_000
+BATCH_BYTES = 1_000_000
 KEPT_CHUNKS = 300_000
 
 PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -105,7 +105,7 @@ class Encoder:
         return [array(self.code, e.ids).tobytes() for e in found]
 
     def batch(self, texts: list[str]) -> list:
-        """One value per text; meant for some BATCH_CHARS characters at a time."""
+        """One value per text; meant for some BATCH_BYTES bytes at a time."""
         plain = [RARE_SPACE.search(t) is None for t in texts]
         chunks, ends = [], []
         for text, p in zip(texts, plain):
@@ -134,17 +134,18 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list:
         """One value per text. Long texts are cut at safe places and short ones put together,
-        so that every call encodes about the same number of characters."""
+        so that every call encodes about the same number of bytes."""
         parts: list[list] = [[] for _ in texts]
         batch, owner, size = [], [], 0
         for number, text in enumerate(texts):
             for piece in safe_pieces(text):
-                if size + len(piece) > BATCH_CHARS and batch:
+                n_bytes = len(piece.encode("utf-8", "surrogatepass"))
+                if size + n_bytes > BATCH_BYTES and batch:
                     self.spread(batch, owner, parts)
                     batch, owner, size = [], [], 0
                 batch.append(piece)
                 owner.append(number)
-                size += len(piece)
+                size += n_bytes
         self.spread(batch, owner, parts)
         join = sum if self.counts_only else b"".join
         return [join(p) for p in parts]
@@ -154,7 +155,7 @@ class Encoder:
             parts[number].append(value)
 
 
-def safe_pieces(text: str, size: int = BATCH_CHARS // 4) -> Iterator[str]:
+def safe_pieces(text: str, size: int = BATCH_BYTES // 4) -> Iterator[str]:
     """`text` in pieces of about `size` characters, cut only before a space or line feed
     that follows a character which is no white space. Texts without such places stay whole."""
     start = 0

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -98,6 +100,19 @@ def release(spark: SparkSession, mark: int = 0) -> None:
     del _made[mark:]
 
 
+@atexit.register
+def _forget() -> None:
+    """Delete at the end of the process what `release` has not; results are written by then."""
+    jvm = SparkContext._jvm
+    if not _made or jvm is None:
+        return
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        conf = jvm.org.apache.hadoop.conf.Configuration()
+        for path in _made:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 

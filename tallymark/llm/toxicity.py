@@ -8,7 +8,6 @@ Embeddings and softmax are trained together, so a misspelt word inherits from it
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from functools import reduce
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import small_batches, whole_text, written
+from .words import code_points, ngram_hashes, span_hashes
 
 # Labelled rows of each class that are fitted at most, taken by the hash of their text.
 FIT_ROWS = 1500
@@ -31,16 +31,30 @@ KEPT_WORDS = 200_000
 EDGES = ".,;:!?\"'()[]{}<>«»“”„…-–—"
 
 
-def split_words(text: str) -> list[str]:
-    return [w for w in (x.strip(EDGES) for x in text.lower().split()) if w]
+def plain_word(chunk: str) -> str:
+    return chunk.lower().strip(EDGES)
 
 
-def pieces(word: str) -> list[int]:
-    """Buckets of a word and of its n-grams; long runs of letters count as they are."""
-    marked = f"<{word}>"
-    grams = [marked] + [marked[i:i + n] for n in range(SHORTEST, LONGEST + 1)
-                        for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+def split_words(text: str) -> list[str]:
+    return [w for w in map(plain_word, text.split()) if w]
+
+
+def pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its n-grams, one word after another, and their numbers."""
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    points = code_points("".join(f"<{w}>" for w in words))
+    end = np.cumsum(sizes)
+    inside = np.repeat(np.arange(len(words)), sizes)
+    owners, hashes = [np.arange(len(words))], [span_hashes(points, end - sizes, end)]
+    for n in range(SHORTEST, LONGEST + 1):
+        grams = ngram_hashes(points.astype(np.uint64) + np.uint64(1), n)
+        whole = np.flatnonzero(np.arange(len(grams)) + n <= end[inside[:len(grams)]])
+        owners.append(inside[whole])
+        hashes.append(grams[whole])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    buckets = (np.concatenate(hashes)[order] % np.uint64(BUCKETS)).astype(np.int32)
+    return buckets, np.bincount(owner, minlength=len(words))
 
 
 class Adam:
@@ -61,20 +75,16 @@ class Bags:
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        flat, lengths, words = array("i"), [], array("i")
-        sizes = array("i")
+        lengths, words = [], array("i")
         for text in texts:
             own = split_words(text)
             lengths.append(len(own))
-            for w in own:
-                if w not in number:
-                    number[w] = len(number)
-                    bag = pieces(w)
-                    flat.extend(bag)
-                    sizes.append(len(bag))
-                words.append(number[w])
-        self.flat, self.words = np.array(flat, np.int32), np.array(words, np.int32)
-        self.sizes, self.lengths = np.array(sizes, np.int64), np.array(lengths, np.int64)
+            words.extend(number.setdefault(w, len(number)) for w in own)
+        listed = list(number)
+        parts = [pieces(listed[i:i + CHUNK_WORDS]) for i in range(0, len(listed), CHUNK_WORDS)]
+        self.flat = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int32)])
+        self.sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
+        self.words, self.lengths = np.array(words, np.int32), np.array(lengths, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.begin = np.cumsum(self.lengths) - self.lengths
 
@@ -125,26 +135,43 @@ def spread(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
 
 
 class Model:
+    """Scores texts. What a chunk between white space contributes is kept, for KEPT_WORDS of
+    them or those of one text, if more."""
+
     def __init__(self, bucket_score: np.ndarray, bias: float):
         self.bucket_score, self.bias = bucket_score, bias
-        self.recent: dict[str, tuple[float, int]] = {}
-
-    def word(self, w: str) -> tuple[float, int]:
-        value = self.recent.get(w)
-        if value is None:
-            bag = pieces(w)
-            value = float(self.bucket_score[bag].sum()), len(bag)
-            if len(self.recent) >= KEPT_WORDS:
-                self.recent.clear()
-            self.recent[w] = value
-        return value
+        self.forget(KEPT_WORDS)
+
+    def forget(self, room: int) -> None:
+        self.number: dict[str, int] = {}
+        self.values = np.zeros((room, 2))  # sum and number of the buckets; none without letters
+
+    def learn(self, chunks: set[str]) -> None:
+        first = len(self.number)
+        self.number.update(zip(chunks, range(first, first + len(chunks))))
+        self.values[first:first + len(chunks)] = 0
+        words = {c: w for c in chunks if (w := plain_word(c))}
+        if words:
+            buckets, sizes = pieces(list(words.values()))
+            at = [self.number[c] for c in words]
+            self.values[at, 0] = np.add.reduceat(self.bucket_score[buckets],
+                                                 np.cumsum(sizes) - sizes, dtype=np.float64)
+            self.values[at, 1] = sizes
 
     def score(self, text: str) -> float:
-        words = split_words(text)
-        if not words:
-            return float(1 / (1 + np.exp(-self.bias)))
-        values = np.array([self.word(w) for w in words])
-        return float(1 / (1 + np.exp(-(window_scores(values).max() + self.bias))))
+        chunks = text.split()
+        numbers = list(map(self.number.get, chunks))
+        if None in numbers:
+            new = {c for c, n in zip(chunks, numbers) if n is None}
+            if len(self.number) + len(new) > len(self.values):
+                new = set(chunks)
+                self.forget(max(KEPT_WORDS, len(new)))
+            self.learn(new)
+            numbers = list(map(self.number.__getitem__, chunks))
+        values = self.values[numbers] if numbers else np.zeros((0, 2))
+        values = values[values[:, 1] > 0]
+        top = window_scores(values).max() if len(values) else 0.0
+        return float(1 / (1 + np.exp(-(top + self.bias))))
 
 
 def window_scores(values: np.ndarray) -> np.ndarray:

@@ -121,6 +121,27 @@ def test_quality(documents):
     assert quality.rate(documents([])).count() == 0
 
 
+def test_quality_tells_a_line_from_passages(documents):
+    words = [f"w{i:04d}" for i in range(400)]
+    cut = lambda w: [" ".join(w[i:i + 10]) for i in range(0, len(w), 10)]
+    body = cut(words[:100])
+    texts = {
+        "one line twice": [*body, body[3]],
+        "two lines twice": [*body, *cut(words[100:250]), body[3], body[7]],
+        "one line three times": [*body, *cut(words[100:200]), body[3], body[3]],
+        "passage on one line": [" ".join(words[:30]), " ".join(words[30:300]), " ".join(words[:30])],
+        "passage in lines cut elsewhere": [*body, *cut(words[100:150]), "x " + " ".join(words[15:30])],
+        "a line and a passage": [*body, *cut(words[100:260]), body[9],
+                                 "x " + " ".join(words[20:36])],
+        "little of much": [*cut(words), *body[:1], *body[5:6]],
+    }
+    rows = [(i, "\n".join(lines)) for i, lines in enumerate(texts.values())]
+    found = {r["doc_id"]: r for r in quality.rate(documents(rows)).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert [name for i, name in enumerate(texts) if found[i]["kept"]] == [
+        "one line twice", "little of much"]
+
+
 # -- similarity join ----------------------------------------------------------
 
 def shingles(text):

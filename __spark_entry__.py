@@ -34,9 +34,8 @@ except ModuleNotFoundError as missing:  # both go together; nothing else depends
     corpus_pipeline = llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
-# Registered forests stop at 10 levels, so that a small machine fits them in minutes; the
-# library's default is 30. Trees, rounds and folds are the library's: 100, 100 and 5.
-TREES, FOLDS, FOREST_DEPTH = 100, 5, 10
+# Trees, rounds and folds are the library's: 100, 100 and 5; so is the depth of the forests.
+TREES, FOLDS = 100, 5
 FACT = ["lineitem", "orders"]  # what grows among the tables of the sales
 TEXTS = ["documents", "pages"]
 # Columns of the wide tables that are registered.
@@ -294,13 +293,13 @@ REPORT_COLUMNS = {
 def revenue_models(spark, d, names=None):
     return models.RevenueModels(
         sales(spark, d, "OrderID", "TotalPrice", *models.CATEGORICAL, *models.REVENUE_NUMBERS),
-        trees=TREES, forest_depth=FOREST_DEPTH, names=names, number=F.col("OrderID"))
+        trees=TREES, names=names, number=F.col("OrderID"))
 
 
 def return_models(spark, d):
     return models.ReturnModels(
         sales(spark, d, "OrderID", "Returned", *models.CATEGORICAL, *models.RETURN_NUMBERS),
-        trees=TREES, folds=FOLDS, forest_depth=FOREST_DEPTH, number=F.col("OrderID"))
+        trees=TREES, folds=FOLDS, number=F.col("OrderID"))
 
 
 def bounded(column: str):

@@ -102,6 +102,13 @@ def test_return_models(sold):
     assert fitted.roc_points().select("model").distinct().count() == 4
 
 
+def test_forest_of_full_depth_finds_the_returns(sold):
+    fitted = models.ReturnModels(sold, trees=20, folds=2, names=["Random Forest"])
+    assert fitted.models["Random Forest"].getMaxDepth() == 30
+    r = fitted.leaderboard().where("is_best").first()
+    assert r["cv_auc"] > 0.75 and r["auc"] > 0.75
+
+
 def test_no_signal_is_flagged(sold):
     noise = sold.withColumn("Returned", (F.xxhash64("OrderID") % 2 == 0).cast("int"))
     board = models.ReturnModels(noise, folds=3, names=["Logistic Regression"]).leaderboard()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import os
 import re
 
@@ -13,6 +14,7 @@ import __spark_entry__ as registered
 from conftest import DATA
 from tallymark import session
 from tallymark.operators import ordered
+from tallymark.plans import models
 from tallymark.sources.star import raw_sales, sales
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -45,6 +47,19 @@ def table(columns, data):
             sorted(tuple(plain(r[i]) for i in order) for r in data))
 
 
+def test_registered_models_are_fitted_whole(spark, monkeypatch):
+    for make, name, family in (
+            (registered.return_models, "ReturnModels", lambda a: models.classifiers(10, a["trees"], a["forest_depth"])),
+            (registered.revenue_models, "RevenueModels", lambda a: models.regressors(a["trees"], a["forest_depth"]))):
+        signature = inspect.signature(getattr(models, name))
+        monkeypatch.setattr(models, name, signature.bind)
+        given = make(spark, DATA)
+        given.apply_defaults()
+        forest = family(given.arguments)["Random Forest"]
+        assert (forest.getMaxDepth(), forest.getNumTrees()) == (30, 100)
+        assert given.arguments.get("folds", 5) == 5 and given.arguments["names"] is None
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 

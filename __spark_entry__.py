@@ -296,10 +296,10 @@ def revenue_models(spark, d, names=None):
         trees=TREES, names=names, number=F.col("OrderID"))
 
 
-def return_models(spark, d):
+def return_models(spark, d, names=None):
     return models.ReturnModels(
         sales(spark, d, "OrderID", "Returned", *models.CATEGORICAL, *models.RETURN_NUMBERS),
-        trees=TREES, folds=FOLDS, number=F.col("OrderID"))
+        trees=TREES, folds=FOLDS, names=names, number=F.col("OrderID"))
 
 
 def bounded(column: str):
@@ -361,6 +361,24 @@ def topk_importance(spark, d):
         F.when(F.col("rank") <= 2, lead).alias("is_factor"))
 
 
+def return_importance(spark, d):
+    """The ten features the forest of the return models uses most."""
+    return ranked(return_models(spark, d, ["Random Forest"]).importances("Random Forest", 10))
+
+
+def revenue_importance(spark, d):
+    """The ten features the best revenue model uses most; no rows if it has no importances."""
+    top = revenue_models(spark, d).importances(top=10)
+    return ranked(spark.createDataFrame([], "feature string, importance double")
+                  if top is None else top)
+
+
+def ranked(top: DataFrame) -> DataFrame:
+    """`rank` by importance; a window over ten rows."""
+    return top.withColumn("rank", F.row_number().over(
+        Window.orderBy(F.desc("importance"), "feature")))
+
+
 # -- registry ---------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -512,6 +530,16 @@ def queries() -> dict[str, Query]:
     return found
 
 
+def model_results() -> dict[str, Query]:
+    """What the fitted models give, in full. No SQL can express it, so these stand apart from
+    `queries`, each of which has its SQL."""
+    return {name: tuned(query, FACT) for name, query in {
+        "clf_scores": lambda s, d: return_models(s, d).leaderboard(),
+        "reg_scores": lambda s, d: revenue_models(s, d).leaderboard(),
+        "return_importance": return_importance,
+        "revenue_importance": revenue_importance}.items()}
+
+
 def trend_columns(fit: DataFrame) -> DataFrame:
     out = fixed(fit, 2, r=6, r2=6)
     return month_column(month_column(out, "first_ds"), "last_ds")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registered
 from tallymark.operators import checks
 from tallymark.operators.clean import clean
 from tallymark.plans import models
@@ -109,6 +110,68 @@ def test_forest_of_full_depth_finds_the_returns(sold):
     assert r["cv_auc"] > 0.75 and r["auc"] > 0.75
 
 
+def slow_auc(label, score):
+    up, down = score[label == 1], score[label == 0]
+    return np.mean([[(a > b) + 0.5 * (a == b) for b in down] for a in up])
+
+
+def columns(df, *names):
+    return np.array([list(r) for r in df.select(*names).collect()], float).T
+
+
+def slow_ranking(names, model):
+    pairs = zip(names, model.featureImportances.toArray())
+    top = sorted(pairs, key=lambda p: (-p[1], p[0]))[:10]
+    return [(f, pytest.approx(v, abs=1e-12), i + 1) for i, (f, v) in enumerate(top)]
+
+
+def test_results_of_the_models_in_full(spark, sold, monkeypatch):
+    fitted = models.ReturnModels(sold, trees=3, folds=2, forest_depth=4,
+                                 names=["Logistic Regression", "Random Forest"])
+    sales = models.RevenueModels(sold, trees=3, forest_depth=4,
+                                 names=["Linear Regression", "Random Forest"])
+    monkeypatch.setattr(registered, "return_models", lambda s, d, names=None: fitted)
+    monkeypatch.setattr(registered, "revenue_models", lambda s, d, names=None: sales)
+    monkeypatch.setattr(registered, "input_bytes", lambda *a: 1)
+    monkeypatch.setattr(registered, "tune", lambda *a: None)
+    run = {name: query(spark, "") for name, query in registered.model_results().items()}
+
+    board = {r["model"]: r for r in run["clf_scores"].collect()}
+    cross = {}
+    for name, model in fitted.models.items():
+        label, guess, score = columns(model.transform(fitted.data.test).withColumn(
+            "score", vector_to_array("probability")[1]), "label", "prediction", "score")
+        hit = ((label == 1) & (guess == 1)).sum()
+        assert board[name]["accuracy"] == pytest.approx((label == guess).mean())
+        assert board[name]["f1_returned"] == pytest.approx(2 * hit / (label.sum() + guess.sum()))
+        assert board[name]["auc"] == pytest.approx(slow_auc(label, score))
+        folds = []
+        for fold in (0, 1):
+            train = fitted.data.train
+            again = models.classifiers(fitted.n_train, 3, 4)[name].fit(train.where(F.col("fold") != fold))
+            folds.append(slow_auc(*columns(again.transform(train.where(F.col("fold") == fold)).select(
+                "label", vector_to_array("rawPrediction")[1].alias("score")), "label", "score")))
+        cross[name] = board[name]["cv_auc"]
+        assert cross[name] == pytest.approx(np.mean(folds), abs=1e-6)
+    assert [n for n, r in board.items() if r["is_best"]] == [max(cross, key=cross.get)]
+
+    board = {r["model"]: r for r in run["reg_scores"].collect()}
+    for name, model in sales.models.items():
+        label, guess = columns(model.transform(sales.data.test), "label", "prediction")
+        error = label - guess
+        assert board[name]["mae"] == pytest.approx(np.abs(error).mean())
+        assert board[name]["rmse"] == pytest.approx(np.sqrt((error ** 2).mean()))
+        assert board[name]["r2"] == pytest.approx(
+            1 - (error ** 2).sum() / ((label - label.mean()) ** 2).sum())
+
+    got = [tuple(r) for r in run["return_importance"].collect()]
+    assert got == slow_ranking(fitted.data.features.names, fitted.models["Random Forest"])
+    got = [tuple(r) for r in run["revenue_importance"].collect()]
+    best = sales.models[sales.best]
+    assert got == (slow_ranking(sales.data.features.names, best)
+                   if sales.best == "Random Forest" else [])
+
+
 def test_no_signal_is_flagged(sold):
     noise = sold.withColumn("Returned", (F.xxhash64("OrderID") % 2 == 0).cast("int"))
     board = models.ReturnModels(noise, folds=3, names=["Logistic Regression"]).leaderboard()

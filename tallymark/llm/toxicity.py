@@ -20,7 +20,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import small_batches, whole_text, written
 from .words import code_points, ngram_hashes, span_hashes
 
-# Labelled rows of each class that are fitted at most, taken by the hash of their text.
+# Labelled texts of each class that are fitted at most, taken by their hash, copies once.
 FIT_ROWS = 1500
 SHORTEST, LONGEST = 3, 5  # characters of an n-gram, with < and > at the ends of the word
 BUCKETS, SIZE = 1 << 17, 8
@@ -245,10 +245,11 @@ def held_out(id_column: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most `fit_rows` labelled rows of each class that are not held out.
+    """Fit on at most `fit_rows` different labelled texts of each class that are not held out.
 
-    Rows are chosen by the hash of their text; only ids and hashes are joined with the labels, and
-    only the chosen rows' texts come to the driver. Null labels
+    Texts are chosen by their hash, and of the copies of one in a class the smallest id stands for
+    all. Only ids and hashes are joined with the labels, and only the chosen rows' texts come to
+    the driver. Null labels
     teach nothing; of several labels for an id the highest counts.
     """
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
@@ -257,8 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")).join(known, "id")
     chosen = written(reduce(DataFrame.unionByName, [
-        rows.filter(F.col("toxic") == value).orderBy("hash", "id").limit(fit_rows)
-        for value in (0, 1)]).distinct(), "fit-rows")  # at most 2 * fit_rows rows
+        rows.filter(F.col("toxic") == value).groupBy("hash", "toxic").agg(F.min("id").alias("id"))
+        .orderBy("hash").limit(fit_rows) for value in (0, 1)]), "fit-rows")  # at most 2 * fit_rows rows
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"),
                         text.alias("text")).join(F.broadcast(chosen), ["id", "hash"])
     texts, toxic = [], []

@@ -311,6 +311,28 @@ def test_toxicity(spark, documents):
     assert toxicity.score_documents(df, table.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_copies_do_not_fill_the_fit_sample(spark, documents, monkeypatch):
+    texts = [f"text number {i}" for i in range(60)]
+    hashed = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(
+        toxicity.F.xxhash64("text"))
+    ordered = [r["text"] for r in hashed.collect()]
+    first = {0: ordered[0], 1: ordered[1]}  # of the lowest hash in their class
+    rows = [(i, t) for i, t in enumerate(ordered[2:])]
+    labels = [(i, i % 2) for i, _ in rows]
+    for i in range(100, 300):
+        rows.append((i, first[i % 2]))
+        labels.append((i, i % 2))
+    rows += rows[:3]  # an id with its text twice
+    given = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a: given.append(a))
+    toxicity.train(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int"),
+                   fit_rows=10)
+    chosen, toxic = given[0]
+    for value in (0, 1):
+        own = [t for t, y in zip(chosen, toxic) if y == value]
+        assert len(own) == len(set(own)) == 10 and first[value] in own
+
+
 # -- urls ---------------------------------------------------------------------
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),

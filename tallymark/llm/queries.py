@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from . import (contamination, counts, huffman, jaccard, lines, packing, quality, toxicity, urls,
-               warc)
+from . import (contamination, counts, divergence, huffman, jaccard, lines, packing, quality,
+               simhash, spelling, toxicity, urls, warc)
 from .tokens import id_type, tokenizer_path, vocabulary_size
 
 # Fixed values of the url query: its rules, longest match first wins.
@@ -96,10 +96,23 @@ def op10_quality_rules(spark, folder):
     return quality.rate(table(spark, folder, "documents")).drop("coverage", "counted", "line_coverage")
 
 
+def op11_simhash_groups(spark, folder):
+    return simhash.near_fingerprints(table(spark, folder, "documents"))
+
+
+def op12_spelling_variants(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_source_divergence(spark, folder):
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_ngram_jaccard_join, op3_url_filters, op4_token_files,
     op5_token_counts, op6_archives, op7_line_dedup, op8_toxicity,
-    op9_benchmark_decontamination, op10_quality_rules)}
+    op9_benchmark_decontamination, op10_quality_rules, op11_simhash_groups,
+    op12_spelling_variants, op13_source_divergence)}
 ORACLES: dict[str, str] = {
     "op6_archives": """
         SELECT page_id, payload_bytes, payload_digest,
@@ -128,4 +141,57 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), ''))
                    AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op13_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang,
+                   coalesce(source, '') AS source, coalesce(text, '') AS text
+            FROM documents),
+        found AS (
+            SELECT doc, lang, source,
+                   unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM docs),
+        terms AS (
+            SELECT doc, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM found),
+        kept AS (
+            SELECT lang, term, count(*) AS lang_n FROM terms GROUP BY lang, term
+            HAVING count(DISTINCT doc) >= 3),
+        langs AS (
+            SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+        cells AS (
+            SELECT lang, source, term, count(*) AS n
+            FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        groups AS (
+            SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, coalesce(v, 0)::HUGEINT AS v,
+                   coalesce(lang_total, 0)::HUGEINT AS lang_total
+            FROM (SELECT DISTINCT lang, source FROM docs)
+            LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cells GROUP BY lang, source)
+                USING (lang, source)
+            LEFT JOIN langs USING (lang)),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+                   1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) AS p,
+                   1 + 1000000000::HUGEINT * (lang_n + 1) // (lang_total + v) AS q
+            FROM groups g JOIN kept k USING (lang) LEFT JOIN cells USING (lang, source, term)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item,
+                   sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY ALL),
+        all_pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+        standing AS (
+            SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+            FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value,
+               row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank
+        FROM all_pairs
+        UNION ALL
+        SELECT * FROM (
+            SELECT lang, source, 'term' AS part, item, value,
+                   row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank
+            FROM standing) WHERE rank <= 200""",
 }

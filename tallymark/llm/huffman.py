@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, map_rows, small_batches, whole_text, written
+from .common import BATCH_BYTES, small_batches, whole_text, written
 from .storage import new_name, open_folder, read_exactly
 from .tokens import encoder, id_type, vocabulary_size
 from tallymark.session import new_path
@@ -29,6 +29,10 @@ NO_ID, GOES_ON = 1, 2
 LONGEST_CODE = 18
 BLOCK_IDS, CHECKPOINT_IDS = 1 << 18, 256
 FILE_IDS = 1 << 22  # ids per file, about
+# Ids that a task of the writing stage gets, about, and the most tasks that stage has; a task
+# with more ids writes more files.
+TASK_IDS, MOST_TASKS = 1 << 24, 1 << 16
+CODE_FILE = "code-lengths"
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
@@ -131,24 +135,63 @@ class Code:
         return out.T.reshape(-1)[:count]
 
 
-def token_counts(tokens: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
-    """How often each id occurs; one row per id and task reaches the shuffle."""
-    def count(batches):
+def token_counts(counted: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs, from the tasks' own counts; a row per vocabulary entry at most."""
+    def add(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, dtype), minlength=vocabulary)
+            for counts in batch.column(0).to_pylist():
+                total += np.frombuffer(counts, np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(
-        F.sum("n").alias("n")).collect()  # at most one row per vocabulary entry
+    rows = counted.select("ids").mapInArrow(add, "id long, n long").groupBy("id").agg(
+        F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return counts
 
 
+def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, row, ids), written, and how often each id occurs.
+
+    A task counts the ids it makes and writes the counts as one row beside the others."""
+    spark = docs.sparkSession
+    vocabulary = vocabulary_size(path)
+    dtype = id_type(vocabulary)
+    end = np.array([end_id], dtype).tobytes()
+    names = ["doc_id", "row", "ids", "kind"]
+
+    def run(batches):
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            ids = [x + end for x in encoder(path).many(batch.column(2).to_pylist())]
+            total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=vocabulary)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ids, pa.binary()),
+                 pa.array(["ids"] * len(ids), pa.string())], names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([total.tobytes()]),
+             pa.array(["counts"])], names)
+
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                       F.monotonically_increasing_id().alias("row"), whole_text(text_col))
+    folder = new_path(spark, "ids")
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, "0")
+    spark.conf.set(writers, "2")  # both kinds at once, so rows need no sort
+    try:
+        rows.mapInArrow(run, "doc_id long, row long, ids binary, kind string").write.option(
+            "compression", "lz4").partitionBy("kind").parquet(folder)
+    finally:
+        spark.conf.set(writers, before)
+    read = spark.read.schema("doc_id long, row long, ids binary, kind string").parquet(folder)
+    return (read.filter("kind = 'ids'").drop("kind"),
+            token_counts(read.filter("kind = 'counts'"), vocabulary))
+
+
 def block(docs: list[tuple], code: Code) -> bytes:
     """One block of (doc_id, goes_on, ids)."""
     ids = np.concatenate([d[2] for d in docs]).astype(np.int64)
@@ -180,84 +223,107 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = N
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, end it in `end_id`, and write the ids in ascending id order.
 
-    Returns the written list of files: part (their order), file, n_docs, n_ids, bytes, start
-    (ids in all files before), lengths (of the codes, as bytes by id). A null or empty text is
-    `end_id` alone. Null ids come first; rows with the same id follow one another in any fixed
-    order. An empty table gives one file list without files. Ids must be integers.
+    Returns the written list of files: part and number (their order), file, n_docs, n_ids, bytes,
+    start (ids in all files before), folder. A null or empty text is `end_id` alone. Null ids come
+    first; rows with the same id follow one another in any fixed order. An empty table gives a list
+    without files. Ids must be integers.
 
-    The texts are encoded once, and the ids kept as a table; their counts make the code, which
-    has an entry per vocabulary entry. A range shuffle orders the ids, so each file holds a run
-    of ids of bounded length and its ids follow those of the part before.
+    The texts are encoded once, and the ids kept as a table; the tasks' counts make the code,
+    which has an entry per vocabulary entry and lies once beside the files. A range shuffle orders
+    the ids, so the ids of a part follow those of the part before; a part is a run of files of
+    bounded size.
     """
     spark = docs.sparkSession
-    vocabulary = vocabulary_size(path)
-    dtype = id_type(vocabulary)
-
-    def encode(columns):
-        end = np.array([end_id], dtype).tobytes()
-        ids = [x + end for x in encoder(path).many(columns["text"])]
-        yield {"doc_id": columns["doc_id"], "row": columns["row"], "ids": ids}
-
-    tokens = written(map_rows(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                    F.monotonically_increasing_id().alias("row"), whole_text(text_col)),
-        encode, "doc_id long, row long, ids binary"), "ids")
-    counts = token_counts(tokens, vocabulary, dtype)
+    dtype = id_type(vocabulary_size(path))
+    tokens, counts = encoded(docs, path, end_id, id_col, text_col)
     lengths = code_lengths(counts).tobytes()
     folder = folder or new_path(spark, "huffman")
+    fs, root = open_folder(folder)
+    with fs.open_output_stream(f"{root}/{CODE_FILE}") as out:
+        out.write(lengths)
 
     def write(batches):
         code = Code(np.frombuffer(lengths, np.uint8))
         fs, root = open_folder(folder)
-        part, name = TaskContext.get().partitionId(), None
-        out, waiting, size, n_docs, n_ids, n_bytes = None, [], 0, 0, 0, 0
+        part = TaskContext.get().partitionId()
+        number, before, file = 0, 0, None
         for batch in batches:
-            for doc_id, ids in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                ids = np.frombuffer(ids, dtype)
-                if out is None:
-                    name = new_name(f"part-{part:06d}", ".thc")
-                    out = fs.open_output_stream(f"{root}/{name}")
-                n_docs, n_ids, at = n_docs + 1, n_ids + len(ids), 0
-                while at < len(ids):
-                    took = ids[at:at + BLOCK_IDS - size]
-                    waiting.append((doc_id, at > 0, took))
-                    at, size = at + len(took), size + len(took)
-                    if size == BLOCK_IDS:
-                        n_bytes += out.write(block(waiting, code))
-                        waiting, size = [], 0
-        if out is not None:
-            if waiting:
-                n_bytes += out.write(block(waiting, code))
-            out.close()
-            yield pa.RecordBatch.from_pydict({
-                "part": [part], "file": [name], "n_docs": [n_docs], "n_ids": [n_ids],
-                "bytes": [n_bytes]})
-
-    files = max(1, -(-int(counts.sum()) // FILE_IDS))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                file = file or File(fs, root, part, code)
+                file.add(doc_id, np.frombuffer(ids, dtype))
+                if file.n_ids >= FILE_IDS:
+                    yield file.closed(number, before)
+                    number, before, file = number + 1, before + file.n_ids, None
+        if file:
+            yield file.closed(number, before)
+
+    tasks = max(1, min(MOST_TASKS, -(-int(counts.sum()) // TASK_IDS)))
     small_batches(spark)
-    listed = (tokens.repartitionByRange(files, "doc_id", "row")
+    listed = (tokens.repartitionByRange(tasks, "doc_id", "row")
               .sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
-              .mapInArrow(write, "part long, file string, n_docs long, n_ids long, bytes long"))
+              .mapInArrow(write, "part long, number long, file string, n_docs long, n_ids long, "
+                          "bytes long, before long"))
     listed = written(listed, "huffman-files")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return listed.select(  # a row per file
-        "*", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"),
-        F.lit(folder).alias("folder"), F.lit(bytearray(lengths)).alias("lengths"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    parts = listed.groupBy("part").agg(F.sum("n_ids").alias("all")).select(
+        "part", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead"))
+    return listed.join(parts, "part").select(
+        "part", "number", "file", "n_docs", "n_ids", "bytes",
+        (F.col("ahead") + F.col("before")).alias("start"), F.lit(folder).alias("folder"))
+
+
+class File:
+    """A file being written, block by block."""
+
+    def __init__(self, fs, root: str, part: int, code: Code):
+        self.name = new_name(f"part-{part:06d}", ".thc")
+        self.out, self.code, self.part = fs.open_output_stream(f"{root}/{self.name}"), code, part
+        self.waiting: list[tuple] = []
+        self.size = self.n_docs = self.n_ids = self.bytes = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.n_docs, self.n_ids, at = self.n_docs + 1, self.n_ids + len(ids), 0
+        while at < len(ids):
+            took = ids[at:at + BLOCK_IDS - self.size]
+            self.waiting.append((doc_id, at > 0, took))
+            at, self.size = at + len(took), self.size + len(took)
+            if self.size == BLOCK_IDS:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.waiting:
+            self.bytes += self.out.write(block(self.waiting, self.code))
+        self.waiting, self.size = [], 0
+
+    def closed(self, number: int, before: int) -> pa.RecordBatch:
+        self.flush()
+        self.out.close()
+        return pa.RecordBatch.from_pydict({
+            "part": [self.part], "number": [number], "file": [self.name], "n_docs": [self.n_docs],
+            "n_ids": [self.n_ids], "bytes": [self.bytes], "before": [before]})
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before), ids (little-endian unsigned 32 bits)."""
+    """doc_id, start (ids of all documents before), ids (little-endian unsigned 32 bits).
+
+    `files` is a list that `write_tokens` gave, or some of its rows; one without files gives no
+    rows, a row that is there twice gives its documents twice, other columns are not read. Null
+    doc_ids are null again.
+    """
     def read(batches):
+        codes: dict[str, Code] = {}
         for batch in batches:
             for f in batch.to_pylist():
-                code = Code(np.frombuffer(f["lengths"], np.uint8))
                 fs, root = open_folder(f["folder"])
+                if f["folder"] not in codes:
+                    with fs.open_input_stream(f"{root}/{CODE_FILE}") as stream:
+                        codes[f["folder"]] = Code(np.frombuffer(stream.read(), np.uint8))
                 with fs.open_input_stream(f"{root}/{f['file']}", buffer_size=1 << 20) as stream:
-                    yield from merged(read_blocks(stream, code), f["start"])
+                    yield from merged(read_blocks(stream, codes[f["folder"]]), f["start"])
 
     small_batches(files.sparkSession)
-    each = files.select("part", "start", "file", "folder", "lengths")
-    return each.repartition(max(1, files.count())).mapInArrow(
+    each = files.select("part", "start", "file", "folder")
+    return each.repartition(max(1, min(MOST_TASKS, files.count()))).mapInArrow(
         read, "doc_id long, start long, ids binary")
 
 

@@ -1,26 +1,42 @@
 """Token ids of whole texts by a public tokenizer, at the speed of its distinct words.
 
-Chunks of a text are encoded once and kept. Both vocabularies split a text before any white
-space that follows other characters, and between a letter and a mark such as a full stop, so
-the ids of the chunks, one after another, are the ids of the text. Special strings hold marks
-and are not cut there. Texts with white space other than space, tab, line feed and carriage
-return go to the tokenizer whole.
+A batch of texts is cut into chunks over its array of bytes, and only the distinct chunks are
+looked up; those not known are encoded and kept. The vocabularies whose settings are listed below
+split a text before any white space that follows other characters, and between a letter and a
+mark such as a full stop, so the ids of the chunks, one after another, are the ids of the text.
+Texts that may hold a special string are not cut at marks. Texts with white space other than
+space, tab, line feed and carriage return go to the tokenizer whole, and so does every text if a
+vocabulary has other settings.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
 
-WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-CHUNKS = re.compile(r"[ \t\n\r]*+(?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?$%#*])|[^ \t\n\r]+|$)")
+import numpy as np
+import pyarrow as pa
+
 MARK = "<|"  # begins every special string
 RARE_SPACE = re.compile(r"[^\S \t\n\r]")
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 4_000_000
 KEPT_CHUNKS = 300_000
 
+# What a byte is to the cutting of texts: white space, an ASCII letter, or a mark.
+SPACE, LETTER, CUT_BEFORE = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+KIND[list(b" \t\n\r")] = SPACE
+KIND[[b for b in range(128) if chr(b).isalpha()]] = LETTER
+KIND[list(b".,;:!?$%#*")] = CUT_BEFORE
+
+# How the vocabularies that may be cut split a text, by normaliser and pattern.
+SPLITS = [(None, "ByteLevel regex"),
+          ("NFC, Replace \\s+, Lowercase",
+           r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")]
+
 PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SAMPLES = ["word", " word", "Word", " WORDS", " é", "Éß", " naïve", " Straße", "ÿþ", " x", "a",
            " internationalisation", "Qzxwvjk", " ÀÖØöøÿ"]
@@ -59,6 +75,32 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def may_be_cut(tokenizer) -> bool:
+    """Whether the settings of a tokenizer are such that ids of chunks are ids of the text."""
+    made = json.loads(tokenizer.to_str())
+
+    def steps(part, name):
+        return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+
+    normal = steps(made["normalizer"], "normalizers")
+    split = steps(made["pre_tokenizer"], "pretokenizers")
+    byte = [p for p in split if p["type"] == "ByteLevel" and not p["add_prefix_space"]]
+    first = split[0] if split else {}
+    if len(split) == 1 and byte and first.get("use_regex"):
+        pattern = "ByteLevel regex"
+    elif len(split) == 2 and byte == split[1:] and not split[1].get("use_regex") and \
+            first["type"] == "Split" and (first["behavior"], first["invert"]) == ("Removed", True):
+        pattern = first["pattern"].get("Regex")
+    else:
+        return False
+    names = [n["type"] + (" " + n["pattern"].get("Regex", "") if n["type"] == "Replace" else "")
+             for n in normal]
+    plain_model = made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+    special = all(t["content"].startswith(MARK) and not (t["single_word"] or t["lstrip"] or t["rstrip"])
+                  for t in made["added_tokens"])
+    return plain_model and special and (", ".join(names) or None, pattern) in SPLITS
+
+
 class Encoder:
     """Ids as packed bytes, or their number. Keeps at most twice KEPT_CHUNKS chunks."""
 
@@ -71,7 +113,8 @@ class Encoder:
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.code = "H" if self.dtype == "<u2" else "I"
         self.model = self.tokenizer.model
-        self.prepared = self.find_short_way()
+        self.cuts = may_be_cut(self.tokenizer)
+        self.prepared = self.find_short_way() if self.cuts else None
         self.counts_only = counts_only
         self.recent: dict = {}
         self.older: dict = {}
@@ -106,31 +149,59 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list:
         """One value per text; meant for some BATCH_BYTES bytes at a time."""
-        plain = [RARE_SPACE.search(t) is None for t in texts]
-        chunks, ends = [], []
-        for text, p in zip(texts, plain):
-            if p:
-                chunks += (WORDS if MARK in text else CHUNKS).findall(text)
-            ends.append(len(chunks))
+        out: list = [None] * len(texts)
+        whole, special, plain = [], [], []
+        for i, text in enumerate(texts):
+            (whole if not self.cuts or RARE_SPACE.search(text) else
+             special if MARK in text else plain).append(i)
+        for own, values in ((whole, self.raw([texts[i] for i in whole])),
+                            (special, self.in_chunks([texts[i] for i in special], False)),
+                            (plain, self.in_chunks([texts[i] for i in plain], True))):
+            for i, value in zip(own, values):
+                out[i] = value
+        return out
+
+    def in_chunks(self, texts: list[str], at_marks: bool) -> list:
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        size = np.array([len(d) for d in data], np.int64)
+        start = np.cumsum(size) - size
+        joined = np.frombuffer(b"".join(data), np.uint8)
+        if not len(joined):
+            return [0 if self.counts_only else b""] * len(texts)
+        cut = cuts_of(joined, at_marks)
+        cut[start[size > 0]] = True
+        at = np.flatnonzero(cut)
+        chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(
+            np.append(at, len(joined)).astype(np.int32)), pa.py_buffer(joined)]).dictionary_encode()
+        number = chunks.indices.to_numpy()
+        values = self.values_of(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        first = np.append(np.searchsorted(at, start), len(at))  # the first chunk of each text
+        if self.counts_only:
+            total = np.append(0, np.cumsum(np.array(values, np.int64)[number]))
+            return (total[first[1:]] - total[first[:-1]]).tolist()
+        width = np.dtype(self.dtype).itemsize
+        length = np.array([len(v) for v in values]) // width
+        begin = (np.cumsum(length) - length)[number]
+        length = length[number]
+        end = np.cumsum(length)
+        ids = np.frombuffer(b"".join(values), self.dtype)[
+            np.repeat(begin - end + length, length) + np.arange(end[-1])]
+        edge = np.append(0, end)[first].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edge, edge[1:])]
+
+    def values_of(self, chunks: list[bytes]) -> list:
+        """The values of distinct chunks; those that are not at hand are made, and kept."""
         values = list(map(self.recent.get, chunks))
-        if None in values:
-            self.fill(chunks, values)
-        whole = iter(self.raw([t for t, p in zip(texts, plain) if not p]))
-        join = sum if self.counts_only else b"".join
-        return [join(values[a:b]) if p else next(whole)
-                for p, a, b in zip(plain, [0, *ends], ends)]
-
-    def fill(self, chunks: list[str], values: list) -> None:
-        """Put the values of the chunks that are not at hand, and keep them."""
-        places = [i for i, v in enumerate(values) if v is None]
-        new = {chunks[i] for i in places}
-        if len(self.recent) + len(new) > KEPT_CHUNKS:
-            self.older, self.recent = self.recent, {}
-        unknown = [c for c in new if c not in self.older]
-        self.recent.update((c, self.older[c]) for c in new if c in self.older)
-        self.recent.update(zip(unknown, self.raw(unknown)))
-        for i in places:
-            values[i] = self.recent[chunks[i]]
+        new = [c for c, v in zip(chunks, values) if v is None]
+        if new:
+            if len(self.recent) + len(new) > KEPT_CHUNKS:
+                self.older, self.recent = self.recent, {}
+            unknown = [c for c in new if c not in self.older]
+            made = dict(zip(unknown, self.raw([c.decode("utf-8", "surrogatepass") for c in unknown])))
+            made.update((c, self.older[c]) for c in new if c in self.older)
+            self.recent.update(made)
+            values = [made[c] if v is None else v for c, v in zip(chunks, values)]
+        return values
 
     def many(self, texts: list[str]) -> list:
         """One value per text. Long texts are cut at safe places and short ones put together,
@@ -138,23 +209,37 @@ class Encoder:
         parts: list[list] = [[] for _ in texts]
         batch, owner, size = [], [], 0
         for number, text in enumerate(texts):
-            for piece in safe_pieces(text):
-                n_bytes = len(piece.encode("utf-8", "surrogatepass"))
-                if size + n_bytes > BATCH_BYTES and batch:
+            for piece in safe_pieces(text) if self.cuts else [text]:
+                if size + len(piece) > BATCH_BYTES and batch:
                     self.spread(batch, owner, parts)
                     batch, owner, size = [], [], 0
                 batch.append(piece)
                 owner.append(number)
-                size += n_bytes
+                size += len(piece)
         self.spread(batch, owner, parts)
         join = sum if self.counts_only else b"".join
-        return [join(p) for p in parts]
+        return [p[0] if len(p) == 1 else join(p) for p in parts]
 
     def spread(self, batch: list[str], owner: list[int], parts: list[list]) -> None:
         for number, value in zip(owner, self.batch(batch)):
             parts[number].append(value)
 
 
+def cuts_of(data: np.ndarray, at_marks: bool) -> np.ndarray:
+    """Where a chunk of UTF-8 bytes begins: at white space after anything else, and at a mark
+    after a letter from A to ÿ."""
+    kind = KIND[data]
+    space = kind == SPACE
+    cut = np.zeros(len(data), bool)
+    np.greater(space[1:], space[:-1], out=cut[1:])
+    if at_marks:
+        letter = kind == LETTER
+        after = data[1:]  # À to ÿ are C3 and a byte from 80; × and ÷ are no letters
+        letter[1:] |= (data[:-1] == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+        cut[1:] |= (kind[1:] == CUT_BEFORE) & letter[:-1]
+    return cut
+
+
 def safe_pieces(text: str, size: int = BATCH_BYTES // 4) -> Iterator[str]:
     """`text` in pieces of about `size` characters, cut only before a space or line feed
     that follows a character which is no white space. Texts without such places stay whole."""

@@ -37,6 +37,33 @@ def test_encoder_equals_the_library(name, monkeypatch):
         library.encode(long, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_words_at_single_spaces(name):
+    rng = random.Random(8)
+    parts = ["word", "Wörter.", "don't", "", "a\nb", "\n", "x" * 60, "1,2", "\u0301", "=", "日本", "!"]
+    parts += ["é.", "×.", "÷,", "a.b", "ÿ!É"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    library = Tokenizer.from_file(tokenizer_path(name))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    made = tokens.Encoder(tokenizer_path(name))
+    assert made.cuts and made.prepared
+    for at in range(0, 2000, 100):  # words come back
+        got = made.many(texts[at:at + 100])
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want[at:at + 100]
+
+
+def test_a_vocabulary_that_merges_across_spaces_is_used_whole(tmp_path, monkeypatch):
+    library = Tokenizer.from_file(tokenizer_path(BYTE_VOCABULARY))
+    library.pre_tokenizer = None  # the model then sees a text as one word
+    library.save(str(tmp_path / "other.json"))
+    texts = random_texts(200, 9) + ["one two  three " * 50]
+    made = tokens.Encoder(str(tmp_path / "other.json"))
+    assert not made.cuts
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 100)
+    assert [np.frombuffer(x, "<u2").tolist() for x in made.many(texts)] == want
+
+
 def library_ids(rows, name, end):
     library = Tokenizer.from_file(tokenizer_path(name))
     return [library.encode(t or "", add_special_tokens=False).ids + end for _, t in rows]
@@ -54,8 +81,11 @@ def test_counts(documents):
 
 
 def test_token_files_round_trip(documents, monkeypatch):
-    monkeypatch.setattr(huffman, "FILE_IDS", 20_000)
+    monkeypatch.setattr(huffman, "FILE_IDS", 5_000)
+    monkeypatch.setattr(huffman, "TASK_IDS", 20_000)
     files = huffman.write_tokens(documents(ROWS), tokenizer_path(BYTE_VOCABULARY), end_id=0)
+    assert files.select("part").distinct().count() < files.count()
+    assert "lengths" not in files.columns
     got = huffman.read_tokens(files).collect()
     assert files.count() > 1
     ids = dict(enumerate(library_ids(ROWS, BYTE_VOCABULARY, [0])))

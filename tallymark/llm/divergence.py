@@ -22,7 +22,7 @@ from .words import mixed
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 # Terms of a shard, entries counted before they are handed on, and pairs in a batch of results.
-SHARD_TERMS, COUNTED, PAIRS_HELD = 4096, 1 << 18, 1 << 16
+SHARD_TERMS, COUNTED, PAIRS_HELD = 4096, 1 << 19, 1 << 16
 
 # Letters and all bytes of what is not ASCII stay, A to Z in lower case; the rest separates.
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
@@ -35,11 +35,11 @@ def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
         size = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = Counter(text.translate(TERM_BYTES).split())
+                own = text.translate(TERM_BYTES).split()
                 n, n_docs = held.setdefault((lang, source), (Counter(), Counter()))
                 size -= len(n)
                 n.update(own)
-                n_docs.update(own.keys())
+                n_docs.update(set(own))
                 size += len(n)
                 if size >= COUNTED:
                     yield from count_batches(held)

@@ -16,7 +16,8 @@ import oracles  # noqa: E402
 from tallymark.functions.derive import discount_given, half_year, year_quarter  # noqa: E402
 from tallymark.functions.derive import fill_promotion  # noqa: E402
 from tallymark.operators import breakdown as bd  # noqa: E402
-from tallymark.operators import checks, clean, crosstab, ordered, periods, profile  # noqa: E402
+from tallymark.operators import checks, clean, crosstab, multiset, ordered  # noqa: E402
+from tallymark.operators import periods, profile  # noqa: E402
 from tallymark.operators import scores, stats  # noqa: E402
 from tallymark.plans import kpi, models, notes, report  # noqa: E402
 from tallymark.schema import (CATEGORIES, CLEAN_COLUMNS, CORRELATED, NULL_TOKENS,  # noqa: E402
@@ -28,13 +29,11 @@ from tallymark.sources.star import UNSPECIFIED_PRIORITY, raw_sales, sales  # noq
 try:
     import corpus_pipeline
     from tallymark.llm import queries as llm_queries
-except ModuleNotFoundError as missing:  # both go together; nothing else depends on them
-    if missing.name not in ("corpus_pipeline", "tallymark.llm"):
-        raise
+except ImportError:  # both go together, also if a library they need is missing
     corpus_pipeline = llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
-# Trees, rounds and folds are the library's: 100, 100 and 5; so is the depth of the forests.
+# Trees, rounds and folds are the library's: 100, 100 and 5. Forests grow until leaves are pure.
 TREES, FOLDS = 100, 5
 FACT = ["lineitem", "orders"]  # what grows among the tables of the sales
 TEXTS = ["documents", "pages"]
@@ -251,9 +250,9 @@ def category_codes(spark, d):
 
 def scaler_stats(spark, d):
     features = prepared(spark, d).features
-    scaler = features.scaler()
+    scale = features.scaler()
     return spark.createDataFrame(
-        [(n, float(m), float(s)) for n, m, s in zip(features.names, scaler.mean, scaler.std)],
+        [(n, float(m), float(s)) for n, m, s in zip(features.names, scale.mean, scale.std)],
         "metric string, mean double, std double")
 
 
@@ -263,14 +262,59 @@ def fixed_cards(cards: DataFrame) -> DataFrame:
 
 
 def report_tables(spark, d):
-    """Every cell of every table of the report; the forecast's and chi-square's last digits and
-    texts that quote them are left to their own queries."""
-    unfilled = clean.add_derived(raw_sales(spark, d))
-    tables = report.report_tables(sales(spark, d), unfilled)
+    """The cells of the published report, read back from its current version. `REPORT_COLUMNS`
+    names the columns of each table; a table without an entry there is an error."""
+    path = new_path(spark, "report")
+    report.write_report(sales(spark, d), clean.add_derived(raw_sales(spark, d)), path)
+    tables = report.read_report(spark, path)
     tables["kpis"] = fixed_cards(tables["kpis"])
     return reduce(DataFrame.unionByName, [
         report.long_form(table.select(*[c for c in table.columns if c in REPORT_COLUMNS[name]]), name)
-        for name, table in tables.items() if name in REPORT_COLUMNS])
+        for name, table in tables.items()])
+
+
+def quarantine(spark, d):
+    """Raw CSV with planted values that don't parse; accepted rows, and rejected ones by reason."""
+    raw = raw_sales(spark, d)
+    text = raw.select(*[F.col(f.name).cast(f.dataType).cast("string").alias(f.name)
+                        for f in raw_schema().fields])
+    number = F.col("OrderID").cast("bigint")
+    for column, divisor, value in PLANTED:
+        text = text.withColumn(column, F.when(number % divisor == 0, value).otherwise(F.col(column)))
+    path, sides = new_path(spark, "raw-csv"), new_path(spark, "judged")
+    text.write.option("header", True).csv(path)
+    files.write_judged(files.read_text_csv(spark, path), sides)
+    accepted, rejected = files.read_accepted(spark, sides), files.read_rejected(spark, sides)
+    none = F.lit(None).cast("string")
+    listed = rejected.select(F.explode("problems").alias("p")).select("p.*")
+    return reduce(DataFrame.unionByName, [
+        accepted.agg(F.lit("accepted").alias("side"), none.alias("column"), none.alias("value"),
+                     none.alias("reason"), F.count(F.lit(1)).alias("lines"),
+                     F.sum("Quantity").cast("bigint").alias("quantity"),
+                     F.sum("Returned").alias("returned")),
+        rejected.agg(F.lit("rejected").alias("side"), none.alias("column"), none.alias("value"),
+                     none.alias("reason"), F.count(F.lit(1)).alias("lines"),
+                     F.lit(None).cast("bigint").alias("quantity"),
+                     F.lit(None).cast("bigint").alias("returned")),
+        listed.groupBy("column", "value", "reason").agg(F.count(F.lit(1)).alias("lines")).select(
+            F.lit("problem").alias("side"), "column", "value", "reason", "lines",
+            F.lit(None).cast("bigint").alias("quantity"), F.lit(None).cast("bigint").alias("returned"))])
+
+
+# Fixed values of the quarantine query: the column, which orders, and what stands there.
+PLANTED = [("OrderDate", 11, "2024-13-45"), ("Returned", 13, "2"), ("Quantity", 17, "ten")]
+
+
+def copy_differences(spark, d):
+    """Cells in which a written copy with planted changes differs from the sales, by order."""
+    names = ["OrderID", "Year", "Region", "Product", "Quantity", "UnitPrice", "CustomerType"]
+    source = sales(spark, d, *names)
+    path = new_path(spark, "copy")
+    number = F.col("OrderID").cast("bigint")
+    source.withColumns({
+        "Quantity": F.when(number % 101 == 0, F.col("Quantity") + 1).otherwise(F.col("Quantity")),
+        "Region": F.when(number % 103 == 0, F.lit(None)).otherwise(F.col("Region"))}).write.parquet(path)
+    return multiset.differences(source, spark.read.parquet(path))
 
 
 LEVEL_COLUMNS = ["level", "lines", "revenue", "share_pct", "avg_order_value", "return_rate",
@@ -296,10 +340,10 @@ def revenue_models(spark, d, names=None):
         trees=TREES, names=names, number=F.col("OrderID"))
 
 
-def return_models(spark, d, names=None):
+def return_models(spark, d, names=None, cross=True):
     return models.ReturnModels(
         sales(spark, d, "OrderID", "Returned", *models.CATEGORICAL, *models.RETURN_NUMBERS),
-        trees=TREES, folds=FOLDS, names=names, number=F.col("OrderID"))
+        trees=TREES, folds=FOLDS, names=names, number=F.col("OrderID"), cross=cross)
 
 
 def bounded(column: str):
@@ -308,16 +352,13 @@ def bounded(column: str):
 
 def clf_leaderboard(spark, d):
     """What is certain of the fitted models: sizes, baseline, that one is best, and that the
-    metrics follow from the saved predictions."""
+    metrics follow from the saved predictions. `clf_scores` has the metrics."""
     fitted = return_models(spark, d)
     board = fitted.leaderboard()
-    checked = []
-    for name, predicted in fitted.predictions.items():
-        hits = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-        one = predicted.agg(F.count(F.lit(1)).alias("predicted"), hits.alias("again"),
-                            F.count_if(~F.col("score").between(0, 1)).alias("outside"))
-        checked.append(one.withColumn("name", F.lit(name)))
-    checked = reduce(DataFrame.unionByName, checked)
+    hits = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    checked = fitted.scored.where("model = 0").groupBy("name").agg(
+        F.count(F.lit(1)).alias("predicted"), hits.alias("again"),
+        F.count_if(~F.col("score").between(0, 1)).alias("outside"))
     best = board.agg(F.count_if("is_best")).scalar()
     guarded = board.agg(F.count_if(F.col("is_best") & (
         F.col("no_signal") == (F.col("cv_auc") < models.NO_SIGNAL_AUC)))).scalar()
@@ -363,7 +404,8 @@ def topk_importance(spark, d):
 
 def return_importance(spark, d):
     """The ten features the forest of the return models uses most."""
-    return ranked(return_models(spark, d, ["Random Forest"]).importances("Random Forest", 10))
+    fitted = return_models(spark, d, ["Random Forest"], cross=False)
+    return ranked(fitted.importances("Random Forest", 10))
 
 
 def revenue_importance(spark, d):
@@ -522,8 +564,13 @@ def queries() -> dict[str, Query]:
         "reg_leaderboard": reg_leaderboard,
         "topk_importance": topk_importance,
         "cleaning_path": cleaning_path,
+        "quarantine": quarantine,
+        "copy_differences": copy_differences,
+        "money_scale": lambda s, d: checks.money_scale(sales(
+            s, d, "TotalPrice", "NetRevenue", "ShippingCost", "UnitPrice"),
+            ["TotalPrice", "NetRevenue", "ShippingCost", "UnitPrice"]),
     }
-    found = {name: tuned(query, FACT) for name, query in q.items()}
+    found = {name: tuned(query, FACT) for name, query in (q | model_results()).items()}
     if llm_queries:
         texts = llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
         found |= {name: tuned(query, TEXTS) for name, query in texts.items()}
@@ -531,13 +578,12 @@ def queries() -> dict[str, Query]:
 
 
 def model_results() -> dict[str, Query]:
-    """What the fitted models give, in full. No SQL can express it, so these stand apart from
-    `queries`, each of which has its SQL."""
-    return {name: tuned(query, FACT) for name, query in {
+    """What the fitted models give, in full; no SQL can express it, so brute force checks it."""
+    return {
         "clf_scores": lambda s, d: return_models(s, d).leaderboard(),
         "reg_scores": lambda s, d: revenue_models(s, d).leaderboard(),
         "return_importance": return_importance,
-        "revenue_importance": revenue_importance}.items()}
+        "revenue_importance": revenue_importance}
 
 
 def trend_columns(fit: DataFrame) -> DataFrame:

@@ -622,6 +622,27 @@ def all_sql() -> dict[str, str]:
         UNION ALL SELECT 'promotions', promotion, text FROM pn""",
                             f"{NOTE_RETURNS}, {LIKE.format(cutoff='lm')}, {PROMO}")
     q["report_tables"] = report_cells(q)
+    bad = ["CAST(\"OrderID\" AS BIGINT) % 11 = 0", "CAST(\"OrderID\" AS BIGINT) % 13 = 0",
+           "CAST(\"OrderID\" AS BIGINT) % 17 = 0"]
+    some = " OR ".join(bad)
+    shown = [("OrderDate", "2024-13-45", "not a timestamp_ntz"), ("Returned", "2", "not 0 or 1"),
+             ("Quantity", "ten", "not a int")]
+    nothing = "CAST(NULL AS VARCHAR)"
+    q["quarantine"] = with_sales(f"""SELECT 'accepted' AS side, {nothing} AS "column", {nothing} AS value,
+        {nothing} AS reason, count(*) AS lines, CAST(sum("Quantity") AS BIGINT) AS quantity,
+        CAST(sum("Returned") AS BIGINT) AS returned FROM sales WHERE NOT ({some})
+      UNION ALL SELECT 'rejected', NULL, NULL, NULL, count(*), NULL, NULL FROM sales WHERE {some}
+      """ + "".join(f""" UNION ALL SELECT 'problem', '{c}', '{v}', '{r}', count(*), NULL, NULL FROM sales
+        WHERE {b} HAVING count(*) > 0""" for b, (c, v, r) in zip(bad, shown)))
+    q["copy_differences"] = with_sales("""SELECT "OrderID", 'Quantity' AS "column",
+        count(*) AS left_rows, count(*) AS right_rows FROM sales
+        WHERE CAST("OrderID" AS BIGINT) % 101 = 0 GROUP BY 1
+      UNION ALL SELECT "OrderID", 'Region', count(*), count(*) FROM sales
+        WHERE CAST("OrderID" AS BIGINT) % 103 = 0 GROUP BY 1
+        HAVING count("Region") > 0""")
+    q["money_scale"] = with_sales(union([f"""SELECT '{c}' AS "column", count("{c}") AS "values",
+        count(*) FILTER (abs("{c}" - round("{c}", 6)) > 1e-9 + abs("{c}") * 1e-15) AS finer FROM sales"""
+                                         for c in ("TotalPrice", "NetRevenue", "ShippingCost", "UnitPrice")]))
     return q
 
 

@@ -11,9 +11,26 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
+# Digits after the point that sums of money keep of each value.
+MONEY_DIGITS = 6
+
+
 def total(value: Column) -> Column:
-    """Sum that is 0 for a group with no values."""
-    return F.coalesce(F.sum(value), F.lit(0.0))
+    """Sum that is 0 for a group with no values, and has the same bits in whatever order its rows
+    are added: whole units and millionths are added up as integers. What a value has beyond six
+    digits is rounded off (`checks.money_scale` counts such values); NaN counts as missing."""
+    unit = 10 ** MONEY_DIGITS
+    known = F.when(~F.isnan(value.cast("double")), value.cast("double"))
+    whole = F.floor(known)
+    rest = F.round((known - whole) * float(unit)).cast("bigint")
+    exact = (F.sum(whole).cast("decimal(20,0)") * F.lit(unit).cast("decimal(7,0)")
+             + F.sum(rest).cast("decimal(20,0)"))
+    return F.coalesce(exact.cast("double") / float(unit), F.lit(0.0))
+
+
+def mean(value: Column) -> Column:
+    """Mean of money from its `total`; null for a group with no values."""
+    return ratio(total(value), F.count(F.when(~F.isnan(value.cast("double")), 1)))
 
 
 def as_percent(rate: Column, digits: int = 1, twice: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions.numeric import ratio, total
+from tallymark.functions.numeric import mean, ratio, total
 from tallymark.schema import DISCOUNT_BUCKETS, NO_PROMOTION
 
 MEASURES: dict[str, object] = {
@@ -14,7 +14,7 @@ MEASURES: dict[str, object] = {
     "distinct_orders": lambda: F.countDistinct("OrderID"),
     "gross_revenue": lambda: total(F.col("TotalPrice")),
     "net_revenue": lambda: total(F.col("NetRevenue")),
-    "avg_order_value": lambda: F.avg("TotalPrice"),
+    "avg_order_value": lambda: mean(F.col("TotalPrice")),
     "returned": lambda: F.coalesce(F.sum("Returned"), F.lit(0)),
     "return_rate": lambda: F.avg("Returned"),
     "avg_unit_price": lambda: F.avg("UnitPrice"),
@@ -64,7 +64,7 @@ def share_of_total(df: DataFrame, keys: list[str], value: str = "TotalPrice") ->
     """Revenue, share of the total in percent and rows per level."""
     groups = df.groupBy(*keys).agg(total(F.col(value)).alias("revenue"),
                                    F.count(F.lit(1)).alias("lines"))
-    whole = groups.agg(F.sum("revenue")).scalar()
+    whole = groups.agg(total(F.col("revenue"))).scalar()
     return groups.withColumn("share_pct", ratio(F.col("revenue"), whole) * 100)
 
 
@@ -135,7 +135,7 @@ def group_spread(df: DataFrame, dims: list[str]) -> DataFrame:
         F.min("revenue").alias("min_revenue"),
         F.max("revenue").alias("max_revenue"),
         gap.alias("revenue_gap"),
-        (ratio(gap, F.sum("revenue")) * 100).alias("gap_points"),
+        (ratio(gap, total(F.col("revenue"))) * 100).alias("gap_points"),
         (ratio(gap, F.min("revenue")) * 100).alias("gap_pct"),
         F.min("rate").alias("min_rate"),
         F.max("rate").alias("max_rate"),
@@ -174,7 +174,7 @@ def delivery_stats(df: DataFrame, key: str = "Region", value: str = "DeliveryDay
 def discount_tiers(df: DataFrame) -> DataFrame:
     """Average order value per discount bucket, every bucket listed in order."""
     return listed_tiers(df.groupBy(F.col("DiscountBucket").alias("bucket")).agg(
-        F.avg("TotalPrice").alias("avg_order_value"), F.count(F.lit(1)).alias("lines")))
+        mean(F.col("TotalPrice")).alias("avg_order_value"), F.count(F.lit(1)).alias("lines")))
 
 
 def listed_tiers(found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.derive import DERIVED, month_start, recomputed_revenue, whole_days
-from tallymark.functions.numeric import ratio
+from tallymark.functions.numeric import MONEY_DIGITS, ratio, total
 from tallymark.operators.clean import hashed_rows, key_uniqueness
 from tallymark.operators.periods import every_month
 from tallymark.schema import RECONCILED
@@ -40,8 +40,8 @@ def reconcile(df: DataFrame, dims: list[str]) -> DataFrame:
     under a null key. All dimensions come from one aggregation.
     """
     v = F.col("TotalPrice")
-    one = df.agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("_total"),
-                 *[F.coalesce(F.sum(F.when(F.col(d).isNotNull(), v)), F.lit(0.0)).alias(d)
+    one = df.agg(total(v).alias("_total"),
+                 *[total(F.when(F.col(d).isNotNull(), v)).alias(d)
                    for d in dims])
     listed = [F.struct(F.lit(d).alias("dim"), F.col(d).alias("covered"),
                        F.abs(F.col(d) - F.col("_total")).alias("delta")) for d in dims]
@@ -50,6 +50,19 @@ def reconcile(df: DataFrame, dims: list[str]) -> DataFrame:
             .withColumn("status", F.when(F.col("delta") < TOLERANCE, "pass").otherwise("fail")))
 
 
+def money_scale(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, values, finer): how many values have more digits than `total` keeps."""
+    def finer(c: str) -> Column:
+        v = F.col(c)
+        return F.abs(v - F.round(v, MONEY_DIGITS)) > 1e-9 + F.abs(v) * 1e-15
+
+    one = df.agg(*[f(c) for c in columns for f in (
+        lambda c: F.count(c).alias(f"n_{c}"), lambda c: F.count_if(finer(c)).alias(f"f_{c}"))])
+    listed = [F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("values"),
+                       F.col(f"f_{c}").alias("finer")) for c in columns]
+    return one.select(F.explode(F.array(*listed)).alias("c")).select("c.*")
+
+
 def check_cells(df: DataFrame, sized: list[str]) -> DataFrame:
     """Everything the checks need, per month and level of the `sized` dimensions.
 
@@ -60,7 +73,7 @@ def check_cells(df: DataFrame, sized: list[str]) -> DataFrame:
     lead = whole_days(F.col("OrderDate"), F.col("DeliveryDate"))
     return df.groupBy(*sized, month_start(F.col("Date")).alias("Date")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(v).alias("TotalPrice"),
+        total(v).alias("TotalPrice"),
         F.max(F.abs(recomputed_revenue() - v)).alias("max_diff"),
         F.count_if(F.col("Promotion").isNull()).alias("no_promo"),
         F.count_if(F.col("DeliveryDate") < F.col("OrderDate")).alias("early"),
@@ -68,7 +81,7 @@ def check_cells(df: DataFrame, sized: list[str]) -> DataFrame:
         F.sum(lead).alias("lead_sum"), F.count(lead).alias("leads"),
         F.count_if(v <= 0).alias("bad_price"),
         F.count_if(F.col("Discount").isNull()).alias("no_discount"),
-        *[F.sum(F.when(F.col(d).isNotNull(), v)).alias(f"d_{d}") for d in RECONCILED])
+        *[total(F.when(F.col(d).isNotNull(), v)).alias(f"d_{d}") for d in RECONCILED])
 
 
 def row_checks(cells: DataFrame) -> DataFrame:
@@ -76,10 +89,10 @@ def row_checks(cells: DataFrame) -> DataFrame:
     added = ["n", "no_promo", "early", "bad_price", "no_discount"]
     one = cells.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added],
-        F.coalesce(F.sum("TotalPrice"), F.lit(0.0)).alias("total"),
+        total(F.col("TotalPrice")).alias("total"),
         F.max("max_diff").alias("max_diff"), F.min("lead_min").alias("lead_min"),
         F.max("lead_max").alias("lead_max"), ratio(F.sum("lead_sum"), F.sum("leads")).alias("lead_mean"),
-        *[F.coalesce(F.sum(f"d_{d}"), F.lit(0.0)).alias(f"d_{d}") for d in RECONCILED])
+        *[total(F.col(f"d_{d}")).alias(f"d_{d}") for d in RECONCILED])
     worst = F.greatest(F.lit(0.0), *[F.abs(F.col(f"d_{d}") - F.col("total")) for d in RECONCILED])
     c = F.col
     return _rows(one, [

@@ -44,8 +44,8 @@ def grid_difference(df: DataFrame, row: str, column: str) -> DataFrame:
     inside = F.col(row).isNotNull() & F.col(column).isNotNull()
     grid = cells(df, row, column)
     return (grid.agg(F.count_if(inside).alias("cells"),
-                     F.sum(F.when(inside, F.col("revenue"))).alias("grid_total"),
-                     F.sum("revenue").alias("total"),
+                     total(F.when(inside, F.col("revenue"))).alias("grid_total"),
+                     total(F.col("revenue")).alias("total"),
                      F.min(F.when(inside, F.col("revenue"))).alias("min_cell"),
                      F.max(F.when(inside, F.col("revenue"))).alias("max_cell"))
             .withColumn("difference", F.abs(F.col("grid_total") - F.col("total"))))

@@ -100,7 +100,7 @@ def annual(df: DataFrame) -> DataFrame:
     """Revenue per year; a last year that stops before December is flagged."""
     base = year_months(df)
     years = base.groupBy("Year").agg(
-        F.sum("revenue").alias("revenue"), F.max("Month").alias("last_month"))
+        total(F.col("revenue")).alias("revenue"), F.max("Month").alias("last_month"))
     newest = base.agg(F.max("Year")).scalar()
     partial = (F.col("Year") == newest) & (F.col("last_month") < 12)
     label = F.when(partial, F.concat(F.col("Year").cast("string"), F.lit(" (to month "),

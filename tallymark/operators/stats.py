@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.numeric import chi2_upper_tail, pearson, ratio
+from tallymark.learn.moments import Moments, moments
 from tallymark.operators.breakdown import level_totals
 from tallymark.operators.periods import monthly_filled
 
@@ -64,23 +65,26 @@ def return_rate_tests(df: DataFrame, dims: list[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation matrix in long form, over complete pairs.
 
-    All pairs come from one aggregate of one row per task. `i` and `j` are positions, `lower`
-    marks the cells below the diagonal. The diagonal is 1 for a column that varies.
+    All pairs come from one pass over the rows, a matrix of sums per task. `i` and `j` are
+    positions, `lower` marks the cells below the diagonal. The diagonal is 1 for a column that
+    varies; a constant column has no correlations.
     """
-    double = [F.col(c).cast("double") for c in columns]
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    one = df.select(*[c.alias(f"c{i}") for i, c in enumerate(double)]).agg(
-        *[pearson(f"c{i}", f"c{j}").alias(f"r_{i}_{j}") for i, j in pairs])
-
-    def corr(i: int, j: int) -> Column:
-        r = F.col(f"r_{min(i, j)}_{max(i, j)}")
-        return F.when(r.isNotNull(), 1.0) if i == j else r
-
-    listed = F.array(*[
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 corr(i, j).alias("corr"), F.lit(i > j).alias("lower"))
-        for i, x in enumerate(columns) for j, y in enumerate(columns)])
-    return one.select(F.explode(listed).alias("p")).select("p.*")
+    names = list(columns)
+
+    def cells(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                r = Moments.unpacked(data).correlations()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x in names for _ in names]), pa.array(names * len(names)),
+                     pa.array([i for i in range(len(names)) for _ in names], pa.int32()),
+                     pa.array(list(range(len(names))) * len(names), pa.int32()),
+                     pa.array(r.ravel(), mask=np.isnan(r).ravel()),
+                     pa.array([i > j for i in range(len(names)) for j in range(len(names))])],
+                    ["x", "y", "i", "j", "corr", "lower"])
+
+    return moments(df, names).mapInArrow(
+        cells, "x string, y string, i int, j int, corr double, lower boolean")
 
 
 def trend_fit(df: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.derive import discount_given
-from tallymark.functions.numeric import ratio, total
+from tallymark.functions.numeric import mean, ratio, total
 from tallymark.operators.ordered import exact_median
 from tallymark.session import materialise
 
@@ -17,7 +17,7 @@ def kpi_global(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("lines"),
         total(F.col("TotalPrice")).alias("gross_revenue"),
         total(F.col("NetRevenue")).alias("net_revenue"),
-        F.avg("TotalPrice").alias("avg_order_value"),
+        mean(F.col("TotalPrice")).alias("avg_order_value"),
         (F.avg("Returned") * 100).alias("return_rate"),
         F.avg("DeliveryDays").alias("avg_delivery_days"),
         total(F.col("ShippingCost")).alias("shipping"))
@@ -35,14 +35,15 @@ def kpi_cards(df: DataFrame, approximate: bool = False) -> DataFrame:
     if not approximate:
         df = materialise(df.select("Date", "TotalPrice", "NetRevenue", "Returned", "Discount",
                                    discount_given().alias("_given")), "kpi-columns")
-    def mean(name: str) -> Column:
-        return ratio(F.sum(f"{name}_sum"), F.sum(f"{name}_n"))
+
+    def averaged_days(name: str) -> Column:
+        return ratio(total(F.col(f"{name}_sum")), F.sum(f"{name}_n"))
 
     averaged = ["TotalPrice", "Returned", "Discount"]
     days = df.groupBy(F.to_date("Date").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("NetRevenue").alias("net"),
-        F.sum(F.col("_given") if "_given" in df.columns else discount_given()).alias("given"),
-        *[F.sum(c).alias(f"{c}_sum") for c in averaged],
+        F.count(F.lit(1)).alias("n"), total(F.col("NetRevenue")).alias("net"),
+        total(F.col("_given") if "_given" in df.columns else discount_given()).alias("given"),
+        *[total(F.col(c)).alias(f"{c}_sum") for c in averaged],
         *[F.count(c).alias(f"{c}_n") for c in averaged])
     median = df.agg(F.percentile_approx("TotalPrice", 0.5, 10_000)) if approximate \
         else exact_median(df, "TotalPrice")
@@ -50,11 +51,11 @@ def kpi_cards(df: DataFrame, approximate: bool = False) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("lines"),
         total(F.col("TotalPrice_sum")).alias("gross_revenue"),
         total(F.col("net")).alias("net_revenue"),
-        mean("TotalPrice").alias("avg_order_value"),
-        F.coalesce(F.sum("Returned_sum"), F.lit(0)).alias("returned"),
-        (mean("Returned") * 100).alias("return_rate"),
+        averaged_days("TotalPrice").alias("avg_order_value"),
+        total(F.col("Returned_sum")).cast("bigint").alias("returned"),
+        (averaged_days("Returned") * 100).alias("return_rate"),
         total(F.col("given")).alias("discount_given"),
-        (mean("Discount") * 100).alias("avg_discount_pct"),
+        (averaged_days("Discount") * 100).alias("avg_discount_pct"),
         F.count("day").alias("days"),
         F.countDistinct(F.trunc("day", "MM")).alias("_months"))
     return (cards.withColumn("median_order_value", median.scalar())

@@ -1,20 +1,21 @@
-"""Return and revenue models as MLlib pipelines, with guards against no signal."""
+"""Return and revenue models with guards against no signal.
+
+Rows are split, encoded and cut into byte blocks once; `tallymark.learn` then fits the full
+model and one model per fold in the same jobs.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import namedtuple
+from functools import cached_property, reduce
 
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.learn import blocks as bl
+from tallymark.learn import boosting, forest, linear
+from tallymark.learn.moments import collect_moments
 from tallymark.operators import scores
 from tallymark.operators.ordered import positions
 from tallymark.session import materialise, shared_folder
@@ -28,7 +29,12 @@ NO_SIGNAL_AUC = 0.55
 MISSING = "nan"
 MAJORITY = "most frequent class"
 SEED = 42
-BINS = 32
+# The models and their parameters.
+CLASSIFIERS = ["Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting"]
+REGRESSORS = ["Linear Regression", "Random Forest", "Gradient Boosting"]
+TREE_DEPTH, BOOSTED_DEPTH, RATE = 6, 3, 0.1
+
+Scale = namedtuple("Scale", "mean std")
 
 
 def stratified(df: DataFrame, label: str, key: str = "OrderID", parts: int = 5,
@@ -79,11 +85,7 @@ class Features:
         sizes = {r["column"]: r["n"] for r in self.codes.groupBy("column").agg(
             F.count(F.lit(1)).alias("n")).collect()}  # a row per category
         self.sizes = {c: sizes.get(c, 0) for c in self.categorical}
-        assemble = VectorAssembler(inputCols=[f"{c}_code" for c in self.categorical] + self.numbers,
-                                   outputCol="raw_features", handleInvalid="error")
-        scale = StandardScaler(inputCol="raw_features", outputCol="features",
-                               withMean=True, withStd=True)
-        self._model = Pipeline(stages=[assemble, scale]).fit(self.coded(train))
+        self._train = train
         return self
 
     def coded(self, df: DataFrame) -> DataFrame:
@@ -96,108 +98,176 @@ class Features:
         return out.withColumns({f"{c}_code": F.coalesce(f"{c}_code", F.lit(float(self.sizes[c])))
                                 for c in self.categorical})
 
-    def scaler(self) -> StandardScalerModel:
-        """The fitted scaler: training mean and sample deviation per column of `names`."""
-        return self._model.stages[-1]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self._model.transform(self.coded(df))
+    @cached_property
+    def inputs(self) -> list[str]:
+        """Columns of `coded` that the models read, in the order of `names`."""
+        return [f"{c}_code" for c in self.categorical] + self.numbers
 
+    def scaler(self) -> Scale:
+        """Training mean and sample deviation per column of `names`."""
+        return self._scale
 
-def classifiers(n_train: int, trees: int = 100, forest_depth: int = 30,
-                bins: int = BINS) -> dict[str, Estimator]:
-    """The four return models. 30 levels are the most a forest can have here."""
-    common = {"labelCol": "label", "featuresCol": "features"}
-    tree = {**common, "maxBins": bins, "seed": SEED}
-    return {
-        "Logistic Regression": LogisticRegression(
-            maxIter=500, elasticNetParam=0.0, regParam=1.0 / max(1, n_train), **common),
-        "Decision Tree": DecisionTreeClassifier(maxDepth=6, **tree),
-        "Random Forest": RandomForestClassifier(
-            numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=forest_depth, **tree),
-        "Gradient Boosting": GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.1, **tree),
-    }
-
-
-def regressors(trees: int = 100, forest_depth: int = 30, bins: int = BINS) -> dict[str, Estimator]:
-    common = {"labelCol": "label", "featuresCol": "features"}
-    tree = {**common, "maxBins": bins, "seed": SEED}
-    return {
-        "Linear Regression": LinearRegression(regParam=0.0, **common),
-        "Random Forest": RandomForestRegressor(
-            numTrees=trees, featureSubsetStrategy="all", maxDepth=forest_depth, **tree),
-        "Gradient Boosting": GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.1, **tree),
-    }
+    @cached_property
+    def _scale(self) -> Scale:
+        return Scale(*collect_moments(self.coded(self._train), self.inputs).scale())
 
 
 class Prepared:
-    """Split and encoded rows, written to the shared folder: every fit reads them many times,
-    and a lost executor then costs a re-read, not the joins behind the sales."""
+    """Split, encoded and cut rows. Each part is made when it is first asked for, and written to
+    the shared folder: a lost executor then costs a re-read, not the joins behind the sales."""
 
     def __init__(self, df: DataFrame, numbers: list[str], parts: int, folds: int,
                  number: Column | None, stratify: bool):
         shared_folder(df.sparkSession)
-        known = df.where(F.col("label").isNotNull())
-        whole = known.withColumn("_one", F.lit(1))
-        rows = stratified(whole, "label" if stratify else "_one", "OrderID", parts, folds, number)
-        rows = materialise(rows.select("label", "is_test", "fold", *CATEGORICAL, *numbers),
-                           "model-rows")
-        self.features = Features(CATEGORICAL, numbers).fit(rows.where(~F.col("is_test")))
-        self.table = materialise(self.features.transform(rows).select(
-            "label", "is_test", "fold", "features"), "features")
-        self.train, self.test = self.table.where(~F.col("is_test")), self.table.where("is_test")
+        self.numbers, self.folds = numbers, folds
+        known = df.where(F.col("label").isNotNull()).withColumn("_one", F.lit(1))
+        self._split = stratified(known, "label" if stratify else "_one", "OrderID", parts, folds, number)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return materialise(self._split.select("OrderID", "label", "is_test", "fold", *CATEGORICAL,
+                                              *self.numbers), "model-rows")
+
+    @cached_property
+    def features(self) -> Features:
+        return Features(CATEGORICAL, self.numbers).fit(self.rows.where(~F.col("is_test")))
+
+    @cached_property
+    def sides(self) -> dict[tuple[bool, float], int]:
+        """Rows by side and label; two labels if these are classes."""
+        return {(r["is_test"], r["label"]): r["n"] for r in self.rows.groupBy("is_test", "label").agg(
+            F.count(F.lit(1)).alias("n")).collect()}
+
+    @cached_property
+    def n_rows(self) -> tuple[int, int]:
+        """Rows of the training and of the test side."""
+        one = self.rows.agg(F.count_if(~F.col("is_test")).alias("train"),
+                            F.count_if("is_test").alias("test")).first()
+        return one["train"], one["test"]
+
+    @cached_property
+    def coded(self) -> DataFrame:
+        part = F.when(F.col("is_test"), F.lit(bl.TEST)).otherwise(F.col("fold")).alias("part")
+        return materialise(self.features.coded(self.rows).select(
+            "OrderID", "label", part, *self.features.inputs), "coded-rows")
+
+    @cached_property
+    def cuts(self) -> list[np.ndarray]:
+        return bl.cut_points(self.coded.where(F.col("part") != bl.TEST), self.features.inputs)
+
+    @cached_property
+    def scale(self) -> Scale:
+        train = self.coded.where(F.col("part") != bl.TEST)
+        return Scale(*collect_moments(train, self.features.inputs).scale())
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return bl.make_blocks(self.coded, self.features.inputs, self.cuts, self.scale.mean,
+                              self.scale.std, sum(self.n_rows), "OrderID")
 
     def sizes(self) -> DataFrame:
         """Rows per side, fold (of the training side) and label."""
-        return self.table.groupBy("is_test", F.when(~F.col("is_test"), F.col("fold")).alias("fold"),
-                                  "label").agg(F.count(F.lit(1)).alias("lines"))
+        return self._split.groupBy("is_test", F.when(~F.col("is_test"), F.col("fold")).alias("fold"),
+                                   "label").agg(F.count(F.lit(1)).alias("lines"))
+
 
+class Fitted:
+    """What the two families share: fitted models by name, scores, importances."""
 
-def importances(model: Model, names: list[str], spark: SparkSession, top: int = 10) -> DataFrame | None:
-    """The `top` most important features; None for models without importances."""
-    weights = getattr(model, "featureImportances", None)
-    if weights is None:
-        return None
-    rows = list(zip(names, [float(v) for v in weights.toArray()]))
-    return (spark.createDataFrame(rows, "feature string, importance double")
-            .orderBy(F.desc("importance"), "feature").limit(top))
+    def _importances(self, name: str, top: int) -> DataFrame | None:
+        model = self.models[name]
+        if isinstance(model, np.ndarray):
+            return None  # linear models have none
+        rows = list(zip(self.data.features.names, [float(v) for v in model.importances()]))
+        return (self.spark.createDataFrame(rows, "feature string, importance double")
+                .orderBy(F.desc("importance"), "feature").limit(top))
 
+    def _boosted(self, rounds: int, models: int, logistic: bool) -> tuple[boosting.Boosted, DataFrame]:
+        fitted = boosting.fit_boosted(self.data.blocks, models, rounds, BOOSTED_DEPTH, RATE, logistic)
 
-class ReturnModels:
-    """Fits the four classifiers and keeps what the report needs."""
+        def score(block: bl.Block, model: int) -> np.ndarray:
+            raw = fitted.raw(block, model)
+            return linear.probability(raw) if logistic else raw
 
-    def __init__(self, df: DataFrame, trees: int = 100, folds: int = 5, forest_depth: int = 30,
-                 names: list[str] | None = None, parallelism: int = 5,
-                 number: Column | None = None):
+        return fitted, bl.scored_rows(self.data.blocks, score, models, boosting.COLUMNS)
+
+    def _forest(self, trees: int, models: int, tries: int, depth: int | None) -> tuple[forest.Forest, DataFrame]:
+        fitted = forest.fit_forest(self.data.blocks, models, trees, tries, self.data.n_rows[0], SEED, depth)
+        return fitted, forest.score_forest(self.data.blocks, fitted)
+
+
+class ReturnModels(Fitted):
+    """Fits the four classifiers, each with one model per fold, and keeps what the report needs."""
+
+    def __init__(self, df: DataFrame, trees: int = 100, folds: int = 5, forest_depth: int | None = None,
+                 names: list[str] | None = None, number: Column | None = None, cross: bool = True):
+        """`forest_depth` None grows the forest until its leaves are pure. Without `cross` only the
+        full models are fitted, and there is no `cv_auc`."""
         self.spark = df.sparkSession
         self.data = Prepared(df.withColumn("label", F.col("Returned").cast("double")),
                              RETURN_NUMBERS, 5, folds, number, stratify=True)
-        train, test = self.data.train, self.data.test
-        sizes = train.groupBy("label").count().collect()  # two rows
-        self.n_train = sum(r["count"] for r in sizes)
-        self.n_test = test.count()
-        self.baseline = max((r["count"] for r in sizes), default=0) / max(1, self.n_train)
-        self.results: list[dict] = []
-        self.models: dict[str, Model] = {}
-        self.predictions: dict[str, DataFrame] = {}
-        for name, estimator in classifiers(self.n_train, trees, forest_depth).items():
-            if names is not None and name not in names:
-                continue
-            cv = CrossValidator(
-                estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(),
-                evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
-                numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED)
-            fitted = cv.fit(train)
-            self.models[name] = fitted.bestModel
-            predicted = fitted.bestModel.transform(test).select(
-                "label", "prediction", vector_to_array("probability")[1].alias("score"))
-            self.predictions[name] = predicted = materialise(predicted, "predictions")
-            f1 = (scores.class_report(predicted).where(F.col("class") == "1")).first()["f1"]
-            self.results.append({
-                "model": name, "accuracy": scores.accuracy(predicted).first()[0],
-                "auc": scores.auc(predicted).first()["auc"], "f1_returned": f1,
-                "cv_auc": float(fitted.avgMetrics[0])})
-        self.best = max(self.results, key=lambda r: r["cv_auc"])["model"]
+        self.models: dict[str, object] = {}
+        models = 1 + folds if cross else 1
+        self.trees, self.depth = trees, forest_depth
+        scored = {}
+        for name in CLASSIFIERS:
+            if names is None or name in names:
+                self.models[name], scored[name] = self._fit(name, models)
+        self.scored = reduce(DataFrame.unionByName, [
+            s.withColumn("name", F.lit(name)).withColumn("prediction", (F.col("score") > 0.5).cast("double"))
+            for name, s in scored.items()])
+        self.predictions = {name: self.scored.where((F.col("name") == name) & (F.col("model") == 0)).select(
+            "label", "prediction", "score") for name in scored}
+
+    def _fit(self, name: str, models: int):
+        blocks = self.data.blocks
+        if name == "Logistic Regression":
+            weights = linear.fit_logistic(blocks, models)
+            return weights, bl.scored_rows(blocks, lambda b, m: linear.predict_logistic(weights, b, m),
+                                           models, linear.COLUMNS)
+        if name == "Decision Tree":
+            tree = boosting.fit_boosted(blocks, models, 1, TREE_DEPTH, 1.0, start_at_mean=False)
+            return tree, bl.scored_rows(blocks, lambda b, m: tree.raw(b, m), models, boosting.COLUMNS)
+        if name == "Random Forest":
+            return self._forest(self.trees, models, int(len(self.data.features.names) ** 0.5), self.depth)
+        return self._boosted(self.trees, models, logistic=True)
+
+    @cached_property
+    def results(self) -> list[dict]:
+        """Metrics of each model on the test side, and the mean AUC over the folds."""
+        label, guess = F.col("label"), F.col("prediction")
+        hits = F.count_if((label == 1) & (guess == 1))
+        test = {r["name"]: r for r in self.scored.where("model = 0").groupBy("name").agg(
+            F.avg((label == guess).cast("double")).alias("accuracy"),
+            F.coalesce(2 * hits / F.nullif(F.count_if(label == 1) + F.count_if(guess == 1), F.lit(0)),
+                       F.lit(0.0)).alias("f1")).collect()}
+        area = {(r["name"], r["model"]): r["auc"] for r in scores.auc(
+            self.scored, by=["name", "model"]).collect()}  # a row per model and fold
+        out = []
+        for name in self.models:
+            folds = [a for (n, m), a in area.items() if n == name and m > 0 and a is not None]
+            out.append({"model": name, "accuracy": test[name]["accuracy"], "auc": area.get((name, 0)),
+                        "f1_returned": test[name]["f1"],
+                        "cv_auc": sum(folds) / len(folds) if folds else None})
+        return out
+
+    @property
+    def n_train(self) -> int:
+        return self.data.n_rows[0]
+
+    @property
+    def n_test(self) -> int:
+        return self.data.n_rows[1]
+
+    @property
+    def baseline(self) -> float:
+        """Accuracy of the most frequent class of the training side."""
+        sizes = [n for (test, _), n in self.data.sides.items() if not test]
+        return max(sizes, default=0) / max(1, sum(sizes))
+
+    @property
+    def best(self) -> str:
+        return max(self.results, key=lambda r: -1.0 if r["cv_auc"] is None else r["cv_auc"])["model"]
 
     def leaderboard(self) -> DataFrame:
         """One row per model and the majority baseline; best by cross-validated AUC. The guard
@@ -206,7 +276,7 @@ class ReturnModels:
         for r in self.results:
             best = r["model"] == self.best
             rows.append((r["model"], r["accuracy"], r["auc"], r["f1_returned"], r["cv_auc"], best,
-                         r["cv_auc"] < NO_SIGNAL_AUC if best else None))
+                         r["cv_auc"] < NO_SIGNAL_AUC if best and r["cv_auc"] is not None else None))
         return self.spark.createDataFrame(
             rows, "model string, accuracy double, auc double, f1_returned double, "
                   "cv_auc double, is_best boolean, no_signal boolean")
@@ -224,30 +294,45 @@ class ReturnModels:
         return reduce(DataFrame.unionByName, curves)
 
     def importances(self, name: str = "Random Forest", top: int = 10) -> DataFrame | None:
-        return importances(self.models[name], self.data.features.names, self.spark, top)
+        return self._importances(name, top)
 
 
-class RevenueModels:
+class RevenueModels(Fitted):
     """Fits the three regressors. The target is an identity of three features
     (see `checks.is_identity`), so a near-perfect score is arithmetic."""
 
-    def __init__(self, df: DataFrame, trees: int = 100, forest_depth: int = 30,
+    def __init__(self, df: DataFrame, trees: int = 100, forest_depth: int | None = None,
                  names: list[str] | None = None, number: Column | None = None):
         self.spark = df.sparkSession
         self.data = Prepared(df.withColumn("label", F.col("TotalPrice").cast("double")),
                              REVENUE_NUMBERS, 5, 5, number, stratify=False)
-        self.results, self.models, self.predictions = [], {}, {}
-        for name, estimator in regressors(trees, forest_depth).items():
+        self.models, scored = {}, {}
+        blocks = self.data.blocks
+        for name in REGRESSORS:
             if names is not None and name not in names:
                 continue
-            model = estimator.fit(self.data.train)
-            self.models[name] = model
-            self.predictions[name] = materialise(
-                model.transform(self.data.test).select("label", "prediction"), "predictions")
-            m = scores.regression_metrics(self.predictions[name]).first()
-            self.results.append({"model": name, "mae": m["mae"], "rmse": m["rmse"], "r2": m["r2"]})
-        self.best = max(self.results,
-                        key=lambda r: float("-inf") if r["r2"] is None else r["r2"])["model"]
+            if name == "Linear Regression":
+                weights = linear.fit_linear(blocks, 1)
+                self.models[name] = weights
+                scored[name] = bl.scored_rows(
+                    blocks, lambda b, m, w=weights: linear.predict_linear(w, b, m), 1, linear.COLUMNS)
+            elif name == "Random Forest":
+                self.models[name], scored[name] = self._forest(
+                    trees, 1, len(self.data.features.names), forest_depth)
+            else:
+                self.models[name], scored[name] = self._boosted(trees, 1, logistic=False)
+        self.predictions = {n: s.select("label", F.col("score").alias("prediction")) for n, s in scored.items()}
+
+    @cached_property
+    def results(self) -> list[dict]:
+        whole = reduce(DataFrame.unionByName, [
+            p.withColumn("model", F.lit(name)) for name, p in self.predictions.items()])
+        found = {r["model"]: r for r in scores.regression_metrics(whole, ["model"]).collect()}
+        return [{"model": n, **{k: found[n][k] for k in ("mae", "rmse", "r2")}} for n in self.predictions]
+
+    @property
+    def best(self) -> str:
+        return max(self.results, key=lambda r: float("-inf") if r["r2"] is None else r["r2"])["model"]
 
     def leaderboard(self) -> DataFrame:
         rows = [(r["model"], r["mae"], r["rmse"], r["r2"], r["model"] == self.best)
@@ -256,8 +341,7 @@ class RevenueModels:
             rows, "model string, mae double, rmse double, r2 double, is_best boolean")
 
     def importances(self, name: str | None = None, top: int = 10) -> DataFrame | None:
-        return importances(self.models[name or self.best], self.data.features.names, self.spark,
-                           top)
+        return self._importances(name or self.best, top)
 
     def actual_vs_predicted(self, name: str | None = None) -> DataFrame:
         return self.predictions[name or self.best]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.derive import currency, percent
@@ -16,6 +18,7 @@ from tallymark.plans.kpi import hero_counts, kpi_cards
 from tallymark.plans.notes import days_of, notes_from
 from tallymark.schema import CORRELATED
 from tallymark.session import materialise
+from tallymark.sources import versions
 
 CHART_DIMS = ["Region", "Product", "CustomerType", "PaymentMethod", "Promotion", "Salesperson"]
 
@@ -52,7 +55,7 @@ def level_measures() -> dict:
 def levels_shown(base: DataFrame, dims: list[str]) -> DataFrame:
     """What the charts show of totals per level with `level_measures`."""
     whole = (base.where(F.col("dim") == dims[0])
-             .agg(F.struct(F.sum("revenue").alias("revenue"), F.sum("rated").alias("rated"),
+             .agg(F.struct(total(F.col("revenue")).alias("revenue"), F.sum("rated").alias("rated"),
                            F.sum("returned").alias("returned"))).scalar())
     overall = ratio(whole["returned"], whole["rated"]) * 100
     return (base.select(
@@ -130,15 +133,47 @@ def report_tables(cleaned: DataFrame, unfilled: DataFrame, key: str = "OrderID",
         "hero": hero_counts(cleaned), "notes": notes_from(base, days, months)}
 
 
+ROW = "table string, position long, cells map<string,string>"
+
+
 def write_report(cleaned: DataFrame, unfilled: DataFrame, path: str, key: str = "OrderID",
                  months: int | None = None) -> list[str]:
-    """Write charts, checks, KPIs and notes below `path`; returns what was written."""
+    """Publish charts, checks, KPIs and notes below `path`; returns the names of the tables.
+
+    All tables go through one partitioned write into a folder of their own, which then becomes
+    the current version. A reader finds the old report or the whole new one.
+    """
     tables = report_tables(cleaned, unfilled, key, months)
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    return publish_tables(tables, path, cleaned.sparkSession)
+
+
+def publish_tables(tables: dict[str, DataFrame], path: str, spark: SparkSession) -> list[str]:
+    """Write small tables of any columns as one version; `position` keeps their rows' order."""
+    def rows(name: str, table: DataFrame) -> DataFrame:
+        cells = F.map_from_arrays(
+            F.array(*[F.lit(c) for c in table.columns]),
+            F.array(*[F.col(f"`{c}`").cast("string") for c in table.columns]))
+        return table.select(F.lit(name).alias("table"), F.monotonically_increasing_id().alias("position"),
+                            cells.alias("cells"))
+
+    def write(folder: str) -> dict:
+        whole = reduce(DataFrame.unionByName, [rows(n, t) for n, t in tables.items()])
+        whole.write.partitionBy("table").parquet(folder)
+        return {"tables": {n: [[c, t] for c, t in table.dtypes] for n, table in tables.items()}}
+
+    versions.publish(spark, path, write)
     return sorted(tables)
 
 
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the current version, with their columns, types and order of rows."""
+    about = versions.current(spark, path)
+    stored = spark.read.schema(ROW).parquet(f"{path}/{about['version']}")
+    return {name: stored.where(F.col("table") == name).orderBy("position").select(
+        *[F.col("cells")[c].cast(t).alias(c) for c, t in columns])
+        for name, columns in about["tables"].items()}
+
+
 def long_form(table: DataFrame, name: str) -> DataFrame:
     """Every cell of a table as text: table, row (its text columns), column, value."""
     table = table.select(*[F.col(c).cast("double") if t.startswith("decimal") else F.col(c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import shutil
 import tempfile
 import uuid
@@ -34,7 +35,9 @@ def build_session(master: str | None = None, app: str = "tallymark",
         builder = builder.master(master)
     for key, value in {**ADAPTIVE, **(conf or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 # Input bytes per shuffle partition: jobs shuffle a few narrow columns, some
@@ -43,19 +46,36 @@ BYTES_PER_PARTITION = 2 * 2 ** 30
 
 
 def tune(spark: SparkSession, input_bytes: int | None = None) -> None:
-    """Give a session built elsewhere the same run-time settings.
+    """Give a session built elsewhere the same run-time settings, and its workers the package.
 
     With the size of the input, AQE also starts from a number of shuffle
     partitions that fits it (100 TB: 51,200) and joins small ones afterwards.
     """
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
+    ship(spark)
     if input_bytes:
         start = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                     -(-input_bytes // BYTES_PER_PARTITION))
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(start))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Spark's Python workers this package, wherever the session was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tallymark-code-")  # read by the driver, which serves it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/tallymark-code", "zip", os.path.dirname(here),
+                                          os.path.basename(here)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.operators.clean import normalise_nulls
+from tallymark.operators.clean import judged, normalise_nulls
 from tallymark.schema import NULL_TOKENS, clean_schema, raw_schema
 
 
@@ -25,6 +25,42 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
     return nulled.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The raw columns of a CSV with a header, all as text."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in raw_schema().fields])
+    return spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def write_judged(text: DataFrame, path: str, tokens: list[str] | None = None) -> None:
+    """Write rows of text below `path` as accepted and rejected ones, in one pass over them."""
+    spark = text.sparkSession
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, "0")
+    spark.conf.set(writers, "2")  # both sides at once, so rows need no sort
+    try:
+        judged(text, tokens).write.mode("overwrite").partitionBy("rejected").parquet(path)
+    finally:
+        spark.conf.set(writers, before)
+
+
+def read_accepted(spark: SparkSession, path: str) -> DataFrame:
+    """The typed rows that `write_judged` accepted."""
+    return _judged_side(spark, path, False).select(*raw_schema().fieldNames())
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """The other rows as text, with `problems`: an array of (column, value, reason)."""
+    return _judged_side(spark, path, True).select("raw.*", "problems")
+
+
+def _judged_side(spark: SparkSession, path: str, rejected: bool) -> DataFrame:
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in raw_schema().fields])
+    problem = T.StructType([T.StructField(n, T.StringType()) for n in ("column", "value", "reason")])
+    schema = T.StructType([*raw_schema().fields, T.StructField("problems", T.ArrayType(problem)),
+                           T.StructField("raw", text), T.StructField("rejected", T.BooleanType())])
+    return spark.read.schema(schema).parquet(path).where(F.col("rejected") == rejected)
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, raw_schema())
 

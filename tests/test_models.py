@@ -2,10 +2,11 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
+from tallymark.learn import blocks as bl
+from tallymark.learn import boosting, linear
 from tallymark.operators import checks
 from tallymark.operators.clean import clean
 from tallymark.plans import models
@@ -70,19 +71,23 @@ def test_many_levels_are_coded_alike(sold):
 
 def test_scaled_features(sold):
     enc = models.Features(["Region"], ["Quantity", "UnitPrice"]).fit(sold)
-    x = enc.transform(sold).select(vector_to_array("features")[1].alias("x"))
-    one = x.agg(F.avg("x"), F.stddev_samp("x")).first()
-    assert one[0] == pytest.approx(0, abs=1e-9) and one[1] == pytest.approx(1)
+    one = enc.coded(sold).agg(*[f(c) for c in enc.inputs for f in (F.avg, F.stddev_samp)]).first()
+    assert list(enc.scaler().mean) == pytest.approx(list(one[::2]))
+    assert list(enc.scaler().std) == pytest.approx(list(one[1::2]))
+
+
+def in_blocks(data):
+    held = [bl.Block(r.asDict()) for r in data.blocks.collect()]
+    return [np.concatenate([getattr(b, k) for b in held], -1) for k in ("x", "z", "y", "part")]
 
 
 def test_linear_regression_has_its_closed_form(sold):
     fitted = models.RevenueModels(sold, names=["Linear Regression"])
-    rows = fitted.data.train.select(vector_to_array("features").alias("x"), "label").collect()
-    x = np.array([r["x"] + [1.0] for r in rows])
-    want = x @ np.linalg.lstsq(x, np.array([r["label"] for r in rows]), rcond=None)[0]
-    model = fitted.models["Linear Regression"]
-    got = [r["prediction"] for r in model.transform(fitted.data.train).select("prediction").collect()]
-    assert got == pytest.approx(list(want), rel=1e-6, abs=1e-6)
+    _, z, y, part = in_blocks(fitted.data)
+    x = np.concatenate([z, np.ones((1, len(y)))]).T
+    want = x @ np.linalg.lstsq(x[part != bl.TEST], y[part != bl.TEST], rcond=None)[0]
+    got = fitted.predictions["Linear Regression"].select("prediction").collect()
+    assert sorted(r[0] for r in got) == pytest.approx(sorted(want[part == bl.TEST]), rel=1e-6, abs=1e-6)
 
 
 def test_return_models(sold):
@@ -105,7 +110,6 @@ def test_return_models(sold):
 
 def test_forest_of_full_depth_finds_the_returns(sold):
     fitted = models.ReturnModels(sold, trees=20, folds=2, names=["Random Forest"])
-    assert fitted.models["Random Forest"].getMaxDepth() == 30
     r = fitted.leaderboard().where("is_best").first()
     assert r["cv_auc"] > 0.75 and r["auc"] > 0.75
 
@@ -119,45 +123,59 @@ def columns(df, *names):
     return np.array([list(r) for r in df.select(*names).collect()], float).T
 
 
-def slow_ranking(names, model):
-    pairs = zip(names, model.featureImportances.toArray())
-    top = sorted(pairs, key=lambda p: (-p[1], p[0]))[:10]
+def slow_ranking(names, shares):
+    top = sorted(zip(names, shares), key=lambda p: (-p[1], p[0]))[:10]
     return [(f, pytest.approx(v, abs=1e-12), i + 1) for i, (f, v) in enumerate(top)]
 
 
+def slow_logistic(z, y, penalty=1.0):
+    """Plain gradient descent with momentum until the slope is gone."""
+    x = np.concatenate([z, np.ones((1, len(y)))])
+    hold = np.append(np.full(len(z), penalty), 0.0)
+    w = v = np.zeros(len(x))
+    rate = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + penalty)
+    for _ in range(4000):
+        slope = x @ (1 / (1 + np.exp(-(w @ x))) - y) + hold * w
+        v = 0.9 * v - rate * slope
+        w = w + v
+    return w
+
+
 def test_results_of_the_models_in_full(spark, sold, monkeypatch):
     fitted = models.ReturnModels(sold, trees=3, folds=2, forest_depth=4,
                                  names=["Logistic Regression", "Random Forest"])
     sales = models.RevenueModels(sold, trees=3, forest_depth=4,
                                  names=["Linear Regression", "Random Forest"])
-    monkeypatch.setattr(registered, "return_models", lambda s, d, names=None: fitted)
+    monkeypatch.setattr(registered, "return_models", lambda s, d, names=None, cross=True: fitted)
     monkeypatch.setattr(registered, "revenue_models", lambda s, d, names=None: sales)
     monkeypatch.setattr(registered, "input_bytes", lambda *a: 1)
     monkeypatch.setattr(registered, "tune", lambda *a: None)
     run = {name: query(spark, "") for name, query in registered.model_results().items()}
 
     board = {r["model"]: r for r in run["clf_scores"].collect()}
+    x, z, y, part = in_blocks(fitted.data)
+    one = np.concatenate([z, np.ones((1, len(y)))])
+    sides = [(part != bl.TEST, part == bl.TEST)] + [
+        ((part != bl.TEST) & (part != k), part == k) for k in (0, 1)]
+    plain = [(y[test], linear.probability(slow_logistic(z[:, train], y[train]) @ one[:, test]))
+             for train, test in sides]
+    saved = [columns(fitted.scored.where(f"name = 'Random Forest' AND model = {m}"), "label", "score")
+             for m in range(3)]
     cross = {}
-    for name, model in fitted.models.items():
-        label, guess, score = columns(model.transform(fitted.data.test).withColumn(
-            "score", vector_to_array("probability")[1]), "label", "prediction", "score")
-        hit = ((label == 1) & (guess == 1)).sum()
+    for name, results in (("Logistic Regression", plain), ("Random Forest", saved)):
+        label, score = results[0]
+        guess = score > 0.5
+        hit = ((label == 1) & guess).sum()
         assert board[name]["accuracy"] == pytest.approx((label == guess).mean())
         assert board[name]["f1_returned"] == pytest.approx(2 * hit / (label.sum() + guess.sum()))
-        assert board[name]["auc"] == pytest.approx(slow_auc(label, score))
-        folds = []
-        for fold in (0, 1):
-            train = fitted.data.train
-            again = models.classifiers(fitted.n_train, 3, 4)[name].fit(train.where(F.col("fold") != fold))
-            folds.append(slow_auc(*columns(again.transform(train.where(F.col("fold") == fold)).select(
-                "label", vector_to_array("rawPrediction")[1].alias("score")), "label", "score")))
+        assert board[name]["auc"] == pytest.approx(slow_auc(label, score), abs=1e-6)
         cross[name] = board[name]["cv_auc"]
-        assert cross[name] == pytest.approx(np.mean(folds), abs=1e-6)
+        assert cross[name] == pytest.approx(np.mean([slow_auc(*r) for r in results[1:]]), abs=1e-6)
     assert [n for n, r in board.items() if r["is_best"]] == [max(cross, key=cross.get)]
 
     board = {r["model"]: r for r in run["reg_scores"].collect()}
-    for name, model in sales.models.items():
-        label, guess = columns(model.transform(sales.data.test), "label", "prediction")
+    for name in sales.models:
+        label, guess = columns(sales.predictions[name], "label", "prediction")
         error = label - guess
         assert board[name]["mae"] == pytest.approx(np.abs(error).mean())
         assert board[name]["rmse"] == pytest.approx(np.sqrt((error ** 2).mean()))
@@ -165,13 +183,25 @@ def test_results_of_the_models_in_full(spark, sold, monkeypatch):
             1 - (error ** 2).sum() / ((label - label.mean()) ** 2).sum())
 
     got = [tuple(r) for r in run["return_importance"].collect()]
-    assert got == slow_ranking(fitted.data.features.names, fitted.models["Random Forest"])
+    assert got == slow_ranking(fitted.data.features.names, fitted.models["Random Forest"].importances())
     got = [tuple(r) for r in run["revenue_importance"].collect()]
-    best = sales.models[sales.best]
-    assert got == (slow_ranking(sales.data.features.names, best)
+    assert got == (slow_ranking(sales.data.features.names, sales.models[sales.best].importances())
                    if sales.best == "Random Forest" else [])
 
 
+def test_folds_equal_separate_fits(sold):
+    """A fold's model is the one that is fitted to the other folds alone."""
+    data = models.ReturnModels(sold, trees=3, folds=3, names=["Decision Tree"]).data
+    whole = boosting.fit_boosted(data.blocks, 4, 4, 3, 0.1, True)
+    for fold in range(3):
+        kept = models.materialise(data.coded.where(F.col("part") != fold), "without")
+        alone = bl.make_blocks(kept, data.features.inputs, data.cuts, data.scale.mean, data.scale.std,
+                               900, "OrderID")
+        one = boosting.fit_boosted(alone, 1, 4, 3, 0.1, True)
+        for block in (bl.Block(r.asDict()) for r in data.blocks.collect()):
+            assert one.raw(block, 0) == pytest.approx(whole.raw(block, fold + 1))
+
+
 def test_no_signal_is_flagged(sold):
     noise = sold.withColumn("Returned", (F.xxhash64("OrderID") % 2 == 0).cast("int"))
     board = models.ReturnModels(noise, folds=3, names=["Logistic Regression"]).leaderboard()

@@ -183,8 +183,9 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
     before = spark.conf.get(writers, "0")
     spark.conf.set(writers, "2")  # both kinds at once, so rows need no sort
     try:
-        rows.mapInArrow(run, "doc_id long, row long, ids binary, kind string").write.option(
-            "compression", "lz4").partitionBy("kind").parquet(folder)
+        rows.mapInArrow(run, "doc_id long, row long, ids binary, kind string").write.options(
+            **{"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}).partitionBy(
+            "kind").parquet(folder)
     finally:
         spark.conf.set(writers, before)
     read = spark.read.schema("doc_id long, row long, ids binary, kind string").parquet(folder)

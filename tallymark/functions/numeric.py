@@ -30,7 +30,8 @@ def total(value: Column) -> Column:
 
 def mean(value: Column) -> Column:
     """Mean of money from its `total`; null for a group with no values."""
-    return ratio(total(value), F.count(F.when(~F.isnan(value.cast("double")), 1)))
+    known = value.isNotNull() & ~F.isnan(value.cast("double"))
+    return ratio(total(value), F.count_if(known))
 
 
 def as_percent(rate: Column, digits: int = 1, twice: bool = False) -> Column:

@@ -258,12 +258,13 @@ def test_report_is_written_whole(spark, orders, tmp_path):
     written = report.write_report(full, unfilled, str(tmp_path / "out"))
     assert {"checks", "kpis", "notes", "chart=c-trend", "chart=c-heat", "chart=forecast",
             "chart=correlation"} <= set(written)
+    read = report.read_report(spark, str(tmp_path / "out"))
+    assert sorted(read) == written
     total = full.agg(F.sum("TotalPrice")).first()[0]
     for chart in ("c-region", "c-product", "c-payment", "c-promo", "c-sales", "c-heat", "c-year"):
-        table = spark.read.parquet(str(tmp_path / "out" / f"chart={chart}"))
+        table = read[f"chart={chart}"]
         assert table.agg(F.sum("revenue")).first()[0] == pytest.approx(total), chart
-    share = spark.read.parquet(str(tmp_path / "out" / "chart=c-payment"))
+    share = read["chart=c-payment"]
     assert share.agg(F.sum("share_pct")).first()[0] == pytest.approx(100)
-    status = {r["check"]: r["status"] for r in
-              spark.read.parquet(str(tmp_path / "out" / "checks")).collect()}
+    status = {r["check"]: r["status"] for r in read["checks"].collect()}
     assert status["promotion_complete"] == "fail" and status["no_duplicates"] == "pass"

@@ -19,7 +19,7 @@ from tallymark.operators import breakdown as bd  # noqa: E402
 from tallymark.operators import checks, clean, crosstab, multiset, ordered  # noqa: E402
 from tallymark.operators import periods, profile  # noqa: E402
 from tallymark.operators import scores, stats  # noqa: E402
-from tallymark.plans import kpi, models, notes, report  # noqa: E402
+from tallymark.plans import kpi, models, notes, report, saved  # noqa: E402
 from tallymark.schema import (CATEGORIES, CLEAN_COLUMNS, CORRELATED, NULL_TOKENS,  # noqa: E402
                               PROFILED, RECONCILED, raw_schema)
 from tallymark.session import input_bytes, new_path, tune  # noqa: E402
@@ -415,6 +415,33 @@ def revenue_importance(spark, d):
                   if top is None else top)
 
 
+def loaded(spark, fitted: models.Fitted, name: str) -> saved.SavedModel:
+    """A model after it was saved and loaded again."""
+    path = new_path(spark, "model")
+    saved.save_model(fitted, name, path)
+    return saved.load_model(spark, path)
+
+
+def revenue_predictions(spark, d):
+    """Actual and predicted revenue of the test side, by the best model, saved and loaded."""
+    fitted = revenue_models(spark, d)
+    test = fitted.data.rows.where("is_test")
+    return loaded(spark, fitted, fitted.best).score(test).select(
+        "OrderID", F.lit(fitted.best).alias("model"), F.col("label").alias("actual"),
+        F.col("score").alias("predicted"))
+
+
+def return_probabilities(spark, d):
+    """Class and probability of the test side, by each classifier, saved and loaded."""
+    fitted = return_models(spark, d, cross=False)
+    test = fitted.data.rows.where("is_test")
+    return reduce(DataFrame.unionByName, [
+        loaded(spark, fitted, name).score(test).select(
+            "OrderID", F.lit(name).alias("model"), F.col("label").cast("int").alias("label"),
+            "prediction", F.col("score").alias("probability"))
+        for name in fitted.models])
+
+
 def ranked(top: DataFrame) -> DataFrame:
     """`rank` by importance; a window over ten rows."""
     return top.withColumn("rank", F.row_number().over(
@@ -583,7 +610,9 @@ def model_results() -> dict[str, Query]:
         "clf_scores": lambda s, d: return_models(s, d).leaderboard(),
         "reg_scores": lambda s, d: revenue_models(s, d).leaderboard(),
         "return_importance": return_importance,
-        "revenue_importance": revenue_importance}
+        "revenue_importance": revenue_importance,
+        "revenue_predictions": revenue_predictions,
+        "return_probabilities": return_probabilities}
 
 
 def trend_columns(fit: DataFrame) -> DataFrame:

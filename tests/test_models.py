@@ -9,7 +9,7 @@ from tallymark.learn import blocks as bl
 from tallymark.learn import boosting, linear
 from tallymark.operators import checks
 from tallymark.operators.clean import clean
-from tallymark.plans import models
+from tallymark.plans import models, saved
 
 
 @pytest.fixture(scope="module")
@@ -189,6 +189,32 @@ def test_results_of_the_models_in_full(spark, sold, monkeypatch):
                    if sales.best == "Random Forest" else [])
 
 
+@pytest.mark.parametrize("family", ["returns", "revenue"])
+def test_loaded_models_score_like_fitted_ones(spark, sold, tmp_path, family):
+    make = models.ReturnModels if family == "returns" else models.RevenueModels
+    fitted = make(sold, trees=4, **({"cross": False} if family == "returns" else {}))
+    test = fitted.data.rows.where("is_test")
+    shown = "score" if family == "returns" else "prediction"
+    for name in fitted.models:
+        version = saved.save_model(fitted, name, f"{tmp_path}/{name}")
+        model = saved.load_model(spark, f"{tmp_path}/{name}")
+        got = model.score(test)
+        assert model.about["version"] == version
+        assert got.columns[:len(test.columns)] == test.columns
+        want = fitted.predictions[name].select("label", shown).collect()
+        assert sorted(map(tuple, got.select("label", "score").collect())) == [
+            (pytest.approx(a), pytest.approx(b)) for a, b in sorted(map(tuple, want))], name
+        if family == "returns":
+            assert got.where((F.col("score") > 0.5) != (F.col("prediction") == 1)).count() == 0
+        # Levels that were not there in training, and null, have a score, too.
+        odd = test.limit(3).withColumns({"Region": F.lit("nowhere"), "Product": F.lit(None).cast("string")})
+        assert model.score(odd).where("score IS NOT NULL").count() == 3
+        assert model.score(odd).first()["Region"] == "nowhere"
+    broken = test.withColumn("UnitPrice", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="null or NaN"):
+        saved.load_model(spark, f"{tmp_path}/{name}").score(broken).collect()
+
+
 def test_folds_equal_separate_fits(sold):
     """A fold's model is the one that is fitted to the other folds alone."""
     data = models.ReturnModels(sold, trees=3, folds=3, names=["Decision Tree"]).data

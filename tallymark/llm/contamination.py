@@ -15,11 +15,13 @@ from .common import free_name, map_rows, whole_text, written
 from .words import WORD_BASE, hashed_words, mixed
 
 # Positions that a seed looks at, chosen so that some seed is untouched wherever 2 of 13, 3 of 15
-# or 4 of 20 words are replaced. The last mask is for items that must occur whole.
+# or 4 of 20 words are replaced. Items of 5 to 12 words have masks of their own, of which one is
+# untouched if 80 % of the words are equal; items of fewer words are whole texts, and one seed.
 MASKS = ("11000111", "11010101", "11101001", "10111001")
-SHORT_MASK = "11111"
+SHORT_MASKS = ("111", "11011")
 # An overlap has this many words, or the whole item if shorter, of which so many are equal.
 MIN_OVERLAP, MIN_EQUAL = 13, 0.8
+MIN_SHORT = 5
 # Words around a document's seed hits that are kept to verify them.
 MARGIN = 16
 FILTER_BITS = 24  # the filter has 2^24 bits whatever the benchmark's size: 2 MB
@@ -38,29 +40,43 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(n_words: int) -> tuple[str, ...]:
-    return MASKS if n_words >= MIN_OVERLAP else (SHORT_MASK,)
+    if n_words >= MIN_OVERLAP:
+        return MASKS
+    return SHORT_MASKS if n_words >= MIN_SHORT else ("1" * n_words,) * (n_words > 0)
 
 
-def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item, item_id, at, words) of every item; items under 5 words have no seed."""
+def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, item_id, n, words) of every item, a row each."""
     def run(columns):
-        out = {k: [] for k in ("hash", "item", "item_id", "at", "words")}
-        for item, item_id, words in zip(columns["item"], columns["item_id"],
-                                        hashed_words(columns["text"])):
-            for mask in masks_for(len(words)):
-                h = seeds(words, mask)
-                out["hash"] += h.view(np.int64).tolist()
-                out["at"] += range(len(h))
-                out["item"] += [item] * len(h)
-                out["item_id"] += [item_id] * len(h)
-                out["words"] += [words.view(np.int64)] * len(h)
-        yield out
+        words = list(hashed_words(columns["text"]))
+        yield {"item": columns["item"], "item_id": columns["item_id"], "n": [len(w) for w in words],
+               "words": [w.view(np.int64) for w in words]}
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"),
-                            F.col(id_col).cast("long").alias("item_id"),
-                            whole_text(text_col))
-    return written(map_rows(rows, run, "hash long, item long, item_id long, at int, "
-                            "words array<long>"), "benchmark-seeds")
+                            F.col(id_col).cast("long").alias("item_id"), whole_text(text_col))
+    return written(map_rows(rows, run, "item long, item_id long, n int, words array<long>"),
+                   "benchmark-items")
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(hash, item, at) of every item, without its words."""
+    def run(columns):
+        for item, words in zip(columns["item"], columns["words"]):
+            for mask in masks_for(len(words)):
+                h = seeds(np.array(words, np.int64).view(np.uint64), mask)
+                yield {"hash": h.view(np.int64), "at": np.arange(len(h), dtype=np.int32),
+                       "item": np.full(len(h), item)}
+
+    return written(map_rows(items.select("item", "words"), run, "hash long, item long, at int"),
+                   "benchmark-seeds")
+
+
+def doc_masks(items: DataFrame) -> tuple[tuple[str, ...], bool]:
+    """The masks that some item needs, and whether some item is a whole text."""
+    one = items.agg(F.count_if(F.col("n") >= MIN_OVERLAP).alias("long"),
+                    F.count_if(F.col("n").between(MIN_SHORT, MIN_OVERLAP - 1)).alias("short"),
+                    F.count_if(F.col("n").between(1, MIN_SHORT - 1)).alias("whole")).first()
+    return MASKS * (one["long"] > 0) + SHORT_MASKS * (one["short"] > 0), one["whole"] > 0
 
 
 def filter_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +108,13 @@ def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ok
 
 
-def regions(words: np.ndarray, bits: np.ndarray) -> list[tuple[int, np.ndarray, list, list]]:
+def regions(words: np.ndarray, bits: np.ndarray, masks: tuple[str, ...] = MASKS,
+            whole: bool = False) -> list[tuple[int, np.ndarray, list, list]]:
     """Start, words, seed places and seed hashes of each stretch of `words` with hits."""
-    at, hashes = [], []
-    for mask in (*MASKS, SHORT_MASK):
+    at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    if whole and 0 < len(words) < MIN_SHORT:
+        masks = (*masks, "1" * len(words))
+    for mask in masks:
         h = seeds(words, mask)
         hit = np.flatnonzero(in_filter(bits, h))
         at.append(hit)
@@ -126,9 +145,10 @@ def overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int,
     """(start in the item, length, equal words) of the overlap when item word 0 is at `shift`."""
     lo, hi = max(0, -shift), min(len(item), len(words) - shift)
     equal = words[lo + shift:hi + shift] == item[lo:hi]
-    if len(item) < MIN_OVERLAP:  # short items must be there whole
-        whole = hi - lo == len(item) and bool(equal.all())
-        return (0, len(item), len(item)) if whole else None
+    if len(item) < MIN_OVERLAP:  # all of a short item must be in line, and a shorter one the text
+        n = int(equal.sum())
+        enough = 5 * n >= 4 * len(item) if len(item) >= MIN_SHORT else n == len(item) == len(words)
+        return (0, len(item), n) if hi - lo == len(item) and enough else None
     start, end = best_overlap(equal, MIN_EQUAL)
     if end - start < MIN_OVERLAP:
         return None
@@ -141,16 +161,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, text_hash, item_id, doc_start, item_start, n_words, n_equal): the longest overlap
     of each row of `docs` with each item, places counted in lower-cased words.
 
-    An overlap has at least 13 words in line with the item, 80 % of them equal; items of 5 to
-    12 words count only if they occur whole and unchanged, shorter ones never. Null or empty
-    texts overlap nothing. Rows and items with null or repeated ids are searched like any
+    An overlap has at least 13 words in line with the item, 80 % of them equal. Of an item of 5
+    to 12 words all are in line, 80 % of them equal; an item of fewer words must be the whole text.
+    Null or empty texts and items overlap nothing. Rows and items with null or repeated ids are searched like any
     other; text_hash (xxhash64 of the text, '' for null) tells rows with the same id apart.
     Other columns are not read; an empty table gives no rows.
 
     Documents are read once. A filter of fixed size drops places that are no seed; the rest
     are joined with the seeds by hash, and the distinct alignments verified word by word.
     """
-    test = item_seeds(benchmark, item_id_col, item_text_col)
+    items = item_words(benchmark, item_id_col, item_text_col)
+    test = item_seeds(items)
+    masks, whole = doc_masks(items)
     bits = seed_filter(test)
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # 2 MB
 
@@ -160,7 +182,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for row, doc_id, text_hash, words in zip(columns["row"], columns["doc_id"],
                                                  columns["text_hash"],
                                                  hashed_words(columns["text"])):
-            for number, (lo, part, ats, hashes) in enumerate(regions(words, shared.value)):
+            for number, (lo, part, ats, hashes) in enumerate(regions(words, shared.value, masks, whole)):
                 for k, v in zip(out, (row, doc_id, text_hash, number, lo, part.view(np.int64),
                                       ats, hashes)):
                     out[k].append(v)
@@ -178,10 +200,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         test.select("hash", "item", "at"), "hash").select(
         "row", "region", "item", (F.col("doc_at") - F.col("at") - F.col("lo")).alias("shift")
     ).distinct()
-    items = test.select("item", "item_id", F.col("words").alias("item_words")).dropDuplicates(["item"])
-    return verified(lines.join(found.select("row", "region", "doc_id", "text_hash",
-                                                         "lo", "words"),
-                               ["row", "region"]).join(items, "item"))
+    named = items.select("item", "item_id", F.col("words").alias("item_words"))
+    return verified(lines.join(found.select("row", "region", "doc_id", "text_hash", "lo", "words"),
+                               ["row", "region"]).join(named, "item"))
 
 
 def verified(candidates: DataFrame) -> DataFrame:
@@ -209,7 +230,11 @@ def verified(candidates: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that overlap any item; columns are those of `docs`."""
+    """`docs` without the rows that overlap any item; columns are those of `docs`.
+
+    Rows with a null text stay, and so do repeated ones without an overlap; of rows with the same
+    id those with an overlapping text go. An empty table or benchmark drops nothing.
+    """
     names = [free_name(docs, n) for n in ("leak_id", "leak_hash")]
     leaks = find_overlaps(docs, benchmark, id_col, text_col).select(
         F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()

@@ -108,7 +108,8 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, k1, k2, size, bands, bytes); size 0 and nulls without words."""
+    """(doc_id, text_hash, k1, k2, size, bands, bytes). A text without words has size 0, no bands,
+    and its text hash for a key."""
     def run(columns):
         sets = list(shingle_sets(columns["text"]))
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -117,8 +118,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         low = np.ascontiguousarray((values[:, :COMPARED] & 0xFF).astype(np.uint8))
         out = {"doc_id": columns["doc_id"], "text_hash": columns["text_hash"],
                "size": [len(s) for s in sets]}
-        for name in ("k1", "k2", "bands", "bytes"):
-            out[name] = [None] * len(sets)
+        out |= {"k1": list(columns["text_hash"]), "k2": [0] * len(sets), "bands": [None] * len(sets),
+                "bytes": [None] * len(sets)}
         for at, i in enumerate(full):
             out["k1"][i], out["k2"][i] = set_key(sets[i])
             out["bands"][i], out["bytes"][i] = bands[at], low[at].tobytes()
@@ -343,13 +344,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n_links counts the other rows with a Jaccard similarity of at least 0.8 of the sets of
     five-word shingles (words: lower-cased letters, digits, underscores; a text of one to four
     words is one shingle). class_id is the smallest doc_id of all rows that links connect, null
-    if none has an id. Texts without words, null ones among them, link to nothing and are their
-    own class. Rows with a null or repeated id are nodes of their own text. An empty table gives
+    if none has an id. A text without words links to the rows with the very same text alone (null
+    counts as empty). Rows with a null or repeated id are nodes of their own text. An empty table gives
     no rows; other columns are not read. text_hash is xxhash64 of the text ('' for null);
     class_node tells classes apart within one result, also where class_id is null.
     """
     made = written(signatures(docs, id_col, text_col), "signatures")
-    nodes = written(made.filter("size > 0").groupBy("k1", "k2").agg(
+    nodes = written(made.groupBy("k1", "k2", (F.col("size") > 0).alias("worded")).agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"),
         F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("size").alias("size"),
         F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
@@ -362,31 +363,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     same = components(found.filter("node != other").select(
         F.col("node").alias("u"), F.col("other").alias("v")).distinct())
-    owner = nodes.select("node", "k1", "k2", "copies", "least_id").join(
+    key = ["k1", "k2", "worded"]
+    owner = nodes.select("node", *key, "copies", "least_id").join(
         links, "node", "left").join(same, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     owner = written(owner, "classes")
     ids = owner.groupBy("label").agg(F.min("least_id").alias("class_id"))
     classes = owner.join(ids, "label").select(
-        "k1", "k2", "class_id", F.col("label").alias("class_node"),
+        *key, "class_id", F.col("label").alias("class_node"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return made.select("doc_id", "text_hash", "size", "k1", "k2").join(
-        classes, ["k1", "k2"], "left").select(
-        "doc_id", "text_hash",
-        F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    return made.select("doc_id", "text_hash", "size", "k1", "k2", (F.col("size") > 0).alias("worded")).join(
+        classes, key, "left").select(
+        "doc_id", "text_hash", "class_id", F.col("n_links").cast("long").alias("n_links"),
         F.col("size").alias("n_shingles"), "class_node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without all but one row of each class: the one with the smallest id (nulls last),
-    then the smallest text_hash, stays. A repeated row (same id and text) is the same document. Texts
-    without words all stay, but for repeated rows. Columns are those of `docs`."""
+    then the smallest text_hash, stays. A repeated row (same id and text) is the same document. Of
+    the rows with the same text without words one stays, too. Columns are those of `docs`."""
     found = similar_documents(docs, id_col, text_col)
-    winners = found.filter("n_shingles > 0").groupBy("class_node").agg(
+    winners = found.groupBy("class_node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w")
-    ).select("w.doc_id", "w.text_hash").unionByName(
-        found.filter("n_shingles = 0").select("doc_id", "text_hash")).distinct()
+    ).select("w.doc_id", "w.text_hash").distinct()
     names = [free_name(docs, n) for n in ("winner_id", "winner_hash", "own_hash")]
     winners = written(winners.toDF(*names[:2]), "winners")
     kept = docs.withColumn(names[2], F.xxhash64(whole_text(text_col))).join(

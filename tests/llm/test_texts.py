@@ -161,7 +161,8 @@ def slow_links(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 5 * both >= 4 * len(sets[i] | sets[j]):
+            same = not sets[i] and not sets[j] and (rows[i][1] or "") == (rows[j][1] or "")
+            if same or both and 5 * both >= 4 * len(sets[i] | sets[j]):
                 links[i], links[j] = links[i] + 1, links[j] + 1
                 parent[root(i)] = root(j)
     least = defaultdict(list)
@@ -207,7 +208,7 @@ def test_keep_one(documents):
     want = set()
     for (d, t), (_, c, _) in zip(rows, slow_links(rows)):
         if d == c and (d is not None or not shingles(t) or t == "no id here"):
-            want.add((d, t))
+            want.add((d, t))  # (1, None) stands for (2, "") as well
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == \
         sorted(map(repr, want))
     assert jaccard.keep_one(documents([])).count() == 0
@@ -241,13 +242,15 @@ def test_contamination(spark, documents):
             (107, around(text[5])), (108, around(replaced(text[6], 7))), (109, around("")),
             (110, " ".join(text[6].split()[100:130])), (111, " ".join(text[6].split()[100:110])),
             (112, text[2]), (113, around(text[None])), (114, around(text[0]) + " " + text[1]),
+            (115, text[5].upper()), (116, text[5] + " more"), (117, around(replaced(text[4], 9))),
+            (118, around(replaced(text[4], 2))),
             (100, around(text[0]))] + [r for r in EDGES if r[0] != 5]
     df = documents(rows)
     got = contamination.find_overlaps(df, benchmark)
     found = sorted((r["doc_id"], repr(r["item_id"]), r["n_words"]) for r in got.collect())
     want = [(100, "0", 40), (100, "0", 40), (101, "1", 15), (102, "0", 40), (104, "3", 12),
-            (106, "4", 7), (108, "6", 300), (110, "6", 30), (112, "2", 13), (113, "None", 20),
-            (114, "0", 40), (114, "1", 15)]
+            (105, "3", 12), (106, "4", 7), (115, "5", 4), (108, "6", 300), (110, "6", 30), (112, "2", 13), (113, "None", 20),
+            (117, "4", 7), (114, "0", 40), (114, "1", 15)]
     assert found == sorted(want)
     kept = contamination.drop_contaminated(df, benchmark)
     assert kept.columns == df.columns
@@ -257,10 +260,25 @@ def test_contamination(spark, documents):
     assert contamination.find_overlaps(df, benchmark.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("words,replaced", [(13, 2), (15, 3), (20, 4)])
+def test_a_long_item_has_one_row_of_words(spark, documents):
+    """Seeds don't carry the item: 20,000 words are 80,000 seeds of a few bytes."""
+    rng = random.Random(10)
+    long = " ".join(words_of(rng, 20_000))
+    benchmark = spark.createDataFrame([(1, long), (2, long)], "item_id long, text string")
+    items = contamination.item_words(benchmark, "item_id", "text")
+    seeds = contamination.item_seeds(items)
+    assert items.count() == 2 and "words" not in seeds.columns
+    assert seeds.count() == 2 * sum(20_000 - len(m) + 1 for m in contamination.MASKS)
+    rows = [(1, "other " * 40 + " ".join(long.split()[5000:5030])), (2, " ".join(words_of(rng, 50)))]
+    got = contamination.find_overlaps(documents(rows), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (1, 2)]
+    assert all(r["n_equal"] >= 30 and r["item_start"] <= 5000 for r in got)
+
+
+@pytest.mark.parametrize("words,replaced", [(13, 2), (15, 3), (20, 4), (5, 1), (6, 1), (9, 1), (10, 2), (12, 2)])
 def test_some_seed_survives_every_replacement(words, replaced):
     places = [frozenset(at + i for i, c in enumerate(m) if c == "1")
-              for m in contamination.MASKS for at in range(words - len(m) + 1)]
+              for m in contamination.masks_for(words) for at in range(words - len(m) + 1)]
     for gone in combinations(range(words), replaced):
         assert any(p.isdisjoint(gone) for p in places), gone
 

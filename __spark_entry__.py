@@ -317,17 +317,17 @@ def copy_differences(spark, d):
     return multiset.differences(source, spark.read.parquet(path))
 
 
-LEVEL_COLUMNS = ["level", "lines", "revenue", "share_pct", "avg_order_value", "return_rate",
-                 "avg_discount_pct", "avg_delivery_days"]
+LEVEL_COLUMNS = ["level", "lines", "revenue", "share_pct", "avg_order_value", "rated", "returned",
+                 "return_rate", "overall_rate", "avg_discount_pct", "avg_delivery_days"]
 REPORT_COLUMNS = {
     **{f"chart={name}": LEVEL_COLUMNS for name in report.LEVEL_CHARTS},
-    "chart=c-trend": ["label", "revenue", "mean_revenue", "position"],
+    "chart=c-trend": ["label", "month_name", "revenue", "mean_revenue", "position"],
     "chart=c-year": ["label", "revenue"], "chart=revenue-by-quarter": ["label", "revenue"],
     "chart=c-heat": ["row", "column", "revenue", "lines", "return_rate"],
     "chart=product-by-customer-type": ["row", "column", "revenue", "lines", "return_rate"],
     "chart=discount-tiers": ["bucket", "avg_order_value", "lines"],
-    "chart=correlation": ["x", "y", "corr"], "chart=forecast": ["step", "yhat"],
-    "checks": ["check", "status", "threshold"], "checks_tally": ["overall", "passed", "warned", "failed"],
+    "chart=correlation": ["x", "y", "corr"], "chart=forecast": ["step", "x", "yhat", "band", "low", "high"],
+    "checks": ["check", "label", "status", "observed", "threshold", "detail"], "checks_tally": ["overall", "passed", "warned", "failed"],
     "kpis": ["lines", "gross_revenue", "net_revenue", "avg_order_value", "returned", "return_rate",
              "discount_given", "avg_discount_pct", "days", "median_order_value", "lost_revenue",
              "orders_per_month"],

@@ -657,7 +657,7 @@ def report_cells(q: dict[str, str]) -> str:
             CAST(NULL AS VARCHAR) AS value FROM {source}"""])
 
     shown = [("lines", False), ("revenue", True), ("share_pct", True), ("avg_order_value", True),
-             ("return_rate", True), ("avg_discount_pct", True), ("avg_delivery_days", True)]
+             ("rated", False), ("returned", False), ("return_rate", True), ("overall_rate", True), ("avg_discount_pct", True), ("avg_delivery_days", True)]
     charts = {"c-region": "Region", "c-product": "Product", "c-returns": "Product",
               "c-payment": "PaymentMethod", "c-promo": "Promotion", "c-delivery": "Region",
               "c-sales": "Salesperson", "returns-by-region": "Region",
@@ -668,7 +668,7 @@ def report_cells(q: dict[str, str]) -> str:
     grid = [("revenue", True), ("lines", False), ("return_rate", True)]
     k = ["lines", "returned", "days"]
     parts += [
-        cells("chart=c-trend", "trend", ["label"], [("position", False), ("revenue", True),
+        cells("chart=c-trend", "trend", ["label", "strftime(CAST(month AS DATE), '%b %Y')"], [("position", False), ("revenue", True),
                                                      ("mean_revenue", True)]),
         cells("chart=c-year", "years", ["label"], [("revenue", True)]),
         cells("chart=revenue-by-quarter", "quarters", ["label"], [("revenue", True)]),
@@ -677,8 +677,10 @@ def report_cells(q: dict[str, str]) -> str:
         cells("chart=discount-tiers", "tiers", ["bucket"], [("avg_order_value", True),
                                                              ("lines", False)]),
         cells("chart=correlation", "corr", ["x", "y"], [("corr", True)]),
-        cells("chart=forecast", "ahead", [], [("step", False), ("yhat", True)]),
-        cells("checks", "checked", ['"check"', "status"], [("threshold", True)]),
+        cells("chart=forecast", "ahead", [], [("step", False), ("x", False), *[
+            (c, True) for c in ("yhat", "band", "low", "high")]]),
+        cells("checks", "checked", ['"check"', "label", "status", "detail"], [("observed", True),
+                                                                               ("threshold", True)]),
         cells("checks_tally", "tallied", ["overall"], [("passed", False), ("warned", False),
                                                         ("failed", False)]),
         cells("kpis", "cards", [], [(c, c not in k) for c in (
@@ -691,7 +693,9 @@ def report_cells(q: dict[str, str]) -> str:
     tables = f"""whole AS (SELECT sum("TotalPrice") AS t FROM sales),
       lvl AS ({levels(dims)}),
       shown AS (SELECT dim, level, lines, revenue, revenue / t * 100 AS share_pct,
-        revenue / lines AS avg_order_value, returned * 100.0 / rated AS return_rate,
+        revenue / lines AS avg_order_value, CAST(rated AS BIGINT) AS rated,
+        CAST(returned AS BIGINT) AS returned, returned * 100.0 / rated AS return_rate,
+        sum(returned) OVER (PARTITION BY dim) * 100.0 / sum(rated) OVER (PARTITION BY dim) AS overall_rate,
         avg_discount * 100 AS avg_discount_pct, avg_days AS avg_delivery_days FROM lvl, whole),
       trend AS ({q["monthly_trend"]}), years AS ({q["annual_flagged"]}),
       quarters AS ({q["quarterly"]}), tiers AS ({q["discount_bucket_aov"]}),
@@ -700,7 +704,8 @@ def report_cells(q: dict[str, str]) -> str:
       types AS (SELECT "Product" AS r, "CustomerType" AS c, sum("TotalPrice") AS revenue,
         count(*) AS lines, {RATE} AS return_rate FROM sales GROUP BY 1, 2),
       corr AS (SELECT * FROM ({q["corr_matrix"]}) WHERE i > j),
-      ahead AS ({q["trend_forecast"]}), checked AS ({q["checks"]}),
+      ahead AS ({q["trend_forecast"]}),
+      checked AS ({with_sales('SELECT "check", label, status, observed, threshold, detail FROM checks', CHECKS)}),
       tallied AS ({q["checks_tally"]}), cards AS ({q["kpi_cards"]}), hero AS ({q["hero_counts"]}),
       noted AS ({q["notes"]})"""
     return with_sales(union(parts), tables)

@@ -9,7 +9,7 @@ from tallymark.operators.breakdown import (level_totals, promotion_measures,
                                            undiscounted_from_levels, undiscounted_promotions)
 from tallymark.operators.periods import like_for_like
 from tallymark.operators.stats import chi_square
-from tallymark.functions.derive import currency, percent
+from tallymark.functions.derive import currency, percent, squeeze
 from tallymark.functions.numeric import ratio, total
 from tallymark.session import materialise
 
@@ -93,4 +93,5 @@ def notes_from(levels: DataFrame, days: DataFrame, months: int | None = None) ->
             F.lit("partial year").alias("note"),
             F.col("year").cast("string").alias("subject"), "text"))
         .unionByName(codes.select(
-            F.lit("promotions").alias("note"), F.col("promotion").alias("subject"), "text")))
+            F.lit("promotions").alias("note"), F.col("promotion").alias("subject"), "text"))
+        .withColumn("text", squeeze(F.col("text"))))

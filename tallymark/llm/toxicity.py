@@ -301,6 +301,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that score 0.5 or more; columns are those of `docs`."""
+    """`docs` without the rows that score 0.5 or more; columns are those of `docs`.
+
+    A null text scores as an empty one; repeated rows score alike, so they stay or go together;
+    a row with a null id can't be labelled but is scored. An empty table gives no rows.
+    """
     score = scorer(train(docs, labels, id_col, text_col), docs.sparkSession)
     return docs.filter(score(whole_text(text_col)) < 0.5)

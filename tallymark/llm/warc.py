@@ -188,6 +188,8 @@ def write_arc(pages: DataFrame, versions: tuple[int, ...] = (1, 2), date: str =
 
     Returns the list of archives (folder, file, n_records). Tasks take the versions in turn. A
     null body is empty; a null or empty url becomes a placeholder, white space in it is escaped.
+    Rows with a null or repeated id are records of their own. An empty table gives a list without
+    files; columns but the three named are not read.
     """
     folder = new_path(pages.sparkSession, "arc")
 
@@ -279,7 +281,9 @@ def convert_archives(archives: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES
     HTTP records become `response`, or `revisit` if an earlier record has the same payload of
     at least `least_bytes` bytes; others become `resource`. Record ids derive from the archive's
     own name and the record's number, so a repeated run gives the same ids. Archives are read
-    twice: once for lengths and digests, once to convert, each in one stream.
+    twice: once for lengths and digests, once to convert, each in one stream. Equal records are
+    records of their own, the first a response; an empty list gives an empty list; columns but
+    folder, file and n_records are not read.
     """
     index = written(arc_index(archives), "arc-index")
     folder = folder or new_path(archives.sparkSession, "warc")
@@ -315,7 +319,8 @@ def convert_archives(archives: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES
 def read_archives(files: DataFrame) -> DataFrame:
     """A row per WARC record but warcinfo: row_id, url, date, record_type, record_id,
     refers_to_id, payload_bytes and payload_digest (of the full payload, also for revisits),
-    payload (null for revisits)."""
+    payload (null for revisits). A file listed twice gives its records twice, an empty list none;
+    other columns of the list are not read."""
     types = {"row_id": pa.int64(), "url": pa.string(), "date": pa.string(),
              "record_type": pa.string(), "record_id": pa.string(), "refers_to_id": pa.string(),
              "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}

@@ -28,6 +28,8 @@ WHITE = b" \t\n\v\f\r"
 MIN_POINTS = 10
 # Line hashes per shard of the index, and bytes of shards a worker keeps.
 SHARD_LINES, KEPT_BYTES = 1 << 17, 64 << 20
+# Documents that make a line a duplicate; counts are kept in a byte, up to MOST_COUNTED.
+MIN_COUNT, MOST_COUNTED = 2, 255
 GAMMA, MAX_LEVELS = 2.0, 64
 
 
@@ -114,7 +116,7 @@ def shard_bytes(rows: pd.DataFrame) -> bytes:
     out = io.BytesIO()
     np.savez(out, sizes=np.array(function.sizes), first_at=first_at.astype(np.uint32),
              fingerprint=rows["fingerprint"].to_numpy()[order].view(np.uint64),
-             n_rows=rows["n_rows"].to_numpy()[order], first=rows["first"].to_numpy()[order],
+             count=np.minimum(rows["n_rows"].to_numpy()[order], MOST_COUNTED).astype(np.uint8), first=rows["first"].to_numpy()[order],
              **{f"bits{i}": b for i, b in enumerate(function.bits)},
              **{f"ranks{i}": r for i, r in enumerate(function.ranks)})
     return out.getvalue()
@@ -127,17 +129,17 @@ class Shard:
         self.function = PerfectHash(sizes, [arrays[f"bits{i}"] for i in range(len(sizes))],
                                     [arrays[f"ranks{i}"] for i in range(len(sizes))])
         self.first_at = arrays["first_at"].astype(np.int64)
-        self.fingerprint, self.first = arrays["fingerprint"], arrays["first"]
+        self.fingerprint, self.count, self.first = (arrays[k] for k in ("fingerprint", "count", "first"))
 
     def first_documents(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each (place, fingerprint) is in the shard, and its first document."""
+        """Whether each (place, fingerprint) counts as a line of several documents, and the first."""
         found = np.zeros(len(pairs), bool)
         first = np.zeros(len(pairs), np.int64)
         number = self.function.numbers(pairs[:, 0])
         at = np.where(number >= 0, self.first_at[number], 0)
         end = np.where(number >= 0, self.first_at[number + 1], 0)
         while len(left := np.flatnonzero(~found & (at < end))):
-            hit = self.fingerprint[at[left]] == pairs[left, 1]
+            hit = (self.fingerprint[at[left]] == pairs[left, 1]) & (self.count[at[left]] >= MIN_COUNT)
             found[left[hit]] = True
             first[left[hit]] = self.first[at[left[hit]]]
             at[left] += 1

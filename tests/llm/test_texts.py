@@ -74,6 +74,9 @@ def test_shard_with_equal_places():
     found, first = shard.first_documents(np.array([[5, 2], [5, 1], [9, 3], [9, 4], [7, 1]], np.uint64))
     assert found.tolist() == [True, True, True, False, False]
     assert first[:3].tolist() == [20, 10, 30]
+    once = lines.Shard(lines.shard_bytes(rows.assign(n_rows=[1, 2, 1000])))  # the counts are probed
+    assert once.count.dtype == np.uint8
+    assert once.first_documents(np.array([[5, 1], [5, 2], [9, 3]], np.uint64))[0].tolist() == [False, True, True]
 
 
 # -- quality ------------------------------------------------------------------

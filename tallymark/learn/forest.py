@@ -55,8 +55,8 @@ def level_splits(key_node: np.ndarray, bins: np.ndarray, w: np.ndarray, wy: np.n
         seen = np.flatnonzero(weight)
         weight, label = weight[seen], np.bincount(key, wy, nodes * BINS)[seen]
     else:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
+        # Sorting numbers that hold key and place is faster than sorting places, and as stable.
+        sorted_key, order = np.divmod(np.sort(key * len(key) + np.arange(len(key))), len(key))
         first = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1]))
         seen = sorted_key[first]
         weight, label = np.add.reduceat(w[order], first), np.add.reduceat(wy[order], first)

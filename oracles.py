@@ -501,7 +501,7 @@ def all_sql() -> dict[str, str]:
     q["pivot_return"] = wide_sum("Region", "Product", PRODUCTS,
                                  'round(avg("Returned") {} * 100, 6)')
     q["pivot_product_customer"] = wide_sum("Product", "CustomerType", ["F", "O"],
-                                           'round(sum("TotalPrice") {} / 1000, 6)')
+                                           'round(sum("TotalPrice") {} / 1000, 7)')
     q["grid_reconcile"] = with_sales("""SELECT count(*) AS cells, round(sum(r), 1) AS grid_total,
         round(sum(r), 1) AS total, round(min(r), 4) AS min_cell, round(max(r), 4) AS max_cell,
         0.0::DOUBLE AS difference FROM (SELECT sum("TotalPrice") AS r FROM sales

@@ -280,3 +280,52 @@ def test_forest_of_random_features_is_repeatable_and_learns(made):
     first, again = (sorted(zip(r.label, r.score)) for r in runs)
     assert first == again
     assert runs[0][runs[0].label == 1].score.mean() > runs[0][runs[0].label == 0].score.mean() + 0.5
+
+
+def written_below(spark, path, run):
+    """Bytes that `run` leaves in the shared folder, without the tables that it returns."""
+    before = {p for p in path.iterdir()}
+    run()
+    return {p.name.rsplit("-", 1)[0] for p in path.iterdir() if p not in before}
+
+
+def test_large_nodes_write_no_rows(spark, made, monkeypatch):
+    """Rows of large nodes used to be written again at every level, for every tree."""
+    from pathlib import Path
+
+    from tallymark.session import shared_folder
+    monkeypatch.setattr(forest, "SUBTREE_ROWS", 60)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    assert written_below(spark, folder, lambda: forest.fit_forest(made["y"], 2, 3, 4, 900)) == {"subtrees"}
+
+
+def test_few_bytes_of_histograms_at_a_time_make_the_same_trees(made, monkeypatch):
+    monkeypatch.setattr(forest, "SUBTREE_ROWS", 60)
+    whole = forest.fit_forest(made["label"], 2, 3, 2, 900)
+    monkeypatch.setattr(forest, "HELD_BYTES", 2 * 3 * 256 * 8 * 2)
+    parts = forest.fit_forest(made["label"], 2, 3, 2, 900)
+    assert parts.splits == whole.splits and len(whole.splits) > 2 * 3
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+def test_rows_end_where_the_cuts_lead(depth):
+    rng = np.random.default_rng(depth)
+    x, tree = rng.integers(0, 256, (5, 400)).astype(np.uint8), boosting.Tree(depth)
+    inner = 2 ** depth - 1
+    tree.feature[:inner] = rng.integers(-1, 5, inner)
+    tree.cut[:inner], tree.value[:] = rng.integers(0, 256, inner), rng.normal(0, 1, 2 * inner + 1)
+    want = []
+    for row in x.T:
+        at = 0
+        while at < inner and tree.feature[at] >= 0:
+            at = 2 * at + 1 + (row[tree.feature[at]] > tree.cut[at])
+        want.append(at)
+    assert tree.places(x).tolist() == want
+    assert (tree.predict(x) == tree.value[want]).all()
+
+
+def test_settings_for_blocks_do_not_outlast_a_fit(spark, made):
+    before = {key: spark.conf.get(key) for key in bl.FEW}
+    fitted = boosting.fit_boosted(made["y"], 1, 2, 2, 0.1)
+    bl.scored_rows(made["y"], lambda b, m: fitted.raw(b, m), 1, boosting.COLUMNS)
+    assert {key: spark.conf.get(key) for key in bl.FEW} == before

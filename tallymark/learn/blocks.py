@@ -9,7 +9,7 @@ judged on the test side; model f + 1 learns from all folds but f and is judged o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallymark.session import materialise, new_path
+from tallymark.session import materialise, new_path, settings
 
 # A block's rows, and the rows of a task beyond which there are more tasks than cores.
 BINS, BLOCK_ROWS, TASK_ROWS = 256, 1 << 13, 1 << 22
@@ -111,18 +111,10 @@ def make_blocks(rows: DataFrame, names: list[str], cuts: list[np.ndarray], mean:
         run, SCHEMA), "blocks")
 
 
-@contextmanager
-def few_blocks(spark: SparkSession) -> Iterator[None]:
+def few_blocks(spark: SparkSession) -> AbstractContextManager[None]:
     """Bound what Spark's reader and a Python worker get at a time where rows are blocks or larger;
     ordinary tables are read as before. Changes no result."""
-    before = {key: spark.conf.get(key) for key in FEW}
-    for key, value in FEW.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    return settings(spark, FEW)
 
 
 def read_blocks(batches) -> Iterator[Block]:
@@ -188,6 +180,7 @@ def sum_over_blocks(blocks: DataFrame, of_block: Callable[[Block], dict[int, np.
 
 
 def _summed(parts: DataFrame, tasks: int, task_bytes: int | None) -> dict[int, np.ndarray]:
+    """The tasks' sums `data`, added up by their `key`."""
     if tasks > 1 and (task_bytes is None or tasks * task_bytes > DIRECT_BYTES):
         if tasks > FAN_IN:
             parts = added(parts.withColumn("group", F.spark_partition_id() % -(-tasks // FAN_IN)),

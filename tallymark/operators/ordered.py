@@ -15,13 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.session import materialise
+from tallymark.session import materialise, settings
 
 LEAF_BITS = 44
 STEP = 16
 TOP = 3  # steps from the lowest to the highest level
 HISTOGRAM = 2  # level of the first pass of a quantile search: 4,096 buckets per power of two
 LOWEST_EXPONENT = -1100  # below that of every double
+# Shuffled bytes that a task sorts at a time where almost every value is distinct.
+SMALL = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8MB"}
 
 
 def leaf_bucket(value: Column) -> Column:
@@ -239,7 +241,8 @@ def area_under_curve(df: DataFrame, score: str, positive: Column,
 
     Ties count half. Pairs are counted level by level: pairs that differ in
     the lowest bucket only, then pairs that first differ one level up, and so
-    on, so no rank over all scores is needed. Null with only one class.
+    on, so no rank over all scores is needed. Null with only one class. The lower levels, which
+    have about as many rows as there are scores, run at once in small tasks.
     """
     by = by or []
     pos = F.sum(F.when(positive, 1.0).otherwise(0.0))
@@ -259,6 +262,9 @@ def area_under_curve(df: DataFrame, score: str, positive: Column,
             rows = (counted.groupBy(*within).agg(*sums)
                     .withColumnRenamed("_up", "_key")
                     .withColumn("_up", parent(F.col("_key"))))
+            if level == HISTOGRAM:
+                with settings(df.sparkSession, SMALL):
+                    rows = materialise(rows, "pairs")
         else:
             rows = counted.groupBy(*by).agg(*sums)
     auc = F.col("_pairs") / F.nullif(F.col("_p") * F.col("_q"), F.lit(0.0))

@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -145,6 +146,22 @@ def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Run-time settings for the jobs inside; before and after hold what the session has."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def input_bytes(spark: SparkSession, folder: str, tables: list[str]) -> int:
     """Size of the files of `<folder>/<table>.parquet`, from their listing."""
     jvm = spark.sparkContext._jvm

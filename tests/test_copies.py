@@ -1,5 +1,6 @@
 """Exact sums, rejected rows, published versions, differences between copies, kept sketches."""
 
+import datetime as dt
 import json
 import os
 import random
@@ -197,3 +198,55 @@ def test_merged_sketches_of_few_values_are_exact(spark):
     assert (got["quantiles"], got["distinct_keys"], got["lines"]) == ([1.0, 2.0, 3.0], 4, 5)
     none = sketches.sketched(sketches.merged(kept, [], "2024-01-03", "2024-01-03"), [0.5]).first()
     assert none["quantiles"] is None and none["lines"] == 2
+
+
+# -- written copies and small tasks ---------------------------------------------------
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_written_copy_is_small_and_whole(spark, orders, tmp_path, fmt):
+    """CSV used to be plain text; Parquet rows used to be shuffled once more to be written."""
+    from tallymark.session import settings
+    raw = orders([{"Date": dt.datetime(2020 + i % 3, 2, 1 + i % 20), "Promotion": "A, \"b\""} for i in range(60)])
+    source = clean(raw).repartition(2)
+    path = str(tmp_path / fmt)
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        files.write_clean(source, path, fmt)
+    parts = [p.name for p in (tmp_path / fmt).rglob("part-*")]
+    if fmt == "csv":
+        assert parts and all(p.endswith(".csv.gz") for p in parts)
+    else:  # a file per task and year
+        assert len(parts) == 2 * 3 and {p.name for p in (tmp_path / fmt).glob("Year=*")} == {
+            "Year=2020", "Year=2021", "Year=2022"}
+    again = (files.read_clean_csv if fmt == "csv" else files.read_clean_parquet)(spark, path)
+    names = again.columns
+    assert sorted(map(str, again.collect())) == sorted(map(str, source.select(*names).collect()))
+
+
+def test_settings_hold_inside_only(spark):
+    from tallymark.session import settings
+    key, unset = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.tallymark.not.there"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), settings(spark, {key: "3MB", unset: "1"}):
+        assert spark.conf.get(key) == "3MB" and spark.conf.get(unset) == "1"
+        raise KeyError
+    assert spark.conf.get(key) == before and spark.conf.get(unset, None) is None
+
+
+def test_lower_levels_of_an_area_run_in_small_tasks(spark, monkeypatch):
+    """They used to run in tasks that grow with the input, up to the advisory size."""
+    from tallymark.operators import ordered
+    seen, real = [], ordered.materialise
+
+    def watched(df, label):
+        seen.append((label, spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")))
+        return real(df, label)
+
+    monkeypatch.setattr(ordered, "materialise", watched)
+    rows = [(i % 7 / 10 + i * 1e-9, int(i % 3 == 0), "a" if i % 2 else "b") for i in range(300)]
+    got = ordered.area_under_curve(spark.createDataFrame(rows, "s double, y int, g string"), "s",
+                                   F.col("y") == 1, ["g"]).collect()
+    assert seen == [("pairs", "8MB")]
+    for r in got:
+        own = [(s, y) for s, y, g in rows if g == r["g"]]
+        pairs = [(p > q) + (p == q) / 2 for p, a in own for q, b in own if a and not b]
+        assert r["auc"] == pytest.approx(sum(pairs) / len(pairs))

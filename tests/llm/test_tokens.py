@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from llm_helpers import EDGES, documents  # noqa: F401
 from tokenizers import Tokenizer
@@ -101,6 +102,26 @@ def test_token_files_round_trip(documents, monkeypatch):
     assert texts == sorted((repr(ROWS[k][0]), v) for k, v in ids.items())
 
 
+def test_ids_are_written_to_one_file_a_task(spark, documents, monkeypatch, tmp_path):
+    """Each open writer, dictionary and large array of rows is memory of the executor."""
+    key, folder = "spark.sql.parquet.columnarReaderBatchSize", str(tmp_path / "ids")
+    monkeypatch.setattr(huffman, "new_path", lambda spark, label: folder)
+    before = spark.conf.get(key)
+    ids, n = huffman.encoded(documents(ROWS), tokenizer_path(BYTE_VOCABULARY), 0, "doc_id", "text")
+    files = list((tmp_path / "ids").rglob("*.parquet"))
+    assert len(files) == 3  # the tasks
+    for file in files:
+        group = pq.read_metadata(file).row_group(0)
+        assert not any(group.column(i).has_dictionary_page for i in range(group.num_columns))
+    assert spark.conf.get(key) == before
+    want = library_ids(ROWS, BYTE_VOCABULARY, [0])
+    got = ids.collect()
+    assert ids.columns == ["doc_id", "row", "ids"] and len({r["row"] for r in got}) == len(ROWS)
+    assert sorted((repr(r["doc_id"]), np.frombuffer(bytes(r["ids"]), "<u2").tolist())
+                  for r in got) == sorted((repr(d), v) for (d, _), v in zip(ROWS, want))
+    assert n.tolist() == np.bincount(np.concatenate(want), minlength=len(n)).tolist()
+
+
 def test_token_files_of_nothing(documents):
     files = huffman.write_tokens(documents([]), tokenizer_path(BYTE_VOCABULARY), end_id=0)
     assert huffman.read_tokens(files).collect() == []

@@ -329,3 +329,37 @@ def test_settings_for_blocks_do_not_outlast_a_fit(spark, made):
     fitted = boosting.fit_boosted(made["y"], 1, 2, 2, 0.1)
     bl.scored_rows(made["y"], lambda b, m: fitted.raw(b, m), 1, boosting.COLUMNS)
     assert {key: spark.conf.get(key) for key in bl.FEW} == before
+
+
+def test_each_large_node_gets_a_task_of_its_own(made):
+    """As many tasks as nodes: none waits for a second one while others are idle."""
+    fitted = forest.fit_forest(made["label"], 1, 8, 2, 900)
+    files = fitted.subtrees.select("model", F.input_file_name().alias("file")).groupBy("file").count().collect()
+    assert [r["count"] for r in files] == [1] * 8
+
+
+def test_nodes_are_shared_out_by_rows():
+    rows = {(0, 0, k): n for k, n in enumerate([50.0, 10, 10, 10, 10, 10])}
+    task = forest.shared_out(rows, 2)
+    assert task[0, 0, 0] == 0 and {task[0, 0, k] for k in range(1, 6)} == {1}
+
+
+@pytest.mark.parametrize("labels", [2, 10_000])
+def test_cuts_found_by_few_rows_at_a_time_are_the_same(labels, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, [[3], [256], [40]], (3, 5000)).astype(np.uint8)
+    y, w = rng.integers(0, labels, 5000).astype(float), rng.integers(1, 4, 5000).astype(np.uint8)
+    whole = forest.grow(x, y, w, 2, np.random.default_rng(1))
+    monkeypatch.setattr(forest, "HELD_ROWS", 100)
+    monkeypatch.setattr(forest, "SORTED_ROWS", 30)
+    parts = forest.grow(x, y, w, 2, np.random.default_rng(1))
+    assert all((whole[k] == parts[k]).all() for k in whole)
+
+
+def test_rows_are_put_in_order_of_node_and_bin():
+    rng = np.random.default_rng(6)
+    size = np.array([1, 7000, 2, 3, 900])
+    bins = rng.integers(0, 256, size.sum()).astype(np.uint8)
+    key = np.repeat(np.arange(5), size) * 256 + bins
+    got, place = forest.in_order(np.repeat(np.arange(5), size), bins, np.cumsum(size))
+    assert (place == np.argsort(key, kind="stable")).all() and (got == key[place]).all()

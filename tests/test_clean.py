@@ -115,3 +115,21 @@ def test_csv_bad_value_is_an_error(spark, tmp_path):
     assert df.where("OrderID = '1'").first()["Quantity"] is None
     with pytest.raises(Exception):
         df.collect()
+
+
+def test_hashed_duplicates_are_the_whole_row_duplicates(orders):
+    some = {"OrderID": "A", "Region": None, "Discount": 0.0, "TotalPrice": 7.0}
+    df = orders([some, {**some, "Discount": -0.0}, {**some, "Region": ""}, {**some, "Region": "North", "Product": None},
+                 {**some, "Product": "North"}, {**some, "OrderID": None}, {**some, "OrderID": None},
+                 {**some, "TotalPrice": None}, {**some, "Discount": None}])
+    got, want = rows(clean.drop_hashed_duplicates(df)), rows(clean.drop_duplicate_rows(df))
+    assert len(got) == len(want) == 7
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_columns_that_nothing_reads_are_not_shuffled(orders):
+    """Removing duplicates used to shuffle whole rows."""
+    out = clean.clean(orders([{}, {}])).groupBy("Promotion").agg(F.sum("CalcRevenue"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    kept = [line for line in plan.splitlines() if "Aggregate" in line][-1].split("], [")[-1]
+    assert "max(UnitPrice" in kept and "Salesperson" not in kept and "OrderID" not in kept

@@ -115,15 +115,17 @@ def charts(df: DataFrame, base: DataFrame, days: DataFrame) -> dict[str, DataFra
 
 
 def report_tables(cleaned: DataFrame, unfilled: DataFrame, key: str = "OrderID",
-                  months: int | None = None) -> dict[str, DataFrame]:
+                  months: int | None = None, stored: bool = False) -> dict[str, DataFrame]:
     """Name of each table of the report, and the table.
 
     `unfilled` is the sales table before null promotions are filled, so the checks see them.
     Both are read once: what the report needs of them is written out, and so are the totals per
-    level and day that most tables rest on.
+    level and day that most tables rest on. With `stored` the two are files read and projected, and
+    are not written again.
     """
-    cleaned = materialise(cleaned, "report-sales")
-    unfilled = materialise(unfilled, "report-unfilled")
+    if not stored:
+        cleaned = materialise(cleaned, "report-sales", "zstd")
+        unfilled = materialise(unfilled, "report-unfilled", "zstd")
     base = materialise(level_totals(cleaned, [*CHART_DIMS, "DiscountBucket"], level_measures()),
                        "level-totals")
     days = materialise(daily(cleaned), "days")
@@ -138,13 +140,13 @@ ROW = "table string, position long, cells map<string,string>"
 
 
 def write_report(cleaned: DataFrame, unfilled: DataFrame, path: str, key: str = "OrderID",
-                 months: int | None = None) -> list[str]:
+                 months: int | None = None, stored: bool = False) -> list[str]:
     """Publish charts, checks, KPIs and notes below `path`; returns the names of the tables.
 
     All tables go through one partitioned write into a folder of their own, which then becomes
     the current version. A reader finds the old report or the whole new one.
     """
-    tables = report_tables(cleaned, unfilled, key, months)
+    tables = report_tables(cleaned, unfilled, key, months, stored)
     return publish_tables(tables, path, cleaned.sparkSession)
 
 

@@ -268,3 +268,14 @@ def test_report_is_written_whole(spark, orders, tmp_path):
     assert share.agg(F.sum("share_pct")).first()[0] == pytest.approx(100)
     status = {r["check"]: r["status"] for r in read["checks"].collect()}
     assert status["promotion_complete"] == "fail" and status["no_duplicates"] == "pass"
+
+
+def test_report_joins_the_tables_once(spark):
+    """Sales and unfilled sales come from one written join, and are not written again."""
+    import __spark_entry__ as registered
+    from tallymark import session
+    mark = session.intermediates()
+    cells = registered.report_tables(spark, "/root/testdata/sf0.001").count()
+    labels = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._made[mark:]]
+    assert cells > 100 and labels.count("report-raw") == 1
+    assert not {"report-sales", "report-unfilled"} & set(labels)

@@ -363,3 +363,14 @@ def test_rows_are_put_in_order_of_node_and_bin():
     key = np.repeat(np.arange(5), size) * 256 + bins
     got, place = forest.in_order(np.repeat(np.arange(5), size), bins, np.cumsum(size))
     assert (place == np.argsort(key, kind="stable")).all() and (got == key[place]).all()
+
+
+def test_scores_of_one_model_are_written_half_as_often(spark, made, monkeypatch):
+    from tallymark import session
+    monkeypatch.setattr(boosting, "KEPT_ROUNDS", 2)
+    written = []
+    for models in (1, 2):
+        mark = session.intermediates()
+        boosting.fit_boosted(made["y"], models, 9, 3, 0.1)
+        written.append(len(session._made) - mark)
+    assert written == [2, 4]

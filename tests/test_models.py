@@ -10,6 +10,7 @@ from tallymark.learn import boosting, linear
 from tallymark.operators import checks
 from tallymark.operators.clean import clean
 from tallymark.plans import models, saved
+from tallymark.session import settings
 
 
 @pytest.fixture(scope="module")
@@ -249,3 +250,25 @@ def test_a_null_number_is_an_error_not_a_lost_row(sold):
     broken = sold.withColumn("UnitPrice", F.when(F.col("Quantity") > 1, F.col("UnitPrice")))
     with pytest.raises(Exception):
         models.RevenueModels(broken, trees=2, names=["Linear Regression"])
+
+
+def test_only_linear_models_get_scaled_values(sold):
+    """Scaled values took most of the bytes of the blocks that boosting and forests read."""
+    boosted = models.RevenueModels(sold, trees=2, names=["Gradient Boosting"])
+    assert boosted.data.blocks.where("z IS NOT NULL").count() == 0
+    both = models.RevenueModels(sold, trees=2, names=["Linear Regression", "Gradient Boosting"])
+    assert both.data.blocks.where("z IS NULL").count() == 0
+    assert boosted.importances("Gradient Boosting").collect() == both.importances("Gradient Boosting").collect()
+
+
+def test_sales_are_not_shuffled_again_for_the_split(spark):
+    """They lie by order when joined, which the join with the places by label and order can use."""
+    def exchanges() -> int:
+        split = registered.prepared(spark, "/root/testdata/sf0.001")._split
+        return split._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    with settings(spark, plain):
+        before = exchanges()
+        with settings(spark, models.SUBSET_KEYS):
+            assert exchanges() < before
